@@ -1,0 +1,6 @@
+"""No streaming operators: every job here is a finite batch over tables.
+
+Incremental arrival is covered by calling ``operators.prepare`` and
+``operators.manifest.pending_samples`` from ``foreachBatch``; nothing more is
+needed, so nothing is built.
+"""
