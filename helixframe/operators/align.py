@@ -37,24 +37,19 @@ def segment_text_chains(chains: DataFrame, segment: int = SEGMENT, halo: int = H
     )
 
 
-def structure_chains(selected_dna: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
-    """Chain rows (without sample and motif) from selected DNA residues."""
-    from helixframe.operators.ordering import dense_index
-    from helixframe.operators.structure import one_letter
-
+def structure_chains(positions: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
+    """Chain rows (without sample and motif) from ``contacts.chain_positions``."""
     keys = ["structure_id", "chain"]
-    pos = dense_index(
-        selected_dna.select(*keys, "sel_idx", one_letter().alias("letter")), keys, "sel_idx", "pos")
-    chains = pos.groupBy(*keys).agg(
-        F.min("sel_idx").alias("chain_ord"), F.count(F.lit(1)).cast("int").alias("chain_len"))
+    chains = positions.groupBy(*keys).agg(
+        F.min("dna_idx").alias("chain_ord"), F.count(F.lit(1)).cast("int").alias("chain_len"))
     block = F.floor(F.col("pos") / segment).cast("int")
     blocks = F.when((F.col("pos") % segment < halo) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    rows = pos.withColumn("own", block).withColumn("seg", F.explode(blocks)).groupBy(*keys, "seg").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "letter", "sel_idx"))).alias("_l"),
+    rows = positions.withColumn("own", block).withColumn("seg", F.explode(blocks)).groupBy(*keys, "seg").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "letter", "dna_idx"))).alias("_l"),
         F.count_if(F.col("own") == F.col("seg")).cast("int").alias("core_len"))
     return rows.where(F.col("core_len") > 0).join(chains, keys).select(
         *keys, "chain_ord", "chain_len", (F.col("seg") * segment).alias("seg_start"), "core_len",
-        F.array_join(F.col("_l.letter"), "").alias("sequence"), F.col("_l.sel_idx").alias("indices"))
+        F.array_join(F.col("_l.letter"), "").alias("sequence"), F.col("_l.dna_idx").alias("indices"))
 
 
 def scoring_table(motifs: DataFrame, mode: str = "ic_log_likelihood", key: str = "motif_id") -> DataFrame:
@@ -173,7 +168,7 @@ def window_contacts(windows: DataFrame, positions: DataFrame, contacts: DataFram
     backbone_label.  Contacts are found once per structure, not per candidate, and
     the window is exploded over its own positions only.
     """
-    at = contacts.join(positions, ["structure_id", "dna_idx"])
+    at = contacts.join(positions.select("structure_id", "chain", "pos", "dna_idx"), ["structure_id", "dna_idx"])
     slots = windows.withColumn("pos", F.explode(F.expr("sequence(fstart, fstart + vis - 1)")))
     key = ["structure_id", "chain", "vis", "fstart"]
     per_residue = slots.join(at, ["structure_id", "chain", "pos"]).groupBy(*key, "res_idx").agg(

@@ -13,11 +13,12 @@ AXES = ("x", "y", "z")
 
 
 def chain_positions(selected_dna: DataFrame) -> DataFrame:
-    """structure_id, chain, pos (within the chain), dna_idx, residue_id."""
-    from helixframe.operators.structure import residue_id
+    """structure_id, chain, pos (within the chain), dna_idx, residue_id, letter."""
+    from helixframe.operators.structure import one_letter, residue_id
 
     return dense_index(
-        selected_dna.select("structure_id", "chain", "sel_idx", residue_id().alias("residue_id")),
+        selected_dna.select("structure_id", "chain", "sel_idx", residue_id().alias("residue_id"),
+                            one_letter().alias("letter")),
         ["structure_id", "chain"], "sel_idx", "pos",
     ).withColumnRenamed("sel_idx", "dna_idx")
 

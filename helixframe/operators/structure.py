@@ -66,11 +66,22 @@ def infer_element(atoms: DataFrame) -> DataFrame:
         "element", F.when(blank, F.upper(guess)).otherwise(F.upper(F.trim("element"))))
 
 
+def residue_table(atoms: DataFrame) -> DataFrame:
+    """One row per residue: key, ``res_ord``, ``n_atoms``, ``kind``."""
+    return atoms.groupBy(*RESIDUE_KEY).agg(
+        F.min("atom_ord").alias("res_ord"), F.count(F.lit(1)).alias("n_atoms"),
+    ).withColumn("kind", residue_kind())
+
+
 def group_residues(atoms: DataFrame) -> DataFrame:
-    """One row per residue: key, ``res_ord``, ``n_atoms``, dense ``res_idx``."""
-    res = atoms.groupBy(*RESIDUE_KEY).agg(
-        F.min("atom_ord").alias("res_ord"), F.count(F.lit(1)).alias("n_atoms"))
-    return dense_index(res, ["structure_id"], "res_ord", "res_idx")
+    """Residues with their dense index ``res_idx`` in order of first appearance."""
+    return dense_index(residue_table(atoms), ["structure_id"], "res_ord", "res_idx")
+
+
+def index_kinds(residues: DataFrame) -> DataFrame:
+    """Protein and DNA residues with ``sel_idx`` counted apart: one pass for both
+    selections when there is no chain restriction."""
+    return dense_index(residues.where(F.col("kind") != "other"), ["structure_id", "kind"], "res_ord", "sel_idx")
 
 
 def classify_residues(residues: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions.checkpoints import cut_lineage
 from helixframe.operators import align as A
 from helixframe.operators import contacts as C
 from helixframe.operators import structure as S
@@ -61,22 +62,26 @@ def complex_samples(spark, sf):
 
 
 class Complexes:
-    """The tables every structure-based alignment needs, built once per query."""
+    """The tables every structure-based alignment needs.
 
-    def __init__(self, spark, sf, mode="ic_log_likelihood"):
+    The residue index, the DNA positions and the sparse distances are written once
+    (checkpoint): they are small beside the atoms and every later step reads them.
+    """
+
+    def __init__(self, spark, sf, mode="ic_log_likelihood", max_cutoff=5.0):
         atoms = V.atoms(spark, sf)
-        residues = S.group_residues(atoms)
-        self.protein = S.select_residues(residues, "protein")
-        self.dna = S.select_residues(residues, "dna")
+        residues = cut_lineage(S.index_kinds(S.residue_table(atoms)))
+        self.protein = residues.where("kind = 'protein'")
+        self.dna = residues.where("kind = 'dna'")
         self.samples = complex_samples(spark, sf)
-        self.chains = A.structure_chains(self.dna)
+        self.positions = cut_lineage(C.chain_positions(self.dna))
+        self.chains = A.structure_chains(self.positions)
         self.scoring = A.scoring_table(V.motifs(spark, sf), mode)
-        self.positions = C.chain_positions(self.dna)
         self.atoms = S.tag_atoms(atoms)
-        self.distances = C.residue_distances(self.atoms, self.protein, self.dna)
+        self.distances = cut_lineage(C.residue_distances(self.atoms, self.protein, self.dna, max_cutoff))
         self.contacts = C.contact_labels(self.distances)
         self.missing = C.missing_parts(self.atoms, self.dna).join(
-            self.positions, ["structure_id", "dna_idx"])
+            self.positions.drop("letter"), ["structure_id", "dna_idx"])
 
     def candidates(self, skip_bad=False):
         return A.contact_candidates(self.samples, self.chains, self.scoring, self.positions, self.contacts,
