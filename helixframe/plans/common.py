@@ -27,4 +27,5 @@ def joined(col: Column | str, sep: str = ",") -> Column:
 
 
 def with_ctes(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    text = "WITH " + ",\n".join(ctes) + "\n" + body
+    return text.replace("count_if(", "count(*) FILTER (WHERE ")

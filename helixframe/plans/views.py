@@ -284,18 +284,21 @@ SQL_MODEL = """v_model AS (
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Ensemble means per cell: what the network would have written."""
+    """Ensemble means per cell: what the network would have written.  Logits are
+    rounded to 12 digits so that equal means tie exactly in any summation order."""
     from helixframe.operators.predictions import ensemble_mean
 
-    return ensemble_mean(model_cells(spark, sf), ["sample_id", "res_idx", "slot"],
-                         ["base_logit", "backbone_logit", "e_a", "e_c", "e_g", "e_t"]).drop("n_models")
+    out = ensemble_mean(model_cells(spark, sf), ["sample_id", "res_idx", "slot"],
+                        ["base_logit", "backbone_logit", "e_a", "e_c", "e_g", "e_t"]).drop("n_models")
+    return out.withColumn("base_logit", F.round("base_logit", 12)).withColumn(
+        "backbone_logit", F.round("backbone_logit", 12))
 
 
 SQL_PRED = """v_pred AS (
-  SELECT sample_id, res_idx, slot, avg(base_logit) AS base_logit, avg(backbone_logit) AS backbone_logit,
-    avg(e_a) AS e_a, avg(e_c) AS e_c, avg(e_g) AS e_g, avg(e_t) AS e_t,
-    1 / (1 + exp(-avg(base_logit))) AS a_base
-  FROM v_model GROUP BY ALL)"""
+  SELECT *, 1 / (1 + exp(-base_logit)) AS a_base FROM (
+    SELECT sample_id, res_idx, slot, round(avg(base_logit), 12) AS base_logit, round(avg(backbone_logit), 12) AS backbone_logit,
+      avg(e_a) AS e_a, avg(e_c) AS e_c, avg(e_g) AS e_g, avg(e_t) AS e_t
+    FROM v_model GROUP BY ALL))"""
 
 
 def sample_pwm(spark: SparkSession, sf: str) -> DataFrame:
