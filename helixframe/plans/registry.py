@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["q_structure","q_motif","q_align","q_contacts","q_prepare","q_metrics","q_predictions"]
-_ALL = [
-    "q_motif", "q_align", "q_structure", "q_contacts", "q_prepare", "q_metrics",
+MODULES = [
+    "q_structure", "q_motif", "q_align", "q_contacts", "q_prepare", "q_metrics",
     "q_predictions", "q_manifest", "q_audit", "q_sources",
 ]
 
