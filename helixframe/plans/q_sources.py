@@ -104,8 +104,10 @@ def pwm_lines(spark, sf):
     v = V.pwm(spark, sf)
     k = F.col("motif_id") % 4
     nums = [F.format_string("%.8f", F.col(b)) for b in "acgt"]
-    row = (F.when(k == 1, F.concat(F.format_string("%d [", F.col("pos")), F.concat_ws(", ", *nums), F.lit("]")))
-           .when(k == 3, F.concat(F.concat_ws(" ", *nums), F.lit(" consensus"))).otherwise(F.concat_ws("\t", *nums)))
+    prefix = F.when(k == 1, F.format_string("%d [", F.col("pos"))).otherwise("")
+    suffix = F.when(k == 1, "]").when(k == 3, " consensus").otherwise("")
+    sep = F.when(k == 1, ", ").when(k == 3, " ").otherwise("\t")
+    row = F.concat(prefix, nums[0], sep, nums[1], sep, nums[2], sep, nums[3], suffix)
     body = v.select("motif_id", (F.col("pos") + 10).cast("int").alias("line_no"), row.alias("value"))
     extra = lambda n, text: F.struct(F.lit(n).alias("line_no"), F.lit(text).alias("value"))
     heads = F.when(k == 0, F.array(extra(0, "A C G T"))).when(k == 1, F.array(extra(0, "# made 1 2 3 4"), extra(1, ">m 1 2 3 4"))).when(
