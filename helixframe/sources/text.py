@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def read_whole(spark: SparkSession, *paths: str) -> DataFrame:
     """path, text: one row per file.  For formats whose records span lines; such
     files (structures, motifs) are bounded in size and there are many of them."""
-    return spark.read.option("wholetext", True).text(list(paths)).select(
+    return spark.read.text(list(paths), wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
