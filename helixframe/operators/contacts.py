@@ -34,15 +34,22 @@ def residue_distances(
     """structure_id, res_idx, dna_idx, base_dist, backbone_dist: minimum heavy-atom
     distances up to ``max_cutoff`` (NULL beyond).  The DNA side, the smaller one,
     is copied to the neighbouring cells."""
-    p = _indexed_atoms(tagged, protein, "res_idx").select("structure_id", "res_idx", *AXES)
-    d = _indexed_atoms(tagged, dna, "dna_idx").select("structure_id", "dna_idx", "part", *AXES)
-    near = near_pairs(p, d, max_cutoff)
+    p = protein.select("structure_id", F.col("res_ord").alias("p_ord"), F.col("sel_idx").alias("res_idx"))
+    d = dna.select("structure_id", F.col("res_ord").alias("d_ord"), F.col("sel_idx").alias("dna_idx"))
+    # Indices are attached to the few close residue pairs, not to the atoms.
+    return structure_distances(tagged, max_cutoff).join(p, ["structure_id", "p_ord"]).join(
+        d, ["structure_id", "d_ord"]).select("structure_id", "res_idx", "dna_idx", "base_dist", "backbone_dist")
+
+
+def structure_distances(tagged: DataFrame, max_cutoff: float = BACKBONE_CUTOFF) -> DataFrame:
+    """Minimum distances per structure between residues named by ``res_ord``:
+    structure_id, p_ord, d_ord, base_dist, backbone_dist."""
+    p = tagged.where("kind = 'protein'").select("structure_id", F.col("res_ord").alias("p_ord"), *AXES)
+    d = tagged.where("kind = 'dna'").select("structure_id", F.col("res_ord").alias("d_ord"), "part", *AXES)
     far = F.sqrt("d2")
-    return (
-        near.groupBy("structure_id", "res_idx", "dna_idx").agg(
-            F.min(F.when(F.col("part") == "base", far)).alias("base_dist"),
-            F.min(F.when(F.col("part") == "backbone", far)).alias("backbone_dist"))
-    )
+    return near_pairs(p, d, max_cutoff).groupBy("structure_id", "p_ord", "d_ord").agg(
+        F.min(F.when(F.col("part") == "base", far)).alias("base_dist"),
+        F.min(F.when(F.col("part") == "backbone", far)).alias("backbone_dist"))
 
 
 def contact_labels(
@@ -98,6 +105,13 @@ def dense_labels(
         base.alias("base_label"), backbone.alias("backbone_label"), contact_union(base, backbone).alias("contact_label"))
 
 
+def sparse_labels(slots: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Only the cells in contact: enough for counting, without the N x M frame."""
+    return slots.join(contacts, ["structure_id", "dna_idx"]).select(
+        "sample_id", "res_idx", "slot", "base_label", "backbone_label",
+        F.greatest("base_label", "backbone_label").alias("contact_label"))
+
+
 def contact_union(base: Column, backbone: Column) -> Column:
     return F.greatest(base, backbone)
 

@@ -100,43 +100,58 @@ def prepare_samples(
 
     ``samples``: sample_id, structure_id, motif_id, protein_chains, dna_chains
     (texts; blank = all).  Samples with the same structure and chain lists share one
-    *selection*, and everything geometric is computed per selection.
+    *selection* of residue indices.
     """
     s = samples.withColumn("selection", F.concat_ws("|", "structure_id", "protein_chains", "dna_chains"))
+    # Geometry once per structure; chain lists only choose from its residues.
+    profile = cut_lineage(S.residue_profile(atoms).where("kind <> 'other'"))
+    close = cut_lineage(C.structure_distances(S.tag_atoms(atoms)))
     picks = s.select("selection", "structure_id", S.parse_chain_list("protein_chains").alias("p"),
                      S.parse_chain_list("dna_chains").alias("d")).distinct()
-    kind = S.residue_kind()
-    allowed = F.when(kind == "protein", F.col("p")).otherwise(F.col("d"))
-    chosen = (
-        atoms.where(kind.isin("protein", "dna")).join(picks, "structure_id")
-        .where(allowed.isNull() | F.array_contains(allowed, F.col("chain")))
-        .drop("structure_id", "p", "d").withColumnRenamed("selection", "structure_id")
-    )
-    residues = cut_lineage(S.index_kinds(S.residue_table(chosen)))
+    allowed = F.when(F.col("kind") == "protein", F.col("p")).otherwise(F.col("d"))
+    listed = profile.select(*S.RESIDUE_KEY, "res_ord", "kind", "n_heavy", "n_base", "n_backbone").join(picks, "structure_id").where(
+        allowed.isNull() | F.array_contains(allowed, F.col("chain"))).drop("p", "d")
+    chosen = listed.withColumnRenamed("structure_id", "source").withColumnRenamed("selection", "structure_id")
+    residues = cut_lineage(S.index_kinds(chosen))
     protein, dna = residues.where("kind = 'protein'"), residues.where("kind = 'dna'")
     positions = cut_lineage(C.chain_positions(dna))
     chains = A.structure_chains(positions)
     scoring = A.scoring_table(motifs, mode)
-    tagged = S.tag_atoms(chosen)
-    distances = cut_lineage(C.residue_distances(tagged, protein, dna))
-    missing = C.missing_parts(tagged, dna).join(positions.drop("letter"), ["structure_id", "dna_idx"])
-    points = S.ca_or_centroid(chosen.where(kind == "protein")).join(
-        protein.select("structure_id", "res_ord", F.col("sel_idx").alias("res_idx")), ["structure_id", "res_ord"])
-    edges = G.residue_graph_edges(points).groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_edges"))
+    p = protein.select("structure_id", F.col("source"), F.col("res_ord").alias("p_ord"), F.col("sel_idx").alias("res_idx"))
+    d = dna.select("structure_id", F.col("res_ord").alias("d_ord"), F.col("sel_idx").alias("dna_idx"))
+    distances = (
+        close.withColumnRenamed("structure_id", "source").join(p, ["source", "p_ord"])
+        .join(d, ["structure_id", "d_ord"]).drop("source", "p_ord", "d_ord"))
+    bare = dna.where("n_backbone = 0").select("structure_id", F.col("sel_idx").alias("dna_idx")).join(
+        positions.drop("letter"), ["structure_id", "dna_idx"])
+    # Edges are counted per pair of chains, then summed over the allowed pairs.
+    pts = profile.where("kind = 'protein'")
+    graph = G.residue_graph_edges(pts.select("structure_id", F.col("res_ord").alias("res_idx"), "x", "y", "z"))
+    of = lambda end: pts.select("structure_id", F.col("res_ord").alias(end), F.col("chain").alias(f"{end}_chain"))
+    by_chain = graph.join(of("src"), ["structure_id", "src"]).join(of("dst"), ["structure_id", "dst"]).groupBy(
+        "structure_id", "src_chain", "dst_chain").agg(F.count(F.lit(1)).alias("n"))
+    inside = lambda c: F.col("p").isNull() | F.array_contains("p", F.col(c))
+    edges = by_chain.join(picks.drop("d"), "structure_id").where(inside("src_chain") & inside("dst_chain")).groupBy(
+        "selection").agg(F.sum("n").alias("n_edges"))
 
     keyed = s.select("sample_id", F.col("selection").alias("structure_id"), "motif_id")
     cands = A.contact_candidates(keyed, chains, scoring, positions, C.contact_labels(distances))
     aligned = A.align_contact_constrained(cands, chains, min_base, min_contact, min_site).drop("structure_id")
-    broken = A.bad_residue_error(keyed, chains, scoring, missing.where("part = 'backbone'")).withColumnRenamed("error", "atom_error")
+    broken = A.bad_residue_error(keyed, chains, scoring, bare).withColumnRenamed("error", "atom_error")
     sizes = residues.groupBy(F.col("structure_id").alias("selection")).agg(
         F.count_if(F.col("kind") == "protein").alias("n_res"), F.count_if(F.col("kind") == "dna").alias("n_dna"))
+    # A protein residue of hydrogens only has no distances to anything.
+    empty = protein.where("n_heavy = 0").groupBy(F.col("structure_id").alias("selection")).agg(
+        F.min_by(S.residue_id(), F.col("sel_idx")).alias("_rid")).select("selection", F.concat(
+            F.lit("Residue "), "_rid", F.lit(" has no heavy atoms.")).alias("heavy_error"))
     known = atoms.select("structure_id").distinct().withColumn("_has", F.lit(True))
     known_motif = motifs.select("motif_id").distinct().withColumn("_motif", F.lit(True))
 
     j = (
         s.join(known, "structure_id", "left").join(known_motif, "motif_id", "left")
         .join(sizes, "selection", "left")
-        .join(edges.withColumnRenamed("structure_id", "selection"), "selection", "left")
+        .join(edges, "selection", "left")
+        .join(empty, "selection", "left")
         .join(aligned.withColumnRenamed("error", "align_error"), "sample_id", "left")
         .join(broken, "sample_id", "left")
     )
@@ -146,7 +161,7 @@ def prepare_samples(
         .when(F.col("_motif").isNull(), F.concat(F.lit("motif file not found: "), F.col("motif_id").cast("string")))
         .when(none("n_res"), "No protein residues found. Check --protein-chains.")
         .when(none("n_dna"), "No DNA residues found. Check --dna-chains.")
-        .otherwise(F.coalesce("atom_error", "align_error"))
+        .otherwise(F.coalesce("heavy_error", "atom_error", "align_error"))
     )
     prefix = F.when(F.col("is_full"), "").otherwise("partial_")
     done = j.select(

@@ -160,6 +160,23 @@ def ca_or_centroid(atoms: DataFrame) -> DataFrame:
         *[F.coalesce(f"ca_{a}", f"mean_{a}").alias(a) for a in axes])
 
 
+def residue_profile(atoms: DataFrame) -> DataFrame:
+    """Everything the batch needs about residues from one pass over the atoms: the
+    key, ``res_ord``, ``kind``, heavy atom counts and the representative point."""
+    agg = [
+        F.min("atom_ord").alias("res_ord"),
+        F.count_if(is_heavy()).alias("n_heavy"),
+        F.count_if(is_heavy() & ~is_backbone()).alias("n_base"),
+        F.count_if(is_heavy() & is_backbone()).alias("n_backbone"),
+    ]
+    for a in ("x", "y", "z"):
+        agg.append(F.expr(f"min_by({a}, atom_ord) FILTER (WHERE name = 'CA')").alias(f"ca_{a}"))
+        agg.append(F.avg(F.when(is_heavy(), F.col(a))).alias(f"mean_{a}"))
+    return atoms.groupBy(*RESIDUE_KEY).agg(*agg).select(
+        *RESIDUE_KEY, "res_ord", residue_kind().alias("kind"), "n_heavy", "n_base", "n_backbone",
+        *[F.coalesce(f"ca_{a}", f"mean_{a}").alias(a) for a in ("x", "y", "z")])
+
+
 def missing_atom_audit(atoms: DataFrame) -> DataFrame:
     """Residues without heavy atoms, and DNA residues without base or backbone."""
     kind = residue_kind()

@@ -38,8 +38,9 @@ def pdb_lines(spark, sf):
         F.when(F.col("r") % 13 == 4, " ").otherwise(F.col("chain")), F.col("resseq") % 10000,
         F.when(F.col("icode") == "", " ").otherwise(F.col("icode")), F.col("x"), F.col("y"), F.col("z"),
         F.lit(1.0), F.lit(20.0), F.col("element"))
-    atom = a.select("structure_id", (F.col("j") + 1).alias("line_no"),
-                    F.when(F.col("r") % 5 == 0, F.rtrim(full)).otherwise(full).alias("value"))
+    # explode keeps the optimizer from repeating the formatting in every column cut.
+    atom = a.select("structure_id", "r", (F.col("j") + 1).alias("line_no"), F.explode(F.array(full)).alias("full")).select(
+        "structure_id", "line_no", F.when(F.col("r") % 5 == 0, F.rtrim("full")).otherwise(F.col("full")).alias("value"))
     head = table(spark, sf, "embeddings").select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("structure_id"),
         F.explode(F.array(F.struct(F.lit(0).alias("line_no"), F.lit("REMARK ATOM records follow").alias("value")),

@@ -207,7 +207,7 @@ def text_chains(spark: SparkSession, sf: str) -> DataFrame:
     """
     lines = table(spark, sf, "documents").select(
         F.col("doc_id").alias("sample_id"),
-        F.posexplode(F.split(F.regexp_replace(F.upper("text"), "[^ACGT\n]", ""), "\n")).alias("chain_ord", "sequence"),
+        F.posexplode(F.split(F.regexp_replace(F.upper("text"), "[^ACGT\n]+", ""), "\n")).alias("chain_ord", "sequence"),
     ).where(F.length("sequence") > 0)
     before = Window.partitionBy("sample_id").orderBy("chain_ord").rowsBetween(Window.unboundedPreceding, -1)
     return lines.select(

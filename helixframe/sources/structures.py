@@ -58,9 +58,13 @@ def mmcif_tokens(texts: DataFrame) -> DataFrame:
     Multi-line text blocks become one token; comments and blank lines vanish.
     """
     lines = number_lines(texts.select("structure_id", F.regexp_replace("text", _TEXT_BLOCK, '"text block"').alias("text")))
-    clean = F.trim(F.regexp_replace(F.trim("value"), _UNCOMMENT, "$1"))
-    toks = F.transform(F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(1)), lambda t: F.regexp_replace(t, _QUOTED, "$1$2"))
-    return lines.select("structure_id", "line_no", toks.alias("tokens")).where(F.size("tokens") > 0)
+    line = F.trim("value")
+    clean = F.when(line.contains("#"), F.trim(F.regexp_replace(line, _UNCOMMENT, "$1"))).otherwise(line)
+    quoted = lambda t: t.contains('"') | t.contains("'")
+    toks = F.transform(
+        F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(1)),
+        lambda t: F.when(quoted(t), F.regexp_replace(t, _QUOTED, "$1$2")).otherwise(t))
+    return lines.where((line != "") & ~line.startswith("#")).select("structure_id", "line_no", toks.alias("tokens"))
 
 
 def scan_mmcif_atoms(texts: DataFrame) -> DataFrame:
