@@ -33,17 +33,18 @@ def display_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
 
 
-def entry_parts(entry: str = "entry") -> list[Column]:
-    """structure_id, chain, motif_id, error of ``path/id_chain_motif.npz``."""
-    name = F.regexp_replace(F.regexp_extract(F.trim(F.col(entry)), r"([^/]*)$", 1), r"\.npz$", "")
-    parts = F.split(name, "_", 3)
+def parse_fold_entries(entries: DataFrame) -> DataFrame:
+    """Adds structure_id, chain, motif_id, entry_error of ``path/id_chain_motif.npz``."""
+    name = F.substring_index(F.trim("entry"), "/", -1)
+    stem = F.when(name.endswith(".npz"), F.substring(name, F.lit(1), F.length(name) - 4)).otherwise(name)
+    parts = F.col("_parts")
     good = F.size(parts) == 3
-    return [
+    return entries.withColumn("_parts", F.split(stem, "_", 3)).select(
+        *entries.columns,
         F.when(good, F.lower(F.get(parts, F.lit(0)))).alias("structure_id"),
         F.when(good, F.get(parts, F.lit(1))).alias("chain"),
         F.when(good, F.get(parts, F.lit(2))).alias("motif_id"),
-        F.when(~good, F.concat(F.lit("Cannot parse fold entry: "), F.col(entry))).alias("entry_error"),
-    ]
+        F.when(~good, F.concat(F.lit("Cannot parse fold entry: "), "entry")).alias("entry_error"))
 
 
 # ------------------------------------------------------------------- manifests
@@ -107,10 +108,6 @@ def require_inputs(resolved: DataFrame, files: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- fold lists
-def parse_fold_entries(entries: DataFrame) -> DataFrame:
-    return entries.select("*", *entry_parts())
-
-
 def infer_split(path: Column) -> Column:
     """Split name = file stem."""
     return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)

@@ -195,18 +195,17 @@ def column_contribution(cells: DataFrame) -> DataFrame:
     return c.join(sums, ["sample_id", "slot"]).withColumn("share", F.try_divide("mass", "_all")).drop("_all")
 
 
-def mask_residue_effect(cells: DataFrame, top: bool = True) -> DataFrame:
-    """KL shift of each motif column when its strongest (or weakest) residue is
-    left out: KL(full || masked)."""
-    rank = F.struct("a_base", -F.col("res_idx")) if top else F.struct(-F.col("a_base"), -F.col("res_idx"))
-    picked = cells.groupBy("sample_id", "slot").agg(F.max_by("res_idx", rank).alias("masked_res"))
-    marked = cells.join(picked, ["sample_id", "slot"])
-    out = F.col("res_idx") != F.col("masked_res")
-    sums = marked.groupBy("sample_id", "slot", "masked_res").agg(
-        *[F.sum(F.col("a_base") * F.col(e)).alias(f"f_{b}") for b, e in zip(ACGT, ENERGY)],
-        *[F.sum(F.when(out, F.col("a_base") * F.col(e)).otherwise(0.0)).alias(f"k_{b}") for b, e in zip(ACGT, ENERGY)])
-    full = softmax([F.col(f"f_{b}") for b in ACGT])
-    lf = log_softmax([F.col(f"f_{b}") for b in ACGT])
-    lk = log_softmax([F.col(f"k_{b}") for b in ACGT])
-    return sums.withColumn("kl_shift", total([p * (x - y) for p, x, y in zip(full, lf, lk)])).select(
-        "sample_id", "slot", "masked_res", "kl_shift")
+def mask_residue_effect(cells: DataFrame, which: Sequence[str] = ("top", "lowest")) -> DataFrame:
+    """KL shift of each motif column, KL(full || masked), when its strongest
+    (``top``) or weakest (``lowest``) residue is left out; ties: smaller res_idx."""
+    orders = {"top": F.struct("a_base", -F.col("res_idx")), "lowest": F.struct(-F.col("a_base"), -F.col("res_idx"))}
+    gated = [F.col("a_base") * F.col(e) for e in ENERGY]
+    # The masked sums are the full ones minus one residue, so a single pass does.
+    picks = [F.max_by(F.struct("res_idx", *[g.alias(f"m_{b}") for b, g in zip(ACGT, gated)]), orders[w]).alias(w) for w in which]
+    sums = cells.groupBy("sample_id", "slot").agg(*[F.sum(g).alias(f"f_{b}") for b, g in zip(ACGT, gated)], *picks)
+    long = sums.withColumn("p", F.explode(F.array(*[
+        F.struct(F.lit(w).alias("which"), F.col(w).alias("v")) for w in which])))
+    full = [F.col(f"f_{b}") for b in ACGT]
+    kept = [F.col(f"f_{b}") - F.col(f"p.v.m_{b}") for b in ACGT]
+    shift = total([p * (x - y) for p, x, y in zip(softmax(full), log_softmax(full), log_softmax(kept))])
+    return long.select("sample_id", "slot", "p.which", F.col("p.v.res_idx").alias("masked_res"), shift.alias("kl_shift"))

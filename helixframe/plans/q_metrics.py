@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions.checkpoints import cut_lineage
 from helixframe.operators import metrics as M
 from helixframe.operators import predictions as P
 from helixframe.plans import views as V
@@ -72,15 +73,19 @@ def global_site_summary(spark, sf):
 
 # ------------------------------------------------------------------ evaluation
 def eval_inputs(spark, sf):
-    """Targets and ensemble predictions on the order-block samples."""
+    """Targets and ensemble predictions on the order-block samples.
+
+    The joined cells stand for the stored samples and predictions: written once,
+    then every metric reads them.
+    """
     labels = V.contact_cells(spark, sf).withColumn(
         "pwm_mask", F.when((F.col("sample_id") + F.col("slot")) % 5 == 0, 0).otherwise(1))
     pred = P.contact_scores(V.predictions(spark, sf))
-    cells = labels.drop("score").join(pred, ["sample_id", "res_idx", "slot"])
-    sites = labels.groupBy("sample_id", "res_idx").agg(F.max("contact_label").alias("site_label")).join(
-        P.site_scores(pred), ["sample_id", "res_idx"])
+    cells = cut_lineage(labels.drop("score").join(pred, ["sample_id", "res_idx", "slot"]))
+    site_label = cells.groupBy("sample_id", "res_idx").agg(F.max("contact_label").alias("site_label"))
+    sites = site_label.join(P.site_scores(cells), ["sample_id", "res_idx"])
     target = V.sample_pwm(spark, sf).withColumnRenamed("slot", "pos")
-    pwm = P.gated_energy_pwm(pred).withColumnRenamed("slot", "pos")
+    pwm = P.gated_energy_pwm(cells).withColumnRenamed("slot", "pos")
     return cells, sites, target.join(pwm, ["sample_id", "pos"])
 
 

@@ -108,9 +108,8 @@ def column_contribution(spark, sf):
 
 def mask_residue_effect(spark, sf):
     cells = P.contact_scores(V.predictions(spark, sf))
-    top = P.mask_residue_effect(cells, True).withColumn("which", F.lit("top"))
-    low = P.mask_residue_effect(cells, False).withColumn("which", F.lit("lowest"))
-    return top.unionByName(low).select("sample_id", big("slot").alias("slot"), "which", big("masked_res").alias("masked_res"), r6("kl_shift").alias("kl_shift"))
+    return P.mask_residue_effect(cells).select(
+        "sample_id", big("slot").alias("slot"), "which", big("masked_res").alias("masked_res"), r6("kl_shift").alias("kl_shift"))
 
 
 QUERIES = {
