@@ -39,7 +39,9 @@ def parse_fold_entries(entries: DataFrame) -> DataFrame:
     stem = F.when(name.endswith(".npz"), F.substring(name, F.lit(1), F.length(name) - 4)).otherwise(name)
     parts = F.col("_parts")
     good = F.size(parts) == 3
-    return entries.withColumn("_parts", F.split(stem, "_", 3)).select(
+    # A one-element explode makes the parts a column of their own: filters on the
+    # results would otherwise be pushed down with a copy of the split in each.
+    return entries.select("*", F.explode(F.array(F.split(stem, "_", 3))).alias("_parts")).select(
         *entries.columns,
         F.when(good, F.lower(F.get(parts, F.lit(0)))).alias("structure_id"),
         F.when(good, F.get(parts, F.lit(1))).alias("chain"),
