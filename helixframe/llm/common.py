@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.checkpoints import ensure_checkpoint_dir
+
 #: Bytes of text worked on at once inside a task (one longer text makes one chunk).
 CHUNK_BYTES = 1 << 20
 #: Rows (of a few numbers each) up to which a computed side is broadcast; beyond it the join shuffles.
@@ -144,3 +147,17 @@ def rolling(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 def per_row(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(row, weights, n).astype(np.int64)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the shared checkpoint folder and read back: lineage ends, sizes are known, lost executors lose nothing."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def text_key(doc_id: Column, text: Column) -> Column:
+    """Names a row by id and text; rows that share both are one and the same to an operator."""
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))

@@ -262,9 +262,8 @@ def learners(docs: DataFrame) -> DataFrame:
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is not rejected; the labels of the stage's input teach."""
-    names = docs.columns
-    out = predict(docs, fit(learners(docs)), tuple(names))
-    return out.where("NOT rejected").select(*names)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return predict(rows, fit(learners(docs)), ("row",)).where("NOT rejected").select("row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from helixframe.llm.html import op8_html_extraction
 from helixframe.llm.langid import op5_language_id
 from helixframe.llm.repetition import op2_quality_rules
@@ -13,5 +14,5 @@ from helixframe.llm.secrets import op1_secret_scan
 from helixframe.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op5_language_id, op8_html_extraction, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_decontamination, op5_language_id, op8_html_extraction, op9_toxicity)}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL}
