@@ -123,21 +123,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["label", "terms"])
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
-    """Learn from (doc_id, text, label 0/1): at most ``sample`` whole texts of each label, by a hash of the id.
-
-    Rows with a NULL id or label teach nothing. Without both labels the model is the plain share of label 1."""
-    rows = labelled.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), "text").where("doc_id IS NOT NULL AND label IN (0, 1)")
-    have = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(have) < 2:
-        share = (have.get(1, 0) + 1) / (sum(have.values()) + 2)
+def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> FactorizationMachine:
+    """Learn from whole texts of ``docs`` (doc_id, text) as ``marks`` (doc_id, label 0/1) says.
+
+    Of each label at most ``sample`` marks are taken, by a hash of the id, before any text is read; this bounds what
+    is broadcast and what reaches the driver. Rows with a NULL id or label teach nothing. Without both labels the
+    model is the plain share of label 1."""
+    marks = marks.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
+    have = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("label") == 1, 1.5 * sample / have.get(1, 1)).otherwise(1.5 * sample / have.get(0, 1))
+    near = marks.where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share)
+    near = near.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("h", "doc_id"))).where(F.col("k") <= sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(near.select("doc_id", "label")), "doc_id")
+    got = texts.select("label", "text").mapInArrow(_features, "label int, terms array<int>").toArrow()
+    label = got.column("label").to_numpy().astype(float)
+    if len(set(label)) < 2:
+        share = (label.sum() + 1) / (len(label) + 2)
         return FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
-    share = F.when(F.col("label") == 1, 1.5 * sample / have[1]).otherwise(1.5 * sample / have[0])
-    near = rows.where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share)
-    near = near.withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("h", "doc_id", "text"))).where(F.col("k") <= sample)
-    got = near.select("label", "text").mapInArrow(_features, "label int, terms array<int>").toArrow()
     features = [np.asarray(x, np.int64) for x in got.column("terms").to_numpy()]
-    label = got.column("label").to_numpy().astype(float)
     order = np.lexsort(([int(x.sum()) for x in features], [len(x) for x in features], label))  # whatever order the rows came in
     return train([features[i] for i in order], label[order])
 
@@ -162,7 +165,7 @@ def score(docs: DataFrame, model: FactorizationMachine, held_out=None) -> DataFr
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    marks = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("label"))
     held = id_remainder(F.col("doc_id"), 5) == 0
-    model = fit(docs.select("doc_id", "text").where(~held).join(marks.where(~held), "doc_id"))
+    model = fit(docs, marks.where(~held))
     return score(docs, model, held).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
