@@ -10,10 +10,11 @@ from helixframe.llm.decontaminate import OP3_SQL, op3_decontamination
 from helixframe.llm.html import op8_html_extraction
 from helixframe.llm.langid import op5_language_id
 from helixframe.llm.linededup import OP4_SQL, op4_line_dedup
+from helixframe.llm.neardup import OP10_SQL, op10_minhash_neardup
 from helixframe.llm.repetition import op2_quality_rules
 from helixframe.llm.secrets import op1_secret_scan
 from helixframe.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_decontamination, op4_line_dedup, op5_language_id, op8_html_extraction, op9_toxicity)}
-ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_decontamination, op4_line_dedup, op5_language_id, op8_html_extraction, op9_toxicity, op10_minhash_neardup)}
+ORACLES: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op10_minhash_neardup": OP10_SQL}
