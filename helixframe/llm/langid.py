@@ -219,7 +219,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     model.usual, model.spread, model.a_letter = np.full(len(model.langs), np.inf), np.zeros(len(model.langs)), np.zeros(len(model.langs))
     for i, x in enumerate(model.langs):
         own = seen[seen["lang"] == x]
-        if len(own) >= 10:
+        if len(own) >= 3:
             ce, size = own["ce"].to_numpy(), own["size"].to_numpy()
             long = ce[size >= np.median(size)]
             model.usual[i], model.spread[i] = np.average(ce, weights=size), max(long.std(), 0.01)
