@@ -27,7 +27,7 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = queries()[name](spark, SF)
     rows = df.collect()
