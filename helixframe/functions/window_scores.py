@@ -58,11 +58,14 @@ def _score(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         weight[on] += den[den0[row[on]] + first[on] + j]
     plain = np.flatnonzero(weight <= 1e-8)
     weight[plain] = 1.0
-    for k in plain:  # windows without information: plain mean of the log terms
-        rows = lp0[row[k]] + 4 * (first[k] + np.arange(vis[k]))
-        c = codes[at[k]:at[k] + vis[k]]
-        fwd[k] = lp[rows + c].mean()
-        rev[k] = lp[rows + 3 - c[::-1]].mean()
+    # Windows without information: plain mean of the log terms.
+    fwd[plain] = rev[plain] = 0.0
+    for j in range(int(vis[plain].max(initial=0))):
+        on = plain[vis[plain] > j]
+        w = lp0[row[on]] + 4 * (first[on] + j)
+        fwd[on] += lp[w + codes[at[on] + j]]
+        rev[on] += lp[w + 3 - codes[at[on] + vis[on] - 1 - j]]
+    weight[plain] = vis[plain]
     return row, i, fwd / weight, rev / weight
 
 

@@ -15,16 +15,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.constants import EPS
-from helixframe.functions.pwm import ACGT, row_ic, total
+from helixframe.functions.pwm import ACGT, normalized, row_ic, total
 from helixframe.functions.window_scores import best_candidate, candidate_scores
 
-SEGMENT = 16384
-HALO = 4096
+#: Letters of a segment; bounds what one row's scores take.
+SEGMENT = 1024
 SCORE_MODES = ("log_likelihood", "ic_log_likelihood", "ic_pcc")
 
 
 # ------------------------------------------------------------------- inputs
-def segment_text_chains(chains: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
+def needed_halo(scoring: DataFrame) -> int:
+    """Letters a segment needs beyond its own: one less than the longest motif."""
+    return max(0, (scoring.agg(F.max("m")).first()[0] or 1) - 1)
+
+
+def segment_text_chains(chains: DataFrame, halo: int, segment: int = SEGMENT) -> DataFrame:
     """Cut ``sequence`` of (sample_id, chain_ord, chain, sequence, offset, motif_id)
     rows into segments with a halo."""
     length = F.length("sequence")
@@ -37,13 +42,15 @@ def segment_text_chains(chains: DataFrame, segment: int = SEGMENT, halo: int = H
     )
 
 
-def structure_chains(positions: DataFrame, segment: int = SEGMENT, halo: int = HALO) -> DataFrame:
+def structure_chains(positions: DataFrame, halo: int, segment: int = SEGMENT) -> DataFrame:
     """Chain rows (without sample and motif) from ``contacts.chain_positions``."""
     keys = ["structure_id", "chain"]
     chains = positions.groupBy(*keys).agg(
         F.min("dna_idx").alias("chain_ord"), F.count(F.lit(1)).cast("int").alias("chain_len"))
     block = F.floor(F.col("pos") / segment).cast("int")
-    blocks = F.when((F.col("pos") % segment < halo) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    # A letter lies in its own segment and in the halo of earlier ones.
+    earliest = F.greatest(F.lit(0), F.ceil((F.col("pos") + 1 - segment - halo) / segment).cast("int"))
+    blocks = F.sequence(earliest, block)
     rows = positions.withColumn("own", block).withColumn("seg", F.explode(blocks)).groupBy(*keys, "seg").agg(
         F.array_sort(F.collect_list(F.struct("pos", "letter", "dna_idx"))).alias("_l"),
         F.count_if(F.col("own") == F.col("seg")).cast("int").alias("core_len"))
@@ -56,7 +63,7 @@ def scoring_table(motifs: DataFrame, mode: str = "ic_log_likelihood", key: str =
     """Per motif: ``num`` (4M values, row-major), ``den`` (M), ``lp`` (4M), ``m``."""
     if mode not in SCORE_MODES:
         raise ValueError(f"score mode must be one of {', '.join(SCORE_MODES)}")
-    p = [F.col(b) for b in ACGT]
+    p = normalized([F.col(b) for b in ACGT])
     lp = [F.ln(c + EPS) for c in p]
     ic = row_ic(p)
     if mode == "log_likelihood":
@@ -87,7 +94,8 @@ _START = "if(is_full and reverse_complement, chain_len - m - seg_start - i, if(i
 def place(chain_rows: DataFrame, scoring: DataFrame) -> DataFrame:
     """Join chains to motifs and count the placements ``n_place`` of each row.
 
-    A chain shorter than the motif is placed whole inside it (``is_full`` false).
+    A chain shorter than the motif is placed whole inside it (``is_full`` false); with
+    ``needed_halo`` its first segment holds all of it.
     """
     return (
         chain_rows.join(scoring, "motif_id")
@@ -95,8 +103,7 @@ def place(chain_rows: DataFrame, scoring: DataFrame) -> DataFrame:
         .withColumn("vis", F.least("chain_len", "m").cast("int"))
         .withColumn("n_place", F.expr(
             "cast(if(is_full, least(core_len, length(sequence) - m + 1), m - chain_len + 1) as int)"))
-        .where(F.col("n_place") > 0)
-        .where(F.expr(f"if(m - 1 > {HALO}, raise_error('motif longer than the segment halo'), true)"))
+        .where((F.col("n_place") > 0) & (F.col("is_full") | (F.col("seg_start") == 0)))
     )
 
 
@@ -211,8 +218,10 @@ def contact_candidates(
         F.explode(F.expr("sequence(0, chain_len - least(m, chain_len))")).alias("fstart")).distinct()
     if skip_bad and bad is not None:
         spots = bad.select("structure_id", "chain", "pos").distinct()
-        hit = windows.join(spots, ["structure_id", "chain"]).where(
-            F.col("pos").between(F.col("fstart"), F.col("fstart") + F.col("vis") - 1)).select(*_WINDOW)
+        # A bad residue spoils the starts whose window covers it: an equi anti-join.
+        sizes = windows.select("structure_id", "chain", "vis").distinct()
+        hit = spots.join(sizes, ["structure_id", "chain"]).withColumn(
+            "fstart", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("vis") + 1).cast("int"), F.col("pos").cast("int")))).select(*_WINDOW)
         windows = windows.join(hit, _WINDOW, "left_anti")
         cands = cands.join(windows, _WINDOW, "left_semi")
     return cands.join(window_contacts(windows, positions, contacts), _WINDOW, "left").fillna(
@@ -333,17 +342,25 @@ def metadata_contact(aligned: DataFrame, score_mode: str) -> DataFrame:
 
 
 def metadata_manual(manual: DataFrame) -> DataFrame:
-    ok = manual.where(F.col("alignment_mode").isNotNull() & F.col("error").isNull())
+    """Explicit placements; a faulty one stays, without slots, so that no automatic
+    placement takes its place (``manual_errors`` has the reasons)."""
+    ok = manual.where(F.col("alignment_mode").isNotNull()).withColumn(
+        "slot_to_dna_index", F.when(F.col("error").isNull(), F.col("slot_to_dna_index")))
     zero = F.lit(0)
     return ok.select("sample_id", "slot_to_dna_index", *_meta(
         F.col("alignment_mode"), F.lit("manual"), F.lit(""), F.col("start"), F.lit(False), F.lit(None),
         F.lit(""), zero, zero))
 
 
+def manual_errors(manual: DataFrame) -> DataFrame:
+    """sample_id, error of faulty explicit placements."""
+    return manual.where("error IS NOT NULL").select("sample_id", "error")
+
+
 def alignment_policy(
     samples: DataFrame, manual: DataFrame, sequence_only: DataFrame, contact: DataFrame
 ) -> DataFrame:
-    """Manual list or start first, then the sample's ``policy``.
+    """Manual list or start first, also when it is faulty, then the sample's ``policy``.
 
     ``samples``: sample_id, policy; the other inputs are ``metadata_*`` tables.
     """

@@ -120,13 +120,16 @@ def better_count(rows: DataFrame, a: str, b: str, metric: str, key: str = "sampl
 
 
 def median_metric(rows: DataFrame, metric: str, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Exact median per group from ranks; no group is held in one task."""
+    """Exact median per group from the running counts of distinct values: a value that
+    many rows share is one row here, and no group is held in one task."""
     by = list(by)
-    vals = rows.where(F.col(metric).isNotNull()).select(*by, F.col(metric).alias("v"), F.lit(1).alias("one"))
-    r = running_totals(vals, by, [F.col("v").asc()], {"one": "one"})
-    sizes = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    mid = (F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor((F.col("n") + 2) / 2))
-    return r.join(sizes, by).where(mid).groupBy(*by).agg(F.avg("v").alias("median"), F.max("n").alias("n"))
+    vals = rows.where(F.col(metric).isNotNull()).groupBy(*by, F.col(metric).alias("v")).agg(F.count(F.lit(1)).alias("one"))
+    r = running_totals(vals, by, [F.col("v").asc()], {"upto": "one"})
+    sizes = vals.groupBy(*by).agg(F.sum("one").alias("n"))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("one") < k)
+    mid = r.join(sizes, by).where(holds(low) | holds(high))
+    return mid.groupBy(*by).agg(F.avg("v").alias("median"), F.max("n").alias("n"))
 
 
 def fold_metric_variance(rows: DataFrame, metrics: Sequence[str], fold: Column) -> DataFrame:

@@ -62,11 +62,15 @@ def reverse_complement(seq):
     return F.reverse(complement(seq))
 
 
+def _motif_key(base_rows: DataFrame) -> list[str]:
+    return [c for c in ("path", "motif_id") if c in base_rows.columns]
+
+
 def base_row_checks(base_rows: DataFrame) -> DataFrame:
     """Per motif: the four base rows, with an ``error`` when they cannot form a
     matrix.  ``base_rows``: motif_id, ord, base, values ARRAY<DOUBLE>; a base given
-    twice keeps its last row."""
-    per = base_rows.groupBy("motif_id").agg(
+    twice keeps its last row.  With a column ``path`` each file's motifs stand alone."""
+    per = base_rows.groupBy(*_motif_key(base_rows)).agg(
         *[F.expr(f"max_by(values, ord) FILTER (WHERE base = '{b.upper()}')").alias(f"row_{b}") for b in ACGT])
     present = F.array(*[F.when(F.col(f"row_{b}").isNull(), b.upper()) for b in ACGT])
     missing = F.array_compact(present)
@@ -84,8 +88,9 @@ def base_rows_to_pwm(base_rows: DataFrame) -> DataFrame:
     (``pwm_validate`` lists them)."""
     ok = base_row_checks(base_rows).where(F.col("error").isNull())
     zipped = F.arrays_zip(*[F.col(f"row_{b}").alias(f"row_{b}") for b in ACGT])
-    return ok.select("motif_id", F.posexplode(zipped).alias("pos", "v")).select(
-        "motif_id", "pos", *[F.col(f"v.row_{b}").alias(b) for b in ACGT])
+    keys = _motif_key(base_rows)
+    return ok.select(*keys, F.posexplode(zipped).alias("pos", "v")).select(
+        *keys, "pos", *[F.col(f"v.row_{b}").alias(b) for b in ACGT])
 
 
 def pwm_validate(base_rows: DataFrame) -> DataFrame:

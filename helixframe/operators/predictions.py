@@ -13,10 +13,17 @@ from helixframe.operators.ordering import first_per_key
 ENERGY = tuple(f"e_{b}" for b in ACGT)
 
 
-def ensemble_mean(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Elementwise mean over models; ``n_models`` lets the caller check coverage."""
-    return rows.groupBy(*keys).agg(
-        *[F.avg(v).alias(v) for v in values], F.countDistinct("model_id").alias("n_models"))
+def ensemble_mean(rows: DataFrame, keys: Sequence[str], values: Sequence[str], expected: int | None = None) -> DataFrame:
+    """Elementwise mean over the models, one row each for every key.
+
+    With ``expected`` a key with another number of rows has no mean: its values are NULL
+    and ``error`` says why."""
+    got = rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n_models"))
+    if expected is None:
+        return got.withColumn("error", F.lit(None).cast("string"))
+    whole = F.col("n_models") == expected
+    return got.select(*keys, *[F.when(whole, F.col(v)).alias(v) for v in values], "n_models", F.when(
+        ~whole, F.concat(F.lit(f"expected {expected} models, got "), F.col("n_models").cast("string"))).alias("error"))
 
 
 def gated_energy_logits(cells: DataFrame, gate: str = "a_base") -> DataFrame:

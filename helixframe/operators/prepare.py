@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.checkpoints import cut_lineage
-from helixframe.functions.constants import FAILURE_RULES
+from helixframe.functions.constants import FAILURE_RULES, MANIFEST_COLUMNS
 from helixframe.operators import align as A
 from helixframe.operators import contacts as C
 from helixframe.operators import geometry as G
@@ -86,10 +86,11 @@ def failure_pivot(outcomes: DataFrame, labels: list[str] | None = None) -> DataF
     c = classify_failures(outcomes).withColumn("label", F.when(F.col("reason").isNotNull(), F.col("label")))
     per = c.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
     wide = per.rollup("split").agg(
+        F.grouping("split").alias("_all"),
         F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("success"),
         F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("failure"),
         *[F.sum(F.when(F.col("label") == name, F.col("n")).otherwise(0)).alias(name) for name in labels])
-    return wide.withColumn("split", F.coalesce("split", F.lit("global")))
+    return wide.withColumn("split", F.when(F.col("_all") == 1, "global").otherwise(F.col("split"))).drop("_all")
 
 
 def prepare_samples(
@@ -99,7 +100,7 @@ def prepare_samples(
     """Status of every sample with its placement, sizes and label counts.
 
     ``samples``: sample_id, structure_id, motif_id, protein_chains, dna_chains
-    (texts; blank = all).  Samples with the same structure and chain lists share one
+    (texts; blank = all); other manifest columns are carried through.  Samples with the same structure and chain lists share one
     *selection* of residue indices.
     """
     s = samples.withColumn("selection", F.concat_ws("|", "structure_id", "protein_chains", "dna_chains"))
@@ -115,8 +116,8 @@ def prepare_samples(
     residues = cut_lineage(S.index_kinds(chosen))
     protein, dna = residues.where("kind = 'protein'"), residues.where("kind = 'dna'")
     positions = cut_lineage(C.chain_positions(dna))
-    chains = A.structure_chains(positions)
     scoring = A.scoring_table(motifs, mode)
+    chains = A.structure_chains(positions, A.needed_halo(scoring))
     p = protein.select("structure_id", F.col("source"), F.col("res_ord").alias("p_ord"), F.col("sel_idx").alias("res_idx"))
     d = dna.select("structure_id", F.col("res_ord").alias("d_ord"), F.col("sel_idx").alias("dna_idx"))
     distances = (
@@ -144,7 +145,9 @@ def prepare_samples(
     empty = protein.where("n_heavy = 0").groupBy(F.col("structure_id").alias("selection")).agg(
         F.min_by(S.residue_id(), F.col("sel_idx")).alias("_rid")).select("selection", F.concat(
             F.lit("Residue "), "_rid", F.lit(" has no heavy atoms.")).alias("heavy_error"))
-    known = atoms.select("structure_id").distinct().withColumn("_has", F.lit(True))
+    # An atom line that cannot be read fails every sample on its structure.
+    unread = F.col("parse_error") if "parse_error" in atoms.columns else F.lit(None).cast("string")
+    known = atoms.groupBy("structure_id").agg(F.min(unread).alias("parse_error")).withColumn("_has", F.lit(True))
     known_motif = motifs.select("motif_id").distinct().withColumn("_motif", F.lit(True))
 
     j = (
@@ -158,6 +161,7 @@ def prepare_samples(
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     error = (
         F.when(F.col("_has").isNull(), F.concat(F.lit("structure file not found: "), "structure_id"))
+        .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
         .when(F.col("_motif").isNull(), F.concat(F.lit("motif file not found: "), F.col("motif_id").cast("string")))
         .when(none("n_res"), "No protein residues found. Check --protein-chains.")
         .when(none("n_dna"), "No DNA residues found. Check --dna-chains.")
@@ -165,7 +169,9 @@ def prepare_samples(
     )
     prefix = F.when(F.col("is_full"), "").otherwise("partial_")
     done = j.select(
-        "sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains", error.alias("error"),
+        "sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains",
+        *[c for c in MANIFEST_COLUMNS if c in s.columns and c not in ("sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains")],
+        error.alias("error"),
         "n_res", "m", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
         *[F.col(f"{c}_pos").alias(out) for c, out in zip(("base", "backbone", "contact", "site"), COUNTS)],
         "slot_to_dna_index", F.concat(prefix, F.lit("contact_constrained_pwm_dna")).alias("alignment_mode"),

@@ -103,37 +103,21 @@ def select_residues(
     return dense_index(picked, ["structure_id"], "res_ord", "sel_idx")
 
 
-def sequence_blocks(
-    selected: DataFrame, keys: list[str], index: str = "sel_idx", block: int = 16384
-) -> DataFrame:
-    """One-letter strings with the index of every letter, in blocks.
-
-    A chain of up to ``block`` residues is one row (block 0); a longer one goes on
-    in further rows, so no row or task grows with the chain.
-    """
-    pos = dense_index(selected.withColumn("letter", one_letter()), keys, index, "_pos") \
-        if keys != ["structure_id"] else selected.withColumn("letter", one_letter()).withColumn("_pos", F.col(index))
-    return (
-        pos.withColumn("block", F.floor(F.col("_pos") / block).cast("int"))
-        .groupBy(*keys, "block")
-        .agg(F.array_sort(F.collect_list(F.struct(index, "letter"))).alias("_l"))
-        .select(
-            *keys, "block",
-            F.array_join(F.col("_l.letter"), "").alias("sequence"),
-            F.col(f"_l.{index}").alias("indices"),
-        )
-    )
+def _sequences(selected: DataFrame, keys: list[str]) -> DataFrame:
+    """One-letter string and the index of every letter, one row per key."""
+    return selected.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("sel_idx", one_letter().alias("letter")))).alias("_l")).select(
+        *keys, F.array_join(F.col("_l.letter"), "").alias("sequence"), F.col("_l.sel_idx").alias("indices"))
 
 
 def residue_sequence(selected: DataFrame) -> DataFrame:
     """One-letter sequence of the selected residues of each structure."""
-    return sequence_blocks(selected, ["structure_id"])
+    return _sequences(selected, ["structure_id"])
 
 
 def dna_chain_sequences(selected_dna: DataFrame) -> DataFrame:
     """Per DNA chain: base string, indices of its residues, chain order."""
-    first = selected_dna.groupBy("structure_id", "chain").agg(F.min("sel_idx").alias("chain_ord"))
-    return sequence_blocks(selected_dna, ["structure_id", "chain"]).join(first, ["structure_id", "chain"])
+    return _sequences(selected_dna, ["structure_id", "chain"]).withColumn("chain_ord", F.get("indices", F.lit(0)))
 
 
 def heavy_atoms(atoms: DataFrame) -> DataFrame:

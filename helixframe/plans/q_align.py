@@ -14,7 +14,8 @@ from helixframe.plans.common import big, joined, r6, table, with_ctes
 
 # ----------------------------------------------------------------- text samples
 def _text(spark, sf, mode="ic_log_likelihood"):
-    return A.segment_text_chains(V.text_chains(spark, sf)), A.scoring_table(V.motifs(spark, sf), mode)
+    scoring = A.scoring_table(V.motifs(spark, sf), mode)
+    return A.segment_text_chains(V.text_chains(spark, sf), A.needed_halo(scoring)), scoring
 
 
 def _cand(df):
@@ -75,8 +76,8 @@ class Complexes:
         self.dna = residues.where("kind = 'dna'")
         self.samples = complex_samples(spark, sf)
         self.positions = cut_lineage(C.chain_positions(self.dna))
-        self.chains = A.structure_chains(self.positions)
         self.scoring = A.scoring_table(V.motifs(spark, sf), mode)
+        self.chains = A.structure_chains(self.positions, A.needed_halo(self.scoring))
         self.atoms = S.tag_atoms(atoms)
         self.distances = cut_lineage(C.residue_distances(self.atoms, self.protein, self.dna, max_cutoff))
         self.contacts = C.contact_labels(self.distances)
@@ -293,7 +294,7 @@ man AS (SELECT sample_id, m,
 _METAMAN = """SELECT sample_id, array_to_string(slots, ',') AS slots, alignment_mode, 'manual' AS alignment_score_mode, '' AS alignment_chain,
     start::BIGINT AS alignment_start, false AS alignment_reverse_complement, NULL::DOUBLE AS alignment_score, '' AS alignment_sequence,
     0::BIGINT AS alignment_candidate_count, 0::BIGINT AS alignment_contact_candidate_count
-    FROM man WHERE alignment_mode IS NOT NULL AND error IS NULL"""
+    FROM (SELECT * REPLACE (CASE WHEN error IS NULL THEN slots END AS slots) FROM man) WHERE alignment_mode IS NOT NULL"""
 _METASEQ = f"""SELECT sample_id, {_SLOTS} AS slots, CASE WHEN is_full THEN 'auto_pwm_dna' ELSE 'partial_auto_pwm_dna' END AS alignment_mode,
     'ic_log_likelihood' AS alignment_score_mode, chain AS alignment_chain, start AS alignment_start, rev AS alignment_reverse_complement,
     round(score, 6) AS alignment_score, aligned AS alignment_sequence, 0::BIGINT AS alignment_candidate_count, 0::BIGINT AS alignment_contact_candidate_count FROM sb"""

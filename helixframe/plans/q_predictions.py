@@ -17,8 +17,8 @@ LOSSES = ["loss", "loss_pwm", "loss_pwm_teacher", "loss_A", "loss_A_base", "loss
 
 def ensemble_mean(spark, sf):
     vals = ["base_logit", "backbone_logit", *ENERGY]
-    return P.ensemble_mean(V.model_cells(spark, sf), ["sample_id", "res_idx", "slot"], vals).select(
-        "sample_id", big("res_idx").alias("res_idx"), big("slot").alias("slot"), "n_models", *[r6(v, 12).alias(v) for v in vals])
+    return P.ensemble_mean(V.model_cells(spark, sf), ["sample_id", "res_idx", "slot"], vals, expected=2).select(
+        "sample_id", big("res_idx").alias("res_idx"), big("slot").alias("slot"), "n_models", *[r6(v, 12).alias(v) for v in vals], "error")
 
 
 def _cells(spark, sf):
@@ -181,7 +181,8 @@ def _effect(which, order):
 
 ORACLES = {
     "ensemble_mean": with_ctes([V.SQL_MODEL], "SELECT sample_id, res_idx::BIGINT AS res_idx, slot, count(DISTINCT model_id) AS n_models, "
-        + ", ".join(f"round(avg({v}), 12) + 0.0::DOUBLE AS {v}" for v in ["base_logit", "backbone_logit", *ENERGY]) + " FROM v_model GROUP BY sample_id, res_idx, slot"),
+        + ", ".join(f"CASE WHEN count(DISTINCT model_id) = 2 THEN round(avg({v}), 12) + 0.0::DOUBLE END AS {v}" for v in ["base_logit", "backbone_logit", *ENERGY])
+        + ", CASE WHEN count(DISTINCT model_id) <> 2 THEN 'expected 2 models, got ' || count(DISTINCT model_id) END AS error FROM v_model GROUP BY sample_id, res_idx, slot"),
     "gated_energy_pwm": with_ctes([*PRED, "lg AS (SELECT sample_id, slot, sum(a_base*e_a) AS la, sum(a_base*e_c) AS lc, sum(a_base*e_g) AS lg, sum(a_base*e_t) AS lt FROM v_pred GROUP BY ALL)"],
         f"SELECT sample_id, slot, {_soft()} FROM lg"),
     "contact_site_scores": with_ctes(PRED, """SELECT sample_id, res_idx::BIGINT AS res_idx, round(max(greatest(base_logit, backbone_logit)), 6) AS site_score,

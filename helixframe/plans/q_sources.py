@@ -167,7 +167,7 @@ def scan_path_manifest(spark, sf):
     value = (F.when(k % 7 == 0, "").when(k % 7 == 1, "  # skipped").when(k % 7 == 2, F.concat(F.lit("/abs/"), ks, F.lit(".npz")))
              .otherwise(F.concat(F.lit(" rel/"), ks, F.lit(".npz "))))
     lines = table(spark, sf, "documents").select(k.alias("ord"), value.alias("value"))
-    return SM.scan_path_manifest(lines, "/data/sets", 120)
+    return SM.scan_path_manifest(lines, "/data/sets")
 
 
 def scan_fold_entries(spark, sf):
@@ -262,7 +262,7 @@ ORACLES = {
     "scan_hocomoco_collection": with_ctes(MOTIF, f"""SELECT 'M' || motif_id AS motif_id, pos, {_CNT}, NULL AS error FROM v_motif WHERE motif_id % 13 <> 5
         UNION ALL SELECT DISTINCT 'M' || motif_id, NULL, NULL, NULL, NULL, NULL, 'M' || motif_id || ': expected 4 base rows, got 3' FROM v_motif WHERE motif_id % 13 = 5"""),
     "scan_source_manifest": with_ctes([V.SQL_MANIFEST], "SELECT ord, " + ", ".join(f"trim({c}) AS {c}" for c in MANIFEST_COLUMNS) + " FROM v_man"),
-    "scan_path_manifest": "SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 2 THEN '/abs/' || doc_id || '.npz' ELSE '/data/sets/rel/' || doc_id || '.npz' END AS sample_path FROM documents WHERE doc_id % 7 > 1 ORDER BY doc_id LIMIT 120",
+    "scan_path_manifest": "SELECT doc_id AS ord, CASE WHEN doc_id % 7 = 2 THEN '/abs/' || doc_id || '.npz' ELSE '/data/sets/rel/' || doc_id || '.npz' END AS sample_path FROM documents WHERE doc_id % 7 > 1",
     "scan_fold_entries": with_ctes([V.SQL_FOLDS], "SELECT split, ord, entry FROM v_folds WHERE ord % 11 NOT IN (4, 5)"),
     "scan_motif_index": with_ctes([V.SQL_INDEX], """SELECT motif_id, motif_source, motif_version, motif_path FROM v_index WHERE motif_id <> ''
         QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY ord DESC) = 1"""),

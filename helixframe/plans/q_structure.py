@@ -85,12 +85,12 @@ def _selected(spark, sf, kind):
 
 
 def residue_sequence(spark, sf):
-    return S.residue_sequence(_selected(spark, sf, "protein")).select("structure_id", big("block").alias("block"), "sequence")
+    return S.residue_sequence(_selected(spark, sf, "protein")).select("structure_id", "sequence")
 
 
 def dna_chain_sequences(spark, sf):
     return S.dna_chain_sequences(_selected(spark, sf, "dna")).select(
-        "structure_id", "chain", big("chain_ord").alias("chain_ord"), big("block").alias("block"), "sequence",
+        "structure_id", "chain", big("chain_ord").alias("chain_ord"), "sequence",
         joined("indices").alias("indices"))
 
 
@@ -212,8 +212,8 @@ ORACLES = {
         row_number() OVER (PARTITION BY structure_id ORDER BY res_ord) - 1 AS sel_idx
         FROM v_prot WHERE structure_id >= 's4' OR chain IN ('A','C')"""),
     "residue_ids": with_ctes(RES, "SELECT structure_id, res_ord, chain || ':' || resseq || icode AS residue_id FROM v_res"),
-    "residue_sequence": with_ctes(RES, f"SELECT structure_id, kind_idx // 16384 AS block, string_agg({ONE_CASE}, '' ORDER BY kind_idx) AS sequence FROM v_prot GROUP BY ALL"),
-    "dna_chain_sequences": with_ctes(RES, f"""SELECT structure_id, chain, min(kind_idx) AS chain_ord, 0::BIGINT AS block,
+    "residue_sequence": with_ctes(RES, f"SELECT structure_id, string_agg({ONE_CASE}, '' ORDER BY kind_idx) AS sequence FROM v_prot GROUP BY ALL"),
+    "dna_chain_sequences": with_ctes(RES, f"""SELECT structure_id, chain, min(kind_idx) AS chain_ord,
         string_agg({ONE_CASE}, '' ORDER BY kind_idx) AS sequence, string_agg(kind_idx::VARCHAR, ',' ORDER BY kind_idx) AS indices
         FROM v_dna GROUP BY structure_id, chain"""),
     "heavy_atoms": with_ctes(ATOMS, "SELECT structure_id, chain, count(*) AS n_heavy, min(atom_ord) AS first_ord, max(atom_ord) AS last_ord FROM v_heavy GROUP BY ALL"),

@@ -289,7 +289,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     from helixframe.operators.predictions import ensemble_mean
 
     out = ensemble_mean(model_cells(spark, sf), ["sample_id", "res_idx", "slot"],
-                        ["base_logit", "backbone_logit", "e_a", "e_c", "e_g", "e_t"]).drop("n_models")
+                        ["base_logit", "backbone_logit", "e_a", "e_c", "e_g", "e_t"]).drop("n_models", "error")
     return out.withColumn("base_logit", F.round("base_logit", 12)).withColumn(
         "backbone_logit", F.round("backbone_logit", 12))
 

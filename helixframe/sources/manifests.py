@@ -20,10 +20,11 @@ def parse_tsv(lines: DataFrame, header: list[str], required: list[str], what: st
     lost = missing_columns(header, required)
     if lost:
         raise ValueError(f"{what} is missing columns: {', '.join(lost)}")
-    parts = F.split("value", "\t")
+    schema = ", ".join(f"c{i} string" for i in range(len(header)))
+    row = F.from_csv("value", schema, {"sep": "\t", "escape": '"', "quote": '"'})
     return lines.where(F.trim("value") != "").select(
         *[c for c in lines.columns if c != "value"],
-        *[F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))).alias(c) for i, c in enumerate(header)])
+        *[F.trim(F.coalesce(row[f"c{i}"], F.lit(""))).alias(c) for i, c in enumerate(header)])
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -42,6 +43,8 @@ def read_tsv(spark: SparkSession, path: str, required: list[str], what: str) ->
 
 def read_source_manifest(spark: SparkSession, path: str) -> DataFrame:
     df = read_tsv(spark, path, MANIFEST_REQUIRED, "source manifest")
+    if df.isEmpty():
+        raise ValueError(f"source manifest has no rows: {path}")
     for c in MANIFEST_COLUMNS:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
@@ -49,7 +52,10 @@ def read_source_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_motif_index(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, MOTIF_INDEX_COLUMNS, "motif index").select("ord", *MOTIF_INDEX_COLUMNS)
+    df = read_tsv(spark, path, MOTIF_INDEX_COLUMNS, "motif index").select("ord", *MOTIF_INDEX_COLUMNS)
+    if df.isEmpty():
+        raise ValueError(f"motif index has no rows: {path}")
+    return df
 
 
 def scan_path_manifest(lines: DataFrame, root: str, limit: int = 0) -> DataFrame:

@@ -61,10 +61,11 @@ def jaspar_base_rows(texts: DataFrame) -> DataFrame:
     base = F.upper(F.substring("value", 1, 1))
     rest = F.substring(F.col("value"), F.lit(2), F.length("value"))
     return _record_lines(texts).where(base.isin("A", "C", "G", "T")).select(
-        "motif_id", "ord", base.alias("base"), _numbers(rest).alias("values"))
+        "path", "motif_id", "ord", base.alias("base"), _numbers(rest).alias("values"))
 
 
 def scan_jaspar_collection(texts: DataFrame) -> DataFrame:
+    """path, motif_id and matrix rows: a motif id in several files is several motifs."""
     return base_rows_to_pwm(jaspar_base_rows(texts))
 
 
@@ -72,12 +73,13 @@ def hocomoco_base_rows(texts: DataFrame) -> DataFrame:
     """Base rows of records with unlabelled rows; ``n_rows`` shows faulty ones."""
     per = _record_lines(texts).groupBy("path", "motif_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "value"))).getField("value").alias("rows"))
-    return per.select("motif_id", F.size("rows").alias("n_rows"), F.posexplode("rows").alias("ord", "value")).select(
-        "motif_id", "n_rows", "ord", F.get(F.array(*[F.lit(b.upper()) for b in ACGT]), F.col("ord")).alias("base"),
+    return per.select("path", "motif_id", F.size("rows").alias("n_rows"), F.posexplode("rows").alias("ord", "value")).select(
+        "path", "motif_id", "n_rows", "ord", F.get(F.array(*[F.lit(b.upper()) for b in ACGT]), F.col("ord")).alias("base"),
         _numbers(F.col("value")).alias("values"))
 
 
 def scan_hocomoco_collection(texts: DataFrame) -> DataFrame:
+    """path, motif_id and matrix rows, as ``scan_jaspar_collection``."""
     return base_rows_to_pwm(hocomoco_base_rows(texts).where("n_rows = 4"))
 
 

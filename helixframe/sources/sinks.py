@@ -52,9 +52,11 @@ def motif_index_for_output(index: DataFrame, index_dir: str) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """Tab-separated part files with header; ``order`` sorts by range, in parallel."""
+    """Tab-separated part files with header; ``order`` sorts by range, in parallel.
+
+    Blank cells stay blank; a quoted cell doubles its quote signs, as ``read_tsv`` expects."""
     out = df.orderBy(*order) if order else df
-    out.drop("ord").write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    out.drop("ord").write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
 def write_source_manifest(manifest: DataFrame, path: str, manifest_dir: str) -> None:
@@ -121,8 +123,17 @@ def summary_json(summary: DataFrame) -> DataFrame:
 
 
 def write_eval_report(rows: DataFrame, summary: DataFrame, metrics: Sequence[str], path: str) -> None:
+    """Lines with a header, samples by id and metrics in their fixed order, beside JSON lines of both."""
     root = path.rstrip("/")
-    render_eval_rows(rows, metrics).select("line").write.mode("overwrite").text(f"{root}/per_sample")
-    render_summary(summary).select("line").write.mode("overwrite").text(f"{root}/summary")
+
+    def put(lines: DataFrame, order: Sequence[Column | str], header: Sequence[str], name: str) -> None:
+        first = lines.sparkSession.createDataFrame([("\t".join(header),)], "line string").withColumn("_head", F.lit(0))
+        both = lines.withColumn("_head", F.lit(1)).unionByName(first, allowMissingColumns=True)
+        both.orderBy("_head", *order).select("line").write.mode("overwrite").text(f"{root}/{name}")
+
+    names = ordered_metrics(metrics)
+    put(render_eval_rows(rows, metrics), ["sample_id"], ["sample_id", *names], "per_sample")
+    place = F.array_position(F.array(*[F.lit(m) for m in ordered_metrics([*names])]), F.col("metric"))
+    put(render_summary(summary), [place, "metric"], ["metric", "mean", "std", "n"], "summary")
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{root}/samples_json")
     summary_json(summary).select("json").write.mode("overwrite").text(f"{root}/summary_json")

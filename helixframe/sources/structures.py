@@ -129,7 +129,7 @@ def _site_atoms(rows: DataFrame) -> DataFrame:
     out = cleaned.where(group.isin("ATOM", "HETATM") & value("label_alt_id").isin("", "A")).select(
         "structure_id", F.col("atom_ord").cast("bigint").alias("atom_ord"), group.alias("record"),
         first("auth_atom_id", "label_atom_id").alias("name"), F.upper(first("auth_comp_id", "label_comp_id")).alias("resname"),
-        F.when(chain == "", "_").otherwise(chain).alias("chain"), seq.cast("int").alias("resseq"),
+        F.when(chain == "", "_").otherwise(chain).alias("chain"), seq.try_cast("int").alias("resseq"),
         value("pdbx_PDB_ins_code").alias("icode"), value("Cartn_x").try_cast("double").alias("x"),
         value("Cartn_y").try_cast("double").alias("y"), value("Cartn_z").try_cast("double").alias("z"),
         F.upper(value("type_symbol")).alias("element"))

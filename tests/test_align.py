@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import align as A
 from helixframe.operators import contacts as C
@@ -13,7 +14,7 @@ LOW_IC = [[0.30, 0.20, 0.20, 0.30], [0.97, 0.01, 0.01, 0.01], [0.30, 0.20, 0.20,
 
 
 def align(spark, matrix, *sequences, mode="ic_log_likelihood", **kw):
-    chains = A.segment_text_chains(text_chain(spark, sequences), **kw)
+    chains = A.segment_text_chains(text_chain(spark, sequences), **{"halo": len(matrix) - 1} | kw)
     return first(A.align_sequence_only(chains, A.scoring_table(motif_rows(spark, 1, matrix), mode)))
 
 
@@ -105,7 +106,7 @@ def complex_tables(spark, sequence, contacted, motif, drop=()):
     tagged = S.tag_atoms(atoms)
     samples = spark.createDataFrame([(1, "s", 1)], "sample_id long, structure_id string, motif_id long")
     scoring = A.scoring_table(motif_rows(spark, 1, consensus_matrix(motif)))
-    chains = A.structure_chains(pos)
+    chains = A.structure_chains(pos, A.needed_halo(scoring))
     contacts = C.contact_labels(C.residue_distances(tagged, protein, dna))
     missing = C.missing_parts(tagged, dna).join(pos.drop("letter"), ["structure_id", "dna_idx"])
     return samples, chains, scoring, pos, contacts, missing, protein
@@ -186,9 +187,43 @@ def test_unknown_mode_is_refused(spark):
 
 
 def test_candidate_count_formula(spark):
-    chains = A.segment_text_chains(text_chain(spark, ["ACGTACGT", "AC"]), segment=3)
+    chains = A.segment_text_chains(text_chain(spark, ["ACGTACGT", "AC"]), halo=2, segment=3)
     scoring = A.scoring_table(motif_rows(spark, 1, consensus_matrix("ACG")))
     full = A.enumerate_windows(chains, scoring, "full").collect()
     part = A.enumerate_windows(chains, scoring, "partial").collect()
     assert sorted((r.reverse_complement, r.start) for r in full) == sorted(itertools.product((False, True), range(6)))
     assert len(part) == 4
+
+
+def test_long_motif_on_long_and_short_chains(spark):
+    """A motif longer than any segment, beside a short one; both as one segment would give them."""
+    rng = random.Random(1)
+    letters = "".join(rng.choice("ACGT") for _ in range(5600))
+    long, short = letters[300:5300], letters[2000:2012]
+    motifs = motif_rows(spark, 1, consensus_matrix(long)).unionByName(motif_rows(spark, 2, consensus_matrix(short)))
+    scoring = A.scoring_table(motifs)
+    rows = [(s, 0, "A", text, 0, m) for s, text, m in ((1, letters, 1), (2, letters[:90], 1), (3, letters, 2), (4, letters[300:3000], 1))]
+    chains = spark.createDataFrame(rows, "sample_id long, chain_ord int, chain string, sequence string, offset int, motif_id long")
+    got = []
+    for segment in (A.SEGMENT, 1 << 20):
+        best = A.align_sequence_only(A.segment_text_chains(chains, A.needed_halo(scoring), segment), scoring).collect()
+        got.append({r.sample_id: (r.is_full, r.start, r.reverse_complement, r.aligned_sequence) for r in best})
+    assert got[0] == got[1]
+    assert got[0][1][:3] == (True, 300, False) and got[0][3][:3] == (True, 2000, False) and not got[0][2][0]
+    assert got[0][4][:2] == (False, 0) and got[0][4][3].startswith(letters[300:3000])
+
+
+def test_counts_are_normalised_before_scoring(spark):
+    counts = [[30, 10, 5, 5], [1, 97, 1, 1], [2, 2, 2, 94]]
+    shares = [[x / sum(row) for x in row] for row in counts]
+    assert align(spark, counts, "TTACTGA", mode="log_likelihood").score == pytest.approx(align(spark, shares, "TTACTGA", mode="log_likelihood").score)
+
+
+def test_faulty_manual_placement_is_not_replaced(spark):
+    df = spark.createDataFrame([(1, 3, "1,2", None), (2, 3, "0,1,2", None)], "sample_id long, m int, manual_index string, manual_start int")
+    manual = A.manual_slots(df)
+    auto = A.metadata_manual(manual.withColumn("error", F.lit(None).cast("string"))).withColumn("alignment_mode", F.lit("auto"))
+    samples = df.select("sample_id", F.lit("sequence_only").alias("policy"))
+    out = {r.sample_id: r for r in A.alignment_policy(samples, A.metadata_manual(manual), auto, auto).collect()}
+    assert len(out) == 2 and out[1].slot_to_dna_index is None and out[2].slot_to_dna_index == [0, 1, 2]
+    assert [r.sample_id for r in A.manual_errors(manual).collect()] == [1]

@@ -9,29 +9,30 @@ from helixframe.sources import sinks as K
 from helixframe.sources import structures as SS
 from helixframe.sources.text import number_lines, read_whole
 
-CIF = """data_toy
-#
+CIF = """data_small
+_cell.length_a 10.0
 loop_
-_atom_site.group_PDB
 _atom_site.id
-_atom_site.type_symbol
+_atom_site.group_PDB
 _atom_site.label_atom_id
 _atom_site.label_alt_id
 _atom_site.label_comp_id
-_atom_site.label_asym_id
 _atom_site.auth_asym_id
-_atom_site.label_seq_id
 _atom_site.auth_seq_id
-_atom_site.pdbx_PDB_ins_code
 _atom_site.Cartn_x
 _atom_site.Cartn_y
 _atom_site.Cartn_z
-ATOM 1 N N . ARG A A 1 10 ? 1.0 2.0 3.0
-ATOM 2 C CA . ARG A A 1 10 ? 2.0 2.0 3.0
-HETATM 3 P P . DA B B 1 1 ? 5.0 6.0 7.0
-HETATM 4 N N1 . DA B B 1 1 ? 5.5
-6.0 7.0 ATOM 5 C "C1'" . DA B B 1 1 ? 5.5 6.5 7.0
-#
+_atom_site.type_symbol
+_atom_site.pdbx_PDB_ins_code
+11 ATOM N . ARG A 10 0.5 -1.5 2.25 N ?
+12 ATOM CA . ARG A 10 1.5 -1.5 2.25 C ?
+20 HETATM P . DA B 1 7.0 8.0 9.0 P ?
+21 HETATM N1 . DA B 1 7.5 8.0
+9.5 N ? 22 ATOM "C1'" . DA B 1 7.5 8.5 9.5 C ?
+23 ATOM N . ARG A 99999999999 0.0 0.0 0.0 N ?
+loop_
+_other.id
+1
 """
 PDB = (
     "ATOM      1  N   ARG A  10A      1.000   2.000   3.000  1.00 20.00           N\n"
@@ -91,8 +92,43 @@ def test_manifest_round_trip(spark, tmp_path):
     assert (ok.structure_file, ok.motif_file) == ("/cache/1abc.cif", "/m/pwms/m1.txt")
     out = str(tmp_path / "out")
     K.write_source_manifest(N.validate_manifest(SM.read_source_manifest(spark, str(src))).where("error IS NULL"), out, "/m")
-    back = spark.read.option("sep", "\t").option("header", True).csv(out).collect()
+    back = SM.read_source_manifest(spark, out).collect()
     assert back[0].sample_id == "toy_1" and back[0].structure_format == "cif" and back[0].motif_path == "/m/pwms/m1.txt"
+    assert back[0].structure_path == back[0].notes == back[0].split == ""
+    again = N.resolve_paths(N.validate_manifest(SM.read_source_manifest(spark, out)), "/m", "/cache").collect()[0]
+    assert (again.structure_file, again.motif_file) == ("/cache/1abc.cif", "/m/pwms/m1.txt")
+
+
+def test_quoted_cells_come_back(spark, tmp_path):
+    row = {c: "x" for c in SM.MANIFEST_COLUMNS} | {"notes": 'says "so"', "split": "a\tb", "structure_path": ""}
+    df = spark.createDataFrame([row], SM.MANIFEST_SCHEMA)
+    K.write_tsv(df.select(*SM.MANIFEST_COLUMNS), str(tmp_path / "q"))
+    back = SM.read_source_manifest(spark, str(tmp_path / "q")).drop("ord").collect()
+    assert [r.asDict() for r in back] == [row]
+
+
+def test_empty_manifest_is_refused(spark, tmp_path):
+    p = tmp_path / "none.tsv"
+    p.write_text("\t".join(SM.MANIFEST_REQUIRED) + "\n")
+    with pytest.raises(ValueError, match="no rows"):
+        SM.read_source_manifest(spark, str(p))
+
+
+def test_collections_keep_files_apart(spark):
+    record = ">M\nA [ {0} ]\nC [ {0} ]\nG [ {0} ]\nT [ {0} ]\n"
+    t = spark.createDataFrame([("p", record.format(1)), ("q", record.format(2))], "path string, text string")
+    assert sorted((r.path, r.a, r.t) for r in SMo.scan_jaspar_collection(t).collect()) == [("p", 1, 1), ("q", 2, 2)]
+    t = spark.createDataFrame([("p", ">M\n1\n1\n1\n1\n"), ("q", ">M\n2\n2\n2\n2\n")], "path string, text string")
+    assert sorted((r.path, r.a, r.t) for r in SMo.scan_hocomoco_collection(t).collect()) == [("p", 1, 1), ("q", 2, 2)]
+
+
+def test_report_files_have_header_and_order(spark, tmp_path):
+    rows = spark.createDataFrame([(2, 0.5, 1.0), (1, None, 2.0)], "sample_id long, pwm_mae double, zz double")
+    summary = spark.createDataFrame([("zz", 1.5, 0.5, 2), ("pwm_mae", 0.5, 0.0, 1)], "metric string, mean double, std double, n long")
+    K.write_eval_report(rows, summary, ["zz", "pwm_mae"], str(tmp_path / "r"))
+    lines = lambda name: [line for f in sorted((tmp_path / "r" / name).glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines("per_sample") == ["sample_id\tpwm_mae\tzz", "1\t\t2.000000", "2\t0.500000\t1.000000"]
+    assert lines("summary") == ["metric\tmean\tstd\tn", "pwm_mae\t0.500000\t0.000000\t1", "zz\t1.500000\t0.500000\t2"]
 
 
 def test_missing_manifest_column_is_refused(spark, tmp_path):
