@@ -266,9 +266,10 @@ def masked_map_metrics(cells: DataFrame, label: str, score: str, mask: str | Non
 
 
 def evaluate_pair(cells: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One wide row per sample.
+    """One wide row for every sample that any input names.
 
-    ``cells``: sample_id, res_idx, slot, labels, masks and scores of ``MAPS``;
+    A metric of a part that the sample does not have is NULL; 0.0 stands for a map that
+    is there without positives.  ``cells``: sample_id, res_idx, slot, labels, masks and scores of ``MAPS``;
     ``sites``: sample_id, res_idx, site_label, site_prob; ``pairs``: motif pairs.
     The three maps and the site ranking share one ranking pass.
     """
@@ -286,7 +287,7 @@ def evaluate_pair(cells: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataF
     rows = maps.union(site_rows)
     m = map_metrics(rows, ["sample_id", "kind"])
     wide = m.groupBy("sample_id").agg(*[
-        F.coalesce(F.max(F.when(F.col("kind") == p, F.col(v))), F.lit(0.0)).alias(f"{p}_{v}")
+        F.max(F.when(F.col("kind") == p, F.col(v))).alias(f"{p}_{v}")
         for p in MAPS for v in ("ap", "top_l_precision", "top_l")
     ], F.max(F.when(F.col("kind") == "site", F.col("ap"))).alias("site_ap"))
     f1, mcc = _f1_mcc(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
@@ -298,7 +299,12 @@ def evaluate_pair(cells: DataFrame, sites: DataFrame, pairs: DataFrame) -> DataF
     pwm = pwm_metrics(pairs)
     for c in ("mae", "kl", "ic_pcc", "rc_aware_kl"):
         pwm = pwm.withColumnRenamed(c, f"pwm_{c}")
-    return sizes.join(totals, "sample_id").join(pwm, "sample_id").join(wide, "sample_id").join(site, "sample_id")
+    every = sizes.select("sample_id").union(totals.select("sample_id")).union(pwm.select("sample_id")).distinct()
+    out = every
+    for part in (sizes, totals, pwm, wide, site):
+        out = out.join(part, "sample_id", "left")
+    zero = lambda p, v: F.when(F.col(f"{p}_pos").isNotNull(), F.coalesce(f"{p}_{v}", F.lit(0.0)))
+    return out.withColumns({f"{p}_{v}": zero(p, v) for p in MAPS for v in ("ap", "top_l_precision", "top_l")})
 
 
 def evaluate_manifest(cells: DataFrame, sites: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -164,3 +164,20 @@ def test_window_alignment_of_foreign_sequences(spark):
     assert rows[4].mode is None and rows[4].error.startswith("could not align")
     assert rows[5].error == "alignment_sequence length 3 != PWM length 4"
     assert rows[6].mode is None
+
+
+def test_absent_parts_give_absent_metrics(spark):
+    """Sample 1 has all, 2 no sites, 3 only its motif pair, 4 a map without positives."""
+    cells = [(s, r, 0, int(s != 4 and r == 0), 0, int(s != 4 and r == 0), 1, 1, 0.1 * (r + 1), 0.2, 0.3) for s in (1, 2, 4) for r in range(3)]
+    cells = spark.createDataFrame(cells, "sample_id long, res_idx int, slot int, base_label int, backbone_label int, contact_label int, base_mask int, pwm_mask int, a_base double, a_backbone double, a_contact double")
+    sites = spark.createDataFrame([(s, r, int(r == 0), 0.5 - 0.1 * r) for s in (1, 4) for r in range(3)], "sample_id long, res_idx int, site_label int, site_prob double")
+    pairs = None
+    for s in (1, 2, 3):
+        one = pwm_pair(spark, [[0.7, 0.1, 0.1, 0.1]], [[0.1, 0.7, 0.1, 0.1]]).withColumn("sample_id", F.lit(s).cast("long"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    got = {r.sample_id: r for r in M.evaluate_pair(cells, sites, pairs).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1].site_ap == 1.0 and got[1].A_base_ap > 0 and got[1].pwm_mae > 0
+    assert got[2].site_ap is None and got[2].n_residue is None and got[2].A_base_ap > 0
+    assert got[3].A_base_ap is None and got[3].A_base_pos is None and got[3].pwm_mae > 0
+    assert got[4].A_base_ap == 0.0 and got[4].pwm_mae is None and got[4].site_ap == 1.0
