@@ -88,10 +88,9 @@ def pwm_mask() -> Column:
 def dense_labels(
     slots: DataFrame, protein: DataFrame, contacts: DataFrame, missing: DataFrame
 ) -> DataFrame:
-    """The N x M frame of every sample: masks and labels of each residue and slot.
+    """The N x M frame of every sample, for a consumer that wants each cell.
 
-    The frame is residues x slots of one sample by definition of the output; the
-    contacts and masks are joined to it by key.
+    Nothing here stores it: ``slot_labels`` holds the same in a row per slot.
     """
     no_base = missing.where("part = 'base'").select("structure_id", "dna_idx", F.lit(1).alias("no_base"))
     s = slots.withColumn("pwm_mask", pwm_mask()).join(no_base, ["structure_id", "dna_idx"], "left")
@@ -105,10 +104,25 @@ def dense_labels(
         base.alias("base_label"), backbone.alias("backbone_label"), contact_union(base, backbone).alias("contact_label"))
 
 
+def slot_labels(slots: DataFrame, contacts: DataFrame, missing: DataFrame) -> DataFrame:
+    """The stored form of the labels: a row for each slot with its masks and the sorted
+    residues in base and in backbone contact; every other cell of the slot is 0."""
+    no_base = missing.where("part = 'base'").select("structure_id", "dna_idx").distinct().withColumn("no_base", F.lit(1))
+    hit = sparse_labels(slots, contacts)
+    of = lambda label: F.array_sort(F.collect_list(F.when(F.col(label) == 1, F.col("res_idx"))))
+    lists = hit.groupBy("sample_id", "slot").agg(of("base_label").alias("base_res"), of("backbone_label").alias("backbone_res"))
+    s = slots.withColumn("pwm_mask", pwm_mask()).join(no_base, ["structure_id", "dna_idx"], "left").join(lists, ["sample_id", "slot"], "left")
+    none = F.array().cast("array<int>")
+    return s.select(
+        "sample_id", "structure_id", "slot", "dna_idx", "pwm_mask",
+        F.when((F.col("pwm_mask") == 1) & F.col("no_base").isNull(), 1).otherwise(0).alias("base_mask"),
+        *[F.coalesce(F.col(c).cast("array<int>"), none).alias(c) for c in ("base_res", "backbone_res")])
+
+
 def sparse_labels(slots: DataFrame, contacts: DataFrame) -> DataFrame:
     """Only the cells in contact: enough for counting, without the N x M frame."""
     return slots.join(contacts, ["structure_id", "dna_idx"]).select(
-        "sample_id", "res_idx", "slot", "base_label", "backbone_label",
+        "sample_id", "res_idx", "slot", "dna_idx", "base_label", "backbone_label",
         F.greatest("base_label", "backbone_label").alias("contact_label"))
 
 
@@ -171,14 +185,17 @@ def slot_centers(slots: DataFrame, tagged: DataFrame, dna: DataFrame) -> DataFra
     return slots.join(cents, ["structure_id", "dna_idx"], "left").withColumn("visible", F.col("dna_idx") >= 0)
 
 
-def residue_slot_geometry(centers: DataFrame, points: DataFrame) -> DataFrame:
-    """Distance and unit direction from each residue point to each base centre."""
-    j = points.select("structure_id", "res_idx", *AXES).join(
-        centers.where(F.col("base_x").isNotNull()), "structure_id")
-    diff = {a: F.col(f"base_{a}") - F.col(a) for a in AXES}
-    dist = F.sqrt(diff["x"] * diff["x"] + diff["y"] * diff["y"] + diff["z"] * diff["z"])
-    return j.withColumn("dist", dist).select(
-        "sample_id", "res_idx", "slot", "dist", *[F.try_divide(diff[a], F.col("dist")).alias(f"dir_{a}") for a in AXES])
+def residue_slot_geometry(centers: DataFrame, points: DataFrame, cutoff: float) -> DataFrame:
+    """Distance and unit direction from residue points to base centres within ``cutoff``.
+
+    A nucleotide is paired with residues once, whatever samples have it in a slot."""
+    bases = centers.where(F.col("base_x").isNotNull()).select(
+        "structure_id", "dna_idx", *[F.col(f"base_{a}").alias(a) for a in AXES]).distinct()
+    near = near_pairs(points.select("structure_id", "res_idx", *AXES), bases, cutoff).withColumn("dist", F.sqrt("d2")).where(F.col("dist") <= cutoff)
+    slots = centers.select("sample_id", "structure_id", "slot", "dna_idx")
+    return near.join(slots, ["structure_id", "dna_idx"]).select(
+        "sample_id", "res_idx", "slot", "dist",
+        *[F.try_divide(F.col(f"q_{a}") - F.col(f"p_{a}"), F.col("dist")).alias(f"dir_{a}") for a in AXES])
 
 
 def slot_center_rmsd(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def align_by_slot_index(preds: DataFrame) -> DataFrame:
     return preds.withColumn("_raw", F.when(inside, raw)).withColumn("by_index", F.expr(_first_match("_raw"))).drop("_raw")
 
 
-def align_by_window(preds: DataFrame, segment: int = 16384) -> DataFrame:
+def align_by_window(preds: DataFrame) -> DataFrame:
     """Per sample the first start whose window matches in some orientation.
 
     Each of the four oriented targets is searched as a substring (``locate``), which
@@ -163,7 +163,9 @@ def align_by_window(preds: DataFrame, segment: int = 16384) -> DataFrame:
 def align_predictions(preds: DataFrame) -> DataFrame:
     """Index mode, else window mode, else an error.
 
-    ``preds``: sample_id, sequence, target, slots, m -> mode, start, orient, error.
+    ``preds``: sample_id, sequence, target, slots, m -> mode, error; with ``rows`` (a
+    foreign matrix, ARRAY<STRUCT<a,c,g,t>>, one row per letter of the sequence) also
+    ``matrix``, the rows at the slots or in the window, turned as the letters were.
     """
     d = align_by_window(align_by_slot_index(preds))
     fits = F.length("target") == F.col("m")
@@ -176,7 +178,14 @@ def align_predictions(preds: DataFrame) -> DataFrame:
     ).when(mode.isNull(), F.concat(
         F.lit("could not align predicted sequence: target="), "target", F.lit(" sequence="), "sequence",
         F.lit(" M="), F.col("m").cast("string"), F.lit(" idx="), idx))
-    return d.withColumn("mode", F.when(fits, mode)).withColumn("error", error)
+    out = d.withColumn("mode", F.when(fits, mode)).withColumn("error", error)
+    if "rows" not in preds.columns:
+        return out
+    first = F.col("by_window.start").cast("bigint")
+    window = F.when(first.isNotNull(), F.sequence(first, first + F.length("target") - 1))
+    used = F.when(F.col("by_index").isNotNull(), F.col("slots").cast("array<bigint>")).otherwise(window)
+    turned = reorder_matrix(F.col("rows"), used, F.coalesce("by_index", "by_window.orient"))
+    return out.withColumn("matrix", F.when(F.col("mode").isNotNull(), turned))
 
 
 def reorder_matrix(rows: Column, slots: Column, orient: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from helixframe.functions.checkpoints import cut_lineage
@@ -66,23 +68,50 @@ class Complexes:
     """The tables every structure-based alignment needs.
 
     The residue index, the DNA positions and the sparse distances are written once
-    (checkpoint): they are small beside the atoms and every later step reads them.
+    (checkpoint) when first asked for: they are small beside the atoms and every later
+    step reads them.
     """
 
     def __init__(self, spark, sf, mode="ic_log_likelihood", max_cutoff=5.0):
-        atoms = V.atoms(spark, sf)
-        residues = cut_lineage(S.index_kinds(S.residue_table(atoms)))
-        self.protein = residues.where("kind = 'protein'")
-        self.dna = residues.where("kind = 'dna'")
+        self.at, self.mode, self.max_cutoff = (spark, sf), mode, max_cutoff
         self.samples = complex_samples(spark, sf)
-        self.positions = cut_lineage(C.chain_positions(self.dna))
         self.scoring = A.scoring_table(V.motifs(spark, sf), mode)
-        self.chains = A.structure_chains(self.positions, A.needed_halo(self.scoring))
-        self.atoms = S.tag_atoms(atoms)
-        self.distances = cut_lineage(C.residue_distances(self.atoms, self.protein, self.dna, max_cutoff))
-        self.contacts = C.contact_labels(self.distances)
-        self.missing = C.missing_parts(self.atoms, self.dna).join(
-            self.positions.drop("letter"), ["structure_id", "dna_idx"])
+
+    @cached_property
+    def residues(self):
+        return cut_lineage(S.index_kinds(S.residue_table(V.atoms(*self.at))))
+
+    @cached_property
+    def protein(self):
+        return self.residues.where("kind = 'protein'")
+
+    @cached_property
+    def dna(self):
+        return self.residues.where("kind = 'dna'")
+
+    @cached_property
+    def positions(self):
+        return cut_lineage(C.chain_positions(self.dna))
+
+    @cached_property
+    def chains(self):
+        return A.structure_chains(self.positions, A.needed_halo(self.scoring))
+
+    @cached_property
+    def atoms(self):
+        return S.tag_atoms(V.atoms(*self.at))
+
+    @cached_property
+    def distances(self):
+        return cut_lineage(C.residue_distances(self.atoms, self.protein, self.dna, self.max_cutoff))
+
+    @cached_property
+    def contacts(self):
+        return C.contact_labels(self.distances)
+
+    @cached_property
+    def missing(self):
+        return C.missing_parts(self.atoms, self.dna).join(self.positions.drop("letter"), ["structure_id", "dna_idx"])
 
     def candidates(self, skip_bad=False):
         return A.contact_candidates(self.samples, self.chains, self.scoring, self.positions, self.contacts,

@@ -92,8 +92,12 @@ def align_by_window(spark, sf):
 
 
 def align_predictions(spark, sf):
-    out = P.align_predictions(foreign_predictions(spark, sf))
-    return out.select("sample_id", "mode", "error")
+    """Mode or error, and the oriented rows of a foreign matrix with a row per letter."""
+    at = lambda add: lambda k: (k + F.lit(add)).cast("double")
+    rows = F.transform(F.sequence(F.lit(0), F.length("sequence") - 1), lambda k: F.struct(
+        *[at(x)(k).alias(b) for b, x in zip("acgt", (0.0, 0.25, 0.5, 0.75))]))
+    out = P.align_predictions(foreign_predictions(spark, sf).withColumn("rows", rows))
+    return out.select("sample_id", "mode", "error", joined("matrix.a").alias("matrix_a"), joined("matrix.g").alias("matrix_g"))
 
 
 def top_contact_pairs(spark, sf):
@@ -153,17 +157,17 @@ l4 AS (SELECT sample_id, avg({_bce('s', 'site_label')}) AS loss_site FROM (SELEC
 ls AS (SELECT *, loss_A_base + loss_A_backbone AS loss_A, loss_pwm + loss_pwm_teacher + loss_A_base + loss_A_backbone + 0.5*loss_site + 0.01*loss_sparse + 0.05*loss_noncontact AS loss
     FROM l1 JOIN l2 USING (sample_id) JOIN l3 USING (sample_id) JOIN l4 USING (sample_id))"""
 _FOREIGN = f"""fb AS (SELECT sample_id, sequence AS own, aligned AS target, [x::BIGINT FOR x IN string_split({_SLOTS}, ',')] AS s0, off, m FROM sb),
-fp AS (SELECT sample_id, target, CASE WHEN sample_id % 31 = 6 THEN m + 1 ELSE m END AS m,
+fp AS MATERIALIZED (SELECT sample_id, target, CASE WHEN sample_id % 31 = 6 THEN m + 1 ELSE m END AS m,
     list_transform(s0, lambda s: CASE WHEN s < 0 THEN s ELSE s - off + (CASE WHEN sample_id % 2 = 0 THEN 0 ELSE length(own) END) END) AS slots,
     CASE sample_id % 5 WHEN 0 THEN own WHEN 1 THEN translate(own, 'ACGT', 'TGCA') WHEN 2 THEN reverse(own)
       WHEN 3 THEN reverse(translate(own, 'ACGT', 'TGCA')) ELSE 'GATTACA' || lower(own) END AS sequence FROM fb),
 fi AS (SELECT *, CASE WHEN list_min(slots) >= 0 AND list_max(slots) < length(sequence) THEN array_to_string(list_transform(slots, lambda k: substr(sequence, k + 1, 1)), '') END AS raw FROM fp),
 fo AS (SELECT *, CASE WHEN raw = target THEN 'direct' WHEN translate(raw, 'ACGT', 'TGCA') = target THEN 'complement' WHEN reverse(raw) = target THEN 'reverse'
     WHEN reverse(translate(raw, 'ACGT', 'TGCA')) = target THEN 'reverse_complement' END AS oi FROM fi),
-fw0 AS (SELECT sample_id, st, CASE WHEN w = target THEN 'direct' WHEN translate(w, 'ACGT', 'TGCA') = target THEN 'complement' WHEN reverse(w) = target THEN 'reverse'
-    WHEN reverse(translate(w, 'ACGT', 'TGCA')) = target THEN 'reverse_complement' END AS o
-    FROM (SELECT sample_id, target, st, substr(sequence, st + 1, length(target)) AS w FROM (SELECT *, unnest(range(length(sequence) - length(target) + 1)) AS st FROM fp))),
-fw AS (SELECT sample_id, min(st) AS start, arg_min(o, st) AS ow FROM fw0 WHERE o IS NOT NULL GROUP BY sample_id),
+fw0 AS (SELECT sample_id, unnest([{{'st': strpos(sequence, target) - 1, 'i': 1, 'o': 'direct'}}, {{'st': strpos(sequence, translate(target, 'ACGT', 'TGCA')) - 1, 'i': 2, 'o': 'complement'}},
+    {{'st': strpos(sequence, reverse(target)) - 1, 'i': 3, 'o': 'reverse'}}, {{'st': strpos(sequence, reverse(translate(target, 'ACGT', 'TGCA'))) - 1, 'i': 4, 'o': 'reverse_complement'}}]) AS h
+    FROM fp WHERE length(target) > 0),
+fw AS (SELECT sample_id, min(h.st)::BIGINT AS start, arg_min(h.o, h.st * 10 + h.i) AS ow FROM fw0 WHERE h.st >= 0 GROUP BY sample_id),
 fa AS (SELECT fo.*, fw.start, fw.ow FROM fo LEFT JOIN fw USING (sample_id))"""
 FOREIGN = [*TEXT, cand_ctes(), score_ctes("ic_log_likelihood"), _SEQBEST, _FOREIGN]
 _MASS = "a_base * (abs(e_a) + abs(e_c) + abs(e_g) + abs(e_t))"
@@ -196,7 +200,12 @@ ORACLES = {
     "align_by_window": with_ctes(FOREIGN, "SELECT sample_id, start, ow AS orientation FROM fa"),
     "align_predictions": with_ctes(FOREIGN, """SELECT sample_id, CASE WHEN length(target) <> m THEN NULL WHEN oi IS NOT NULL THEN 'slot_index_' || oi WHEN ow IS NOT NULL THEN 'window_' || ow || ':' || start END AS mode,
         CASE WHEN length(target) <> m THEN 'alignment_sequence length ' || length(target) || ' != PWM length ' || m
-             WHEN oi IS NULL AND ow IS NULL THEN 'could not align predicted sequence: target=' || target || ' sequence=' || sequence || ' M=' || m || ' idx=[' || array_to_string(slots, ', ') || ']' END AS error FROM fa"""),
+             WHEN oi IS NULL AND ow IS NULL THEN 'could not align predicted sequence: target=' || target || ' sequence=' || sequence || ' M=' || m || ' idx=[' || array_to_string(slots, ', ') || ']' END AS error,
+        array_to_string([k + CASE WHEN cp THEN 0.75::DOUBLE ELSE 0::DOUBLE END FOR k IN ks], ',') AS matrix_a,
+        array_to_string([k + CASE WHEN cp THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END FOR k IN ks], ',') AS matrix_g
+        FROM (SELECT *, coalesce(oi, ow) IN ('complement', 'reverse_complement') AS cp,
+          CASE WHEN length(target) <> m OR coalesce(oi, ow) IS NULL THEN NULL WHEN coalesce(oi, ow) IN ('reverse', 'reverse_complement') THEN list_reverse(used) ELSE used END AS ks
+          FROM (SELECT *, CASE WHEN oi IS NOT NULL THEN slots ELSE range(start, start + length(target)) END AS used FROM fa))"""),
     "top_contact_pairs": with_ctes(EVAL_IN, """SELECT sample_id, res_idx::BIGINT AS res_idx, slot, round(a_base, 6) AS a_base, base_label::BIGINT AS base_label
         FROM cells QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY a_base DESC, res_idx, slot) <= 5"""),
     "column_contribution": with_ctes(PRED, f"SELECT sample_id, res_idx::BIGINT AS res_idx, slot, round({_MASS} / nullif(sum({_MASS}) OVER (PARTITION BY sample_id, slot), 0), 6) AS share FROM v_pred"),

@@ -140,6 +140,11 @@ def labels_of(spark, sequence, contacted, slots, drop=()):
     samples, chains, scoring, pos, contacts, missing, protein = complex_tables(spark, sequence, contacted, "A", drop)
     placed = spark.createDataFrame([(1, "s", slots)], "sample_id long, structure_id string, slot_to_dna_index array<int>")
     rows = C.dense_labels(C.slot_rows(placed), protein, contacts, missing).orderBy("slot").collect()
+    stored = {r.slot: r for r in C.slot_labels(C.slot_rows(placed), contacts, missing).collect()}
+    assert len(stored) == len({r.slot for r in rows})
+    for r in rows:
+        assert (r.pwm_mask, r.base_mask) == (stored[r.slot].pwm_mask, stored[r.slot].base_mask)
+        assert (r.base_label, r.backbone_label) == (int(r.res_idx in stored[r.slot].base_res), int(r.res_idx in stored[r.slot].backbone_res))
     return rows
 
 
