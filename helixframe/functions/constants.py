@@ -77,6 +77,17 @@ FAILURE_RULES = [
     ("skip_multi_char_chain", ["skip_multi_char_chain"]),
     ("esm_failure", ["esm2", "PytorchStreamReader", "load_state_dict_from_url"]),
 ]
+
+# Pooled site metrics: measure -> name in the summary.
+GLOBAL_NAMES = {
+    "ap": "site_global_ap_diagnostic",
+    "f1_at_0.5": "site_global_f1_at_0.5_diagnostic",
+    "mcc_at_0.5": "site_global_mcc_at_0.5_diagnostic",
+    "best_f1_diagnostic": "site_global_best_f1_diagnostic",
+    "best_f1_threshold_diagnostic": "site_global_best_f1_threshold_diagnostic",
+    "best_mcc_diagnostic": "site_global_best_mcc_diagnostic",
+    "best_mcc_threshold_diagnostic": "site_global_best_mcc_threshold_diagnostic",
+}
 # ------------------------------------------------------------ end fixed values
 
 

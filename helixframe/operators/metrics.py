@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.functions.constants import METRIC_ORDER
+from helixframe.functions.constants import GLOBAL_NAMES, METRIC_ORDER
 from helixframe.functions.pwm import ACGT, normalized, row_ic, row_kl, row_l1, total
 from helixframe.operators.ordering import running_totals
 
@@ -209,17 +209,6 @@ def _with_group(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataF
     return rows.withColumn("_g", packed.scalar()).select(*quoted(rows), "_g.*")
 
 
-GLOBAL_NAMES = {
-    "ap": "site_global_ap_diagnostic",
-    "f1_at_0.5": "site_global_f1_at_0.5_diagnostic",
-    "mcc_at_0.5": "site_global_mcc_at_0.5_diagnostic",
-    "best_f1_diagnostic": "site_global_best_f1_diagnostic",
-    "best_f1_threshold_diagnostic": "site_global_best_f1_threshold_diagnostic",
-    "best_mcc_diagnostic": "site_global_best_mcc_diagnostic",
-    "best_mcc_threshold_diagnostic": "site_global_best_mcc_threshold_diagnostic",
-}
-
-
 def global_site_summary(rows: DataFrame) -> DataFrame:
     """Pooled metrics over all rows as (metric, mean, std, n)."""
     sweep = best_threshold(rows, [])

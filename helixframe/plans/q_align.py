@@ -22,8 +22,7 @@ def _text(spark, sf, mode="ic_log_likelihood"):
 
 def _cand(df):
     return df.select("sample_id", "chain", "reverse_complement", big("start").alias("start"), "aligned_sequence",
-                     big(F.element_at("slot_to_dna_index", 1)).alias("slot_first"),
-                     big(F.element_at("slot_to_dna_index", -1)).alias("slot_last"))
+                     joined("slot_to_dna_index").alias("slots"))
 
 
 def enumerate_full_windows(spark, sf):
@@ -33,9 +32,7 @@ def enumerate_full_windows(spark, sf):
 
 def enumerate_partial_windows(spark, sf):
     chains, scoring = _text(spark, sf)
-    df = A.enumerate_windows(chains, scoring, "partial")
-    return df.select("sample_id", "chain", "reverse_complement", big("start").alias("start"), "aligned_sequence",
-                     joined("slot_to_dna_index").alias("slots"))
+    return _cand(A.enumerate_windows(chains, scoring, "partial"))
 
 
 def _scores(mode):
@@ -335,9 +332,7 @@ _POL = [*GEOM, contact_tail(0, 1, 1, False), _SEQBEST, MANUAL, f"mm AS ({_METAMA
         f"mc AS ({_METACON.replace('@MODE@', 'ic_log_likelihood')})"]
 
 ORACLES = {
-    "enumerate_full_windows": with_ctes([*TEXT, cand_ctes(False)], """SELECT sample_id, chain, rev AS reverse_complement, start, aligned AS aligned_sequence,
-        off + (CASE WHEN rev THEN l - 1 - start ELSE start END) AS slot_first,
-        off + (CASE WHEN rev THEN l - start - m ELSE start + m - 1 END) AS slot_last FROM cs WHERE is_full"""),
+    "enumerate_full_windows": with_ctes([*TEXT, cand_ctes(False)], f"SELECT sample_id, chain, rev AS reverse_complement, start, aligned AS aligned_sequence, {_SLOTS} AS slots FROM cs WHERE is_full"),
     "enumerate_partial_windows": with_ctes([*TEXT, cand_ctes(False)], f"SELECT sample_id, chain, rev AS reverse_complement, start, aligned AS aligned_sequence, {_SLOTS} AS slots FROM cs WHERE NOT is_full"),
     **{f"score_{m}": with_ctes([*TEXT, cand_ctes(False), score_ctes(m)], _SCSQL) for m in _SCORES},
     "align_sequence_only": with_ctes([*TEXT, cand_ctes(), score_ctes("ic_log_likelihood"), _SEQBEST],

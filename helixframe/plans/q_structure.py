@@ -168,7 +168,7 @@ def _features(spark, sf):
 def edge_features(spark, sf):
     _, e = _features(spark, sf)
     return e.select("structure_id", big("src").alias("src"), big("dst").alias("dst"), big(F.size("edge_attr")).alias("width"),
-                    r6(F.expr("edge_attr[0]")).alias("first_bin"), r6(F.expr("edge_attr[15]")).alias("last_bin"),
+                    *[r6(F.expr(f"edge_attr[{k}]")).alias(f"bin_{k}") for k in range(16)],
                     r6(F.expr("edge_attr[16]")).alias("seq_sep"))
 
 
@@ -240,7 +240,7 @@ ORACLES = {
         FROM (SELECT *, unnest(range(16)) AS k FROM v_edge) GROUP BY ALL"""),
     "sequence_separation": with_ctes(GEO, f"SELECT structure_id, src, dst, round({_SEP}, 6) AS seq_sep FROM v_edge JOIN v_nres USING (structure_id)"),
     "edge_features": with_ctes(GEO, f"""SELECT structure_id, src, dst, 17::BIGINT AS width,
-        round({_RBF.replace('k', '0')}, 6) AS first_bin, round({_RBF.replace('k', '15')}, 6) AS last_bin,
+        {", ".join(f"round({_RBF.replace('k', str(k))}, 6) AS bin_{k}" for k in range(16))},
         round({_SEP}, 6) AS seq_sep FROM v_edge JOIN v_nres USING (structure_id)"""),
     "center_radius": with_ctes(GEO, """SELECT structure_id, res_idx, round(cx, 6) + 0.0::DOUBLE AS c_x, round(cy, 6) + 0.0::DOUBLE AS c_y, round(cz, 6) + 0.0::DOUBLE AS c_z,
         round(sqrt(cx*cx + cy*cy + cz*cz) / 20, 6) AS radius FROM (
