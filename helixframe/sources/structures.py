@@ -6,7 +6,7 @@ and on text already in a DataFrame alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators.structure import infer_element
@@ -40,11 +40,12 @@ def scan_pdb_atoms(lines: DataFrame) -> DataFrame:
     return infer_element(atoms).withColumn("parse_error", F.when(bad, "unreadable atom line"))
 
 
-# Outside quotes, # starts a comment; a quoted part may hold blanks.
-_UNCOMMENT = r"""^((?:"[^"]*"|'[^']*'|[^"'#])*)#.*$"""
-_TOKEN = r"""((?:"[^"]*"|'[^']*'|[^\s"'])+)"""
+# A token, with quoted parts that may hold blanks; outside quotes, # starts a comment.
+_TOKEN = r"""((?:"[^"\n]*"|'[^'\n]*'|[^\s"'#])+)|#[^\n]*"""
 _QUOTED = r""""([^"]*)"|'([^']*)'"""
 _TEXT_BLOCK = r"(?ms)^;.*?(?:\n;[^\n]*|\z)"
+# What ends the rows of a loop: a tag or a data block at the start of a line.
+_LOOP_END = r"(?m)^[ \t]*(?:_|data_)"
 
 SITE_TAGS = [
     "group_PDB", "label_alt_id", "auth_atom_id", "label_atom_id", "auth_comp_id", "label_comp_id", "auth_asym_id",
@@ -52,62 +53,36 @@ SITE_TAGS = [
 ]
 
 
-def mmcif_tokens(texts: DataFrame) -> DataFrame:
-    """structure_id, text -> structure_id, line_no, tokens ARRAY<STRING>.
-
-    Multi-line text blocks become one token; comments and blank lines vanish.
-    """
-    lines = number_lines(texts.select("structure_id", F.regexp_replace("text", _TEXT_BLOCK, '"text block"').alias("text")))
-    line = F.trim("value")
-    clean = F.when(line.contains("#"), F.trim(F.regexp_replace(line, _UNCOMMENT, "$1"))).otherwise(line)
+def _tokens(text: Column) -> Column:
+    found = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1)), lambda t: t != "")
     quoted = lambda t: t.contains('"') | t.contains("'")
-    toks = F.transform(
-        F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(1)),
-        lambda t: F.when(quoted(t), F.regexp_replace(t, _QUOTED, "$1$2")).otherwise(t))
-    return lines.where((line != "") & ~line.startswith("#")).select("structure_id", "line_no", toks.alias("tokens"))
+    return F.transform(found, lambda t: F.when(quoted(t), F.regexp_replace(t, _QUOTED, "$1$2")).otherwise(t))
 
 
 def scan_mmcif_atoms(texts: DataFrame) -> DataFrame:
     """structure_id, text -> atoms from the ``_atom_site`` loops.
 
-    Windows run per file: a file is one text value, hence bounded.  A loop is the
-    stretch from ``loop_`` to the next ``loop_``, ``data_`` or single tag.  A line
-    that holds exactly one row is used as it is; only rows that span or share lines
-    are put together from single tokens.  ``atom_ord`` is the loop's number in the
-    upper bits and the row number in the lower 32.
+    A file is one text value, hence bounded, and is cut where it lies: into loops, a loop
+    into its tags and its tokens, the tokens into rows of as many as there are tags, so a
+    row may span or share lines.  A loop goes on to the next ``loop_``, ``data_`` or single
+    tag; multi-line text blocks become one token.  ``atom_ord`` is the loop's number in
+    the upper bits and the row number in the lower 32.
     """
-    t = mmcif_tokens(texts)
-    head = F.get("tokens", F.lit(0))
-    by_line = Window.partitionBy("structure_id").orderBy("line_no")
-    is_tag = head.startswith("_")
-    was_open = F.lag(F.when((head == "loop_") | is_tag, 1).otherwise(0), 1, 0).over(by_line)
-    # A tag opens its own section unless it continues a loop header.
-    opens = (head == "loop_") | head.startswith("data_") | (is_tag & (was_open == 0))
-    s = t.withColumn("section", F.sum(F.when(opens, 1).otherwise(0)).over(by_line))
-    in_sec = Window.partitionBy("structure_id", "section").orderBy("line_no")
-    s = s.withColumn("looped", F.first(head == "loop_").over(in_sec))
-    s = s.where("looped").withColumn("role", F.when(head == "loop_", "loop").when(is_tag, "tag").otherwise("data"))
-    headers = s.where("role = 'tag' OR (role = 'loop' AND size(tokens) > 1)").select(
-        "structure_id", "section", "line_no", F.explode("tokens").alias("tag")).where("tag <> 'loop_'")
-    tags = headers.groupBy("structure_id", "section").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "tag"))).getField("tag").alias("tags"))
-    site = tags.where(F.forall("tags", lambda x: x.startswith("_atom_site.")))
-    data = s.where("role = 'data'").join(site, ["structure_id", "section"]).withColumn("width", F.size("tags"))
-    before = Window.partitionBy("structure_id", "section").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    data = data.withColumn("start", F.coalesce(F.sum(F.size("tokens")).over(before), F.lit(0)))
-    whole = (F.size("tokens") == F.col("width")) & (F.col("start") % F.col("width") == 0)
-    number = lambda n: F.col("section") * (1 << 32) + n
-    rows = data.where(whole).select(
-        "structure_id", number(F.floor(F.col("start") / F.col("width"))).alias("atom_ord"), "tags", F.col("tokens").alias("row"))
-    loose = data.where(~whole).select(
-        "structure_id", "section", "line_no", "tags", "width", "start", F.posexplode("tokens").alias("k", "tok"))
-    at = F.col("start") + F.col("k")
-    pieced = loose.groupBy("structure_id", "section", F.floor(at / F.col("width")).alias("n")).agg(
-        F.any_value("tags").alias("tags"), F.max("width").alias("width"),
-        F.array_sort(F.collect_list(F.struct(at.alias("at"), "tok"))).alias("t"))
-    whole_rows = pieced.where(F.size("t") == F.col("width")).select(
-        "structure_id", number(F.col("n")).alias("atom_ord"), "tags", F.col("t.tok").alias("row"))
-    return _site_atoms(rows.unionByName(whole_rows))
+    text = F.regexp_replace("text", _TEXT_BLOCK, '"text block"')
+    loops = texts.select("structure_id", F.posexplode(F.split(text, r"(?m)^[ \t]*loop_(?=\s)")).alias("section", "loop")).where(
+        (F.col("section") > 0) & F.col("loop").rlike(r"^(?:\s|#[^\n]*\n)*_atom_site\."))
+    # The header is all that comes before the first line that begins otherwise.
+    body_at = F.regexp_instr("loop", F.lit(r"(?m)^[ \t]*[^_\s#]"))
+    cut = loops.select("structure_id", "section", *[
+        F.when(body_at > 0, part).otherwise(rest).alias(name) for name, part, rest in (
+            ("head", F.substring("loop", F.lit(1), body_at - 1), F.col("loop")),
+            ("body", F.substring(F.col("loop"), body_at, F.length("loop")), F.lit("")))])
+    parts = cut.select("structure_id", "section", _tokens(F.col("head")).alias("tags"), _tokens(F.get(F.split("body", _LOOP_END, 2), F.lit(0))).alias("tokens"))
+    site = parts.where(F.forall("tags", lambda x: x.startswith("_atom_site.")) & (F.size("tokens") >= F.size("tags")))
+    width = F.size("tags")
+    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("tokens") / width).cast("int") - 1), lambda i: F.slice(F.col("tokens"), i * width + 1, width))
+    return _site_atoms(site.select("structure_id", "section", "tags", F.posexplode_outer(rows).alias("n", "row")).select(
+        "structure_id", (F.col("section") * F.lit(1 << 32) + F.col("n")).alias("atom_ord"), "tags", "row"))
 
 
 def _site_atoms(rows: DataFrame) -> DataFrame:
