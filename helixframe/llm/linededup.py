@@ -39,33 +39,39 @@ def _lines(rows: DataFrame, text: str = "text", least: int = MIN_CHARS) -> DataF
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Names of a line's first and last halves, of its own half length and of that of a line shorter by one."""
-    named = lambda kind, size, part: F.xxhash64(F.lit(kind), size, part)
+    """(last, h): names of a line's first and last halves, of its own half length and of that of a line shorter by one."""
     half, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    every = [named("first", h, F.left(line, h)) for h in (half, less)] + [named("last", h, F.right(line, h)) for h in (half, less)]
+    named = lambda last, size, part: F.struct(F.lit(last).alias("last"), F.xxhash64(F.lit(last), size, part).alias("h"))
+    every = [named(False, h, F.left(line, h)) for h in (half, less)] + [named(True, h, F.right(line, h)) for h in (half, less)]
     return F.array_distinct(F.array(*every))
 
 
 def _variants(block: int) -> Column:
-    """The deletion neighbourhood of ``line``: a struct for each key; kind 0 marks the line itself."""
+    """Deletion neighbourhood of ``line``, places ``lo`` to ``hi``: (kind, v) for each key.
+
+    Kind 2: a character deleted, with its place. Kind 1: the same without the place. Kind 0: the line itself, as
+    kind 1 of a line with one character more would give it. What stands before and after the block is hashed once."""
     line, n = F.col("line"), F.col("n")
 
     def of_block(b: Column) -> Column:
-        head, tail = F.left(line, b * block), F.substring(line, (b + 1) * block + 1, n)
-        own, shorter = F.substring(line, b * block + 1, F.lit(block)), F.substring(line, b * block + 1, F.lit(block - 1))
-        frame = lambda parts: F.transform(parts, lambda p: p)
-        key = lambda kind, i, middle, after: F.struct(
-            F.lit(kind).alias("kind"), F.xxhash64(b, i, F.xxhash64(head), middle, F.xxhash64(after)).alias("v"),
-            F.xxhash64(F.lit("v"), b, i, F.xxhash64(F.lit("v"), head), middle, F.xxhash64(F.lit("v"), after)).alias("w"))
-        no = F.lit(-1)
-        whole = F.array(key(0, no, shorter, F.substring(line, b * block + block, n)))
-        places = F.sequence(F.lit(1), F.least(F.lit(block), n - b * block))
-        without = lambda i: F.concat(F.left(own, i - 1), F.substring(own, i + 1, F.lit(block)))
-        replaced = frame(F.transform(places, lambda i: key(2, i, without(i), tail)))
-        removed = frame(F.transform(places, lambda i: key(1, no, without(i), tail)))
-        return F.when(b * block < n, F.concat(whole, replaced, removed)).otherwise(whole)
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), of_block))
+        return F.struct(
+            b.alias("b"), F.substring(line, b * block + 1, F.lit(block)).alias("own"),
+            F.xxhash64(F.left(line, b * block)).alias("head"), F.xxhash64(F.substring(line, (b + 1) * block + 1, n)).alias("tail"),
+            F.xxhash64(F.substring(line, b * block + block, n)).alias("rest"))
+
+    key = lambda kind, x, i, middle, after: F.struct(F.lit(kind).alias("kind"), F.xxhash64(i, x.b, x.head, middle, after).alias("v"))
+    hashed = lambda part: F.xxhash64(part)
+    no = F.lit(0)
+
+    def keys(x: Column) -> Column:
+        whole = key(0, x, no, hashed(F.left(x.own, F.lit(block - 1))), x.rest)
+        first, last = F.greatest(F.lit(1), F.col("lo") - x.b * block), F.least(F.length(x.own), F.col("hi") - x.b * block)
+        places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(places, lambda i: F.struct(i.alias("i"), hashed(F.concat(F.left(x.own, i - 1), F.substring(x.own, i + 1, F.lit(block)))).alias("m")))
+        both = F.flatten(F.transform(cut, lambda c: F.array(key(2, x, c.i, c.m, x.tail), key(1, x, no, c.m, x.tail))))
+        return F.concat(F.array(whole), both)
+
+    return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), of_block), keys))
 
 
 def near_lines(rows: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) -> DataFrame:
@@ -76,24 +82,31 @@ def near_lines(rows: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) -> D
     tag = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"))
     a, b = _id(F.col("line"))
     both = lines.select("doc_id", "key", "at", a, b, _halves(F.col("line"), F.col("n")).alias("hs"))
-    every = F.concat(F.array(tag(0, F.col("a"), F.col("b"))), F.transform("hs", lambda h: tag(1, h, F.lit(0).cast("bigint"))))
+    every = F.concat(F.array(tag(0, F.col("a"), F.col("b"))), F.transform("hs", lambda s: tag(1, s.h, F.lit(0).cast("bigint"))))
     spread = both.select(_place().alias("place"), "a", F.explode_outer(every).alias("tag")).select("tag.*", "a", F.when(F.col("tag.kind") == 0, F.col("place")).alias("place"))
     groups = spread.groupBy("kind", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.min("a").alias("least"), F.max("a").alias("most"))
     groups = stored(groups.where("times > 1 AND (kind = 0 OR least <> most)"))
     equal = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "first")
     shared = small_enough(stored(groups.where("kind = 1").select(F.col("x").alias("h"))))
-    some = lines.select("doc_id", "key", "at", "line", "n", F.explode_outer(_halves(F.col("line"), F.col("n"))).alias("h")).join(shared, "h", "left_semi")
-    some = some.groupBy(*_id(F.col("line"))).agg(F.min(F.struct(_place().alias("place"), "line")).alias("own"))
-    some = stored(some.select("a", "b", "own.place", "own.line").withColumn("n", F.length("line")))
-    keys = some.select("a", "b", "place", F.explode_outer(_variants(block)).alias("key")).select("key.*", "a", "b", "place").distinct()
+    some = lines.select("doc_id", "key", "at", "line", "n", F.explode_outer(_halves(F.col("line"), F.col("n"))).alias("half"))
+    some = some.select("doc_id", "key", "at", "line", "n", "half.*").join(shared, "h", "left_semi")
+    some = some.groupBy(*_id(F.col("line"))).agg(F.min(F.struct(_place().alias("place"), "line", "n")).alias("own"), F.bool_or("last").alias("last"), F.bool_or(~F.col("last")).alias("head"))
+    # Lines that share only their first half differ behind it, those that share only their last half before it.
+    half = F.floor((F.col("own.n") - 1) / 2).cast("int")
+    some = some.select("a", "b", "own.*", F.when(F.col("last"), 1).otherwise(half).alias("lo"), F.when(F.col("head"), F.col("own.n")).otherwise(F.col("own.n") - half + 1).alias("hi"))
+    some = stored(some)
+    # Keys that different lines share, then all that is needed of those few.
+    light = some.select("a", F.explode_outer(F.transform(_variants(block), lambda k: F.xxhash64(k.kind == 2, k.v))).alias("v"))
+    meet = light.groupBy("v").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("v")
+    meet = small_enough(stored(meet))
+    keys = some.select("a", "b", "place", F.explode_outer(_variants(block)).alias("key"))
+    keys = stored(keys.select("a", "b", "place", "key.kind", F.xxhash64(F.col("key.kind") == 2, F.col("key.v")).alias("v")).join(meet, "v", "left_semi").distinct())
     member = F.struct("place", "a", "b")
     # Kind 2: all that share the variant and the place of the deletion are near each other. Kinds 0 and 1: a line and
     # those with one character more are near; the longer ones among themselves need not be.
-    folded = keys.withColumn("group", F.when(F.col("kind") == 2, 1).otherwise(0)).groupBy("group", "v", "w").agg(
-        F.min(F.when(F.col("kind") > 0, member)).alias("longer"), F.min(F.when(F.col("kind") == 0, member)).alias("shorter"), F.count("*").alias("times")).where("times > 1")
-    linked = keys.withColumn("group", F.when(F.col("kind") == 2, 1).otherwise(0)).join(folded, ["group", "v", "w"])
-    partner = F.when((F.col("kind") == 1), F.col("shorter")).otherwise(F.col("longer"))
-    pairs = linked.withColumn("partner", partner).where("partner.place < place")
+    folded = keys.groupBy("v").agg(F.min(F.when(F.col("kind") > 0, member)).alias("longer"), F.min(F.when(F.col("kind") == 0, member)).alias("shorter"))
+    partner = F.when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
+    pairs = keys.join(folded, "v").withColumn("partner", partner).where("partner.place < place")
     pairs = pairs.select("a", "b", F.col("partner.a").alias("pa"), F.col("partner.b").alias("pb"), F.col("partner.place").alias("first")).distinct()
     text = some.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("line").alias("other"))
     close = pairs.join(some.select("a", "b", "line"), ["a", "b"]).join(text, ["pa", "pb"]).where(F.expr("levenshtein(line, other, 1) BETWEEN 0 AND 1"))
@@ -118,10 +131,13 @@ def dedup_lines(docs: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) ->
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without repeated lines; n_chars is counted anew where lines went."""
+    """Pipeline stage: documents without repeated lines; n_chars is counted anew where lines went.
+
+    A document of which nothing but white space is left goes; one that was so before stays."""
     size = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
     new = {"text": F.col("text"), "n_chars": size}
-    return dedup_lines(docs).select(*(new.get(x, F.col("row")[x]).alias(x) for x in docs.columns))
+    left = dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n\t", "  ")) != ""))
+    return left.select(*(new.get(x, F.col("row")[x]).alias(x) for x in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
