@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import CONTINUES, chunked, id_remainder, mix64, table
+from helixframe.llm.common import CONTINUES, chunked, id_remainder, mix64, small_enough, stored, table
 
 ORDER = 4
 #: Labelled texts learnt from, at most, for each language; a fifth more calibrate the rejection.
@@ -205,9 +205,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     Rows without language, id or text teach nothing; None if there is nothing to learn from. The sample, and so
     what reaches the driver (counts of its distinct n-grams), does not grow with the table."""
     rows = labelled.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    have = rows.groupBy("lang").agg(F.count("*").alias("have"))
+    have = small_enough(stored(rows.groupBy("lang").agg(F.count("*").alias("have"))))
     share = F.lit(2.0 * sample) / F.col("have")  # 1.2 are wanted; the rest is slack for chance
-    near = rows.join(F.broadcast(have), "lang").where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share)
+    near = rows.join(have, "lang").where((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share)
     near = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= 1.2 * sample)
     use = near.select("lang", "text", (F.col("k") % 6 == 0).alias("calibrates")).where("text IS NOT NULL")
     counted = use.where("NOT calibrates").select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
