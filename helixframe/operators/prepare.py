@@ -5,6 +5,8 @@ A faulty sample becomes a row with a reason; it never stops the others.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +95,35 @@ def failure_pivot(outcomes: DataFrame, labels: list[str] | None = None) -> DataF
     return wide.withColumn("split", F.when(F.col("_all") == 1, "global").otherwise(F.col("split"))).drop("_all")
 
 
-def prepare_samples(
+@dataclass
+class Prepared:
+    """Status rows, and what their labels are made of (keyed by selection)."""
+
+    status: DataFrame
+    contacts: DataFrame
+    missing: DataFrame
+
+    def labels(self, status: DataFrame | None = None) -> DataFrame:
+        """One row for each sample that passed: its slots in order, each with its nucleotide,
+        masks and the residues in base and backbone contact.  ``status``: the rows as
+        stored, so that the preparation does not run again."""
+        ok = (self.status if status is None else status).where("status = 'ok'")
+        slots = C.slot_rows(ok.select("sample_id", F.col("selection").alias("structure_id"), "slot_to_dna_index"))
+        rows = C.slot_labels(slots, self.contacts, self.missing)
+        slot = F.struct("slot", "dna_idx", "pwm_mask", "base_mask", "base_res", "backbone_res")
+        packed = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+        return packed.join(ok.select("sample_id", *[c for c in ("split",) if c in ok.columns]), "sample_id")
+
+
+def prepare_samples(samples: DataFrame, atoms: DataFrame, motifs: DataFrame, *args, **kwargs) -> DataFrame:
+    """The status rows of ``prepare_batch``."""
+    return prepare_batch(samples, atoms, motifs, *args, **kwargs).status
+
+
+def prepare_batch(
     samples: DataFrame, atoms: DataFrame, motifs: DataFrame, mode: str = "ic_log_likelihood",
     min_base: int = 0, min_contact: int = 1, min_site: int = 1,
-) -> DataFrame:
+) -> Prepared:
     """Status of every sample with its placement, sizes and label counts.
 
     ``samples``: sample_id, structure_id, motif_id, protein_chains, dna_chains
@@ -136,7 +163,8 @@ def prepare_samples(
         "selection").agg(F.sum("n").alias("n_edges"))
 
     keyed = s.select("sample_id", F.col("selection").alias("structure_id"), "motif_id")
-    cands = A.contact_candidates(keyed, chains, scoring, positions, C.contact_labels(distances))
+    contacts = C.contact_labels(distances)
+    cands = A.contact_candidates(keyed, chains, scoring, positions, contacts)
     aligned = A.align_contact_constrained(cands, chains, min_base, min_contact, min_site).drop("structure_id")
     broken = A.bad_residue_error(keyed, chains, scoring, bare).withColumnRenamed("error", "atom_error")
     sizes = residues.groupBy(F.col("structure_id").alias("selection")).agg(
@@ -171,7 +199,7 @@ def prepare_samples(
     done = j.select(
         "sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains",
         *[c for c in MANIFEST_COLUMNS if c in s.columns and c not in ("sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains")],
-        error.alias("error"),
+        "selection", error.alias("error"),
         "n_res", "m", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
         *[F.col(f"{c}_pos").alias(out) for c, out in zip(("base", "backbone", "contact", "site"), COUNTS)],
         "slot_to_dna_index", F.concat(prefix, F.lit("contact_constrained_pwm_dna")).alias("alignment_mode"),
@@ -180,6 +208,7 @@ def prepare_samples(
         F.col("score").alias("alignment_score"), F.col("aligned_sequence").alias("alignment_sequence"),
         F.col("candidate_count").alias("alignment_candidate_count"),
         F.col("contact_candidate_count").alias("alignment_contact_candidate_count"))
-    return route_status(done, min_base, min_contact, min_site)
+    no_base = dna.where("n_base = 0").select("structure_id", F.col("sel_idx").alias("dna_idx"), F.lit("base").alias("part"))
+    return Prepared(route_status(done, min_base, min_contact, min_site), contacts, no_base)
 
 

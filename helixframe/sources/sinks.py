@@ -14,7 +14,7 @@ from helixframe.functions.constants import MANIFEST_COLUMNS, MOTIF_INDEX_COLUMNS
 from helixframe.functions.pwm import ACGT
 from helixframe.operators.manifest import display_path, resolve
 from helixframe.operators.motif import normalize_pwm
-from helixframe.operators.prepare import COUNTS
+from helixframe.operators.prepare import COUNTS, Prepared
 
 SAMPLE_TABLE = ["sample_id", "split", "structure_id", "structure_path", "motif_id", "motif_source", "motif_version",
                 "motif_path", "protein_chains", "dna_chains", "processed_path", *COUNTS]
@@ -89,6 +89,14 @@ def write_status(status: DataFrame, out_root: str) -> None:
     ok.select("processed_path").write.mode("overwrite").text(f"{root}/processed_manifest")
 
 
+def write_prepared(prepared: Prepared, out_root: str) -> None:
+    """Tables of ``write_status`` and, under ``labels``, the slots of each sample that passed."""
+    root = out_root.rstrip("/")
+    write_status(prepared.status, root)
+    labels = prepared.labels(prepared.status.sparkSession.read.parquet(f"{root}/status"))
+    labels.write.mode("overwrite").partitionBy(*[c for c in ("split",) if c in labels.columns]).parquet(f"{root}/labels")
+
+
 def write_samples(packed: DataFrame, path: str) -> None:
     """Sample arrays as Parquet by split, so that a split is read alone."""
     packed.write.mode("overwrite").partitionBy("split").parquet(path)

@@ -18,8 +18,11 @@ def test_prepared_rows_feed_the_status_tables(spark, tmp_path):
     rows = [(f"{s}_{m}", "train", s, "", "pdb", "", "", m, "J", "v", "m.txt", "") for s in ("s", "bad", "none") for m in (7, 8)]
     samples = spark.createDataFrame(rows, "sample_id string, split string, structure_id string, structure_path string, structure_format string, "
                                           "protein_chains string, dna_chains string, motif_id long, motif_source string, motif_version string, motif_path string, notes string")
-    out = prepare.prepare_samples(samples, atoms, motifs, min_contact=0, min_site=0)
-    K.write_status(out, str(tmp_path))
+    K.write_prepared(prepare.prepare_batch(samples, atoms, motifs, min_contact=0, min_site=0), str(tmp_path))
+    labels = spark.read.parquet(f"{tmp_path}/labels").collect()
+    assert [(r.sample_id, r.split, len(r.slots)) for r in labels] == [("s_7", "train", 4)]
+    touched = [x.slot for x in labels[0].slots if x.base_res]
+    assert touched == [labels[0].slots[k].slot for k in range(4) if labels[0].slots[k].dna_idx == 3] and all(x.base_mask == x.pwm_mask == 1 for x in labels[0].slots)
     status = {r.sample_id: r for r in spark.read.parquet(f"{tmp_path}/status").collect()}
     assert len(status) == 6 and status["bad_7"].reason == "unreadable atom line"
     assert status["none_7"].reason.startswith("structure file not found") and status["s_8"].reason.startswith("motif file not found")
