@@ -36,9 +36,14 @@ def id_remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting the rows of an already written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
+    """Broadcast hint only after counting the rows of an already written table, and the entries of its array
+    column ``items`` (five a row on average at most)."""
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if items and (df.agg(F.sum(F.size(items))).first()[0] or 0) > 5 * rows:
+        return df
+    return F.broadcast(df)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -77,7 +77,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shing
     prefix = order.groupBy("wid", "size").agg(F.min(F.struct("df", "h", "offset")).alias("rarest")).where("rarest.df > 0")
     prefix = small_enough(stored(prefix.select("wid", "size", "rarest.h", "rarest.offset")))
     fits = found.join(prefix, "h").withColumn("start", F.col("at") - F.col("offset")).where("start >= 0 AND start + size <= n")
-    candidates = small_enough(stored(fits.groupBy("key").agg(F.collect_set(F.struct("start", "wid", "size")).alias("places"))))
+    candidates = small_enough(stored(fits.groupBy("key").agg(F.collect_set(F.struct("start", "wid", "size")).alias("places"))), items="places")
     placed = rows.join(candidates, "key", "left").withColumn("w", item_words(F.col("text")))
     parts_of = F.transform("places", lambda p: F.struct(p.start.alias("start"), p.wid.alias("wid"), p.size.alias("size"), F.array_join(F.slice(F.col("w"), p.start + 1, p.size), " ").alias("words")))
     base = stored(placed.select("doc_id", "key", F.size("w").cast("bigint").alias("n_words"), parts_of.alias("parts")))

@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) ->
     known = stored(near_lines(rows.select("doc_id", "key", "text"), block, least))
     each = _lines(rows, least=least).select("doc_id", "key", "at", *_id(F.col("line"))).join(small_enough(known), ["a", "b"])
     lost = each.where(_place() > F.col("first")).groupBy("key").agg(F.collect_set("at").alias("lost"))
-    out = rows.join(small_enough(stored(lost)), "key", "left").withColumn("lines", F.split("text", "\n"))
+    out = rows.join(small_enough(stored(lost), items="lost"), "key", "left").withColumn("lines", F.split("text", "\n"))
     left = F.filter("lines", lambda x, i: ~F.array_contains("lost", i))
     new = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")

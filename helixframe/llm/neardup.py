@@ -198,7 +198,7 @@ def near_classes(docs: DataFrame, size: int, percent: int, trees: int = TREES, d
     blocks = clusters.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     placed = clusters.join(blocks, "root").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")))
     places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("root").alias("root"), F.least("b", o).alias("i"), F.greatest("b", o).alias("j")))
-    wanted = small_enough(stored(placed.select("key", "node", places.alias("place")).distinct()))
+    wanted = small_enough(stored(placed.select("key", "node", places.alias("place")).distinct()), items="place")
 
     sets = rows.join(wanted, "key").select("place", "node", "text").mapInArrow(partial(_sets, size=size), "place array<struct<root bigint, i bigint, j bigint>>, node bigint, hashes binary")
     each = sets.select(F.explode_outer("place").alias("p"), "node", "hashes")
