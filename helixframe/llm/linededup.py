@@ -8,7 +8,8 @@ more a character than a short one. Groups of equal variants are folded to their
 aggregation, never to pairs. The edit distance is checked on the lines themselves.
 
 A line is dropped if an equal or near line comes earlier, in the order of document id and place in the document.
-Lines shorter than ``MIN_CHARS`` always stay.
+Equal lines are found at every length; near ones among lines of ``MIN_CHARS`` code points or more. Blank lines (white
+space alone) shorter than that are spacing and stay.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import small_enough, stored, table, text_key
+from helixframe.llm.common import WORD, small_enough, stored, table, text_key
 
-#: Code points of the shortest line that can be dropped, and of a block of variants.
+#: Code points of the shortest line with near lines (equal lines have no minimum), and of a block of variants.
 MIN_CHARS, BLOCK = 40, 256
 
 
@@ -32,10 +33,10 @@ def _id(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b")]
 
 
-def _lines(rows: DataFrame, text: str = "text", least: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, key, at, line) of lines long enough."""
+def _lines(rows: DataFrame, text: str = "text", least: int | None = None) -> DataFrame:
+    """(doc_id, key, at, line) of lines that can be dropped."""
     split = rows.select("doc_id", "key", F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
-    return split.where(F.length("line") >= least)
+    return split.where(F.length("line") >= least if least else (F.length("line") >= MIN_CHARS) | F.col("line").rlike(WORD))
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -74,21 +75,22 @@ def _variants(block: int) -> Column:
     return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.floor(n / block).cast("int")), of_block), keys))
 
 
-def near_lines(rows: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) -> DataFrame:
+def near_lines(rows: DataFrame, block: int = BLOCK, least: int | None = None) -> DataFrame:
     """(a, b, first): for each distinct line that may lose an occurrence, the earliest place of an equal or near line.
 
-    ``rows`` has doc_id, key and text."""
+    ``rows`` has doc_id, key and text; ``least`` as in ``dedup_lines``."""
     lines = _lines(rows, least=least).withColumn("n", F.length("line"))
+    long = F.col("n") >= (least or MIN_CHARS)
     tag = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"))
     a, b = _id(F.col("line"))
-    both = lines.select("doc_id", "key", "at", a, b, _halves(F.col("line"), F.col("n")).alias("hs"))
-    every = F.concat(F.array(tag(0, F.col("a"), F.col("b"))), F.transform("hs", lambda s: tag(1, s.h, F.lit(0).cast("bigint"))))
+    both = lines.select("doc_id", "key", "at", a, b, F.when(long, _halves(F.col("line"), F.col("n"))).alias("hs"))
+    every = F.concat(F.array(tag(0, F.col("a"), F.col("b"))), F.coalesce(F.transform("hs", lambda s: tag(1, s.h, F.lit(0).cast("bigint"))), F.array().cast("array<struct<kind int, x bigint, y bigint>>")))
     spread = both.select(_place().alias("place"), "a", F.explode_outer(every).alias("tag")).select("tag.*", "a", F.when(F.col("tag.kind") == 0, F.col("place")).alias("place"))
     groups = spread.groupBy("kind", "x", "y").agg(F.min("place").alias("first"), F.count("*").alias("times"), F.min("a").alias("least"), F.max("a").alias("most"))
     groups = stored(groups.where("times > 1 AND (kind = 0 OR least <> most)"))
     equal = groups.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"), "first")
     shared = small_enough(stored(groups.where("kind = 1").select(F.col("x").alias("h"))))
-    some = lines.select("doc_id", "key", "at", "line", "n", F.explode_outer(_halves(F.col("line"), F.col("n"))).alias("half"))
+    some = lines.where(long).select("doc_id", "key", "at", "line", "n", F.explode_outer(_halves(F.col("line"), F.col("n"))).alias("half"))
     some = some.select("doc_id", "key", "at", "line", "n", "half.*").join(shared, "h", "left_semi")
     some = some.groupBy(*_id(F.col("line"))).agg(F.min(F.struct(_place().alias("place"), "line", "n")).alias("own"), F.bool_or("last").alias("last"), F.bool_or(~F.col("last")).alias("head"))
     # Lines that share only their first half differ behind it, those that share only their last half before it.
@@ -113,18 +115,19 @@ def near_lines(rows: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) -> D
     return equal.unionByName(close.select("a", "b", "first")).groupBy("a", "b").agg(F.min("first").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, block: int = BLOCK, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, block: int = BLOCK, least: int | None = None) -> DataFrame:
     """(row, text, n_lines, n_dropped): the input row as a struct and its text less the dropped lines.
 
     A row for each input row. NULL text stays NULL with 0 lines, an empty text has one line that stays. Rows that
     share id and text are one document: they lose the same lines. An empty table gives an empty table; columns of
-    any name pass inside ``row``."""
+    any name pass inside ``row``. With ``least`` all lines shorter than that stay, and it is the minimum of near
+    lines too; without it equal lines that are not blank have no minimum."""
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", text_key(F.col("doc_id"), F.col("text")).alias("key"))
     known = stored(near_lines(rows.select("doc_id", "key", "text"), block, least))
     each = _lines(rows, least=least).select("doc_id", "key", "at", *_id(F.col("line"))).join(small_enough(known), ["a", "b"])
     lost = each.where(_place() > F.col("first")).groupBy("key").agg(F.collect_set("at").alias("lost"))
     out = rows.join(small_enough(stored(lost), items="lost"), "key", "left").withColumn("lines", F.split("text", "\n"))
-    left = F.filter("lines", lambda x, i: ~F.array_contains("lost", i))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost"), lambda i: F.get("lines", i))
     new = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")
     return out.select("row", new.alias("text"), count("lines").alias("n_lines"), count("lost").alias("n_dropped"))

@@ -81,6 +81,16 @@ def test_line_dedup_equals_brute_force(spark, block):
     assert got == sorted(want) and sum(x[4] for x in got) > 50
 
 
+def test_equal_lines_of_every_length_go(spark):
+    long = "A line of more than forty code points, as it stands here."
+    docs = [(0, f"Les.\n\n{long}\nLes.\n \nx"), (1, f"Les.\n\n \nLes!\nx\n{long}!\n{' ' * 50}\ny"), (2, f"y\nLes.\n\n{' ' * 50}"), (3, "Les."), (4, None), (5, "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {x.row.doc_id: (x.text, x.n_lines, x.n_dropped) for x in linededup.dedup_lines(d).collect()}
+    assert got == {0: (f"Les.\n\n{long}\n \nx", 6, 1), 1: (f"\n \nLes!\n{' ' * 50}\ny", 8, 3), 2: ("", 4, 3), 3: ("", 1, 1), 4: (None, 0, 0), 5: ("", 1, 0)}
+    kept = {x.row.doc_id: x.n_dropped for x in linededup.dedup_lines(d, least=40).collect()}
+    assert kept == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(300)] + [(r.randrange(500, 900), r.randrange(500, 900)) for _ in range(300)] + [(7, 7), (None, 3), (2, 1)]
