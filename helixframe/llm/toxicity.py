@@ -26,6 +26,9 @@ PREFIXES = (4, 6)
 SAMPLE = 3000
 #: A term gets weights if the labels differ in it: squared z-score of its two shares, and texts that hold it.
 LEAST_Z2, LEAST_TEXTS = 15.0, 3
+#: So do two terms if texts with both differ from what each term alone lets expect (a share of label 1 inside these
+#: bounds): log likelihood gain above that of the best of as many chance pairs. Terms of a block of the pair counts.
+EXPECTED, MARGIN, PAIR_BLOCK = (0.05, 0.95), 3.0, 1024
 EPOCHS, BATCH, RATE, SHRINK, SEED = 30, 64, 0.2, 1e-5, 7
 
 _letter = np.zeros(256, bool)
@@ -79,10 +82,55 @@ def telling(features: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return np.flatnonzero((held >= LEAST_TEXTS) & (z2 >= LEAST_Z2))
 
 
+def _log_odds(p: np.ndarray | float) -> np.ndarray:
+    return np.log(p) - np.log1p(-p)
+
+
+def interacting(features: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Buckets of pairs that tell together: texts with both have another share of label 1 than the terms' own shares,
+    added as log odds, let expect. All pairs are counted, by matrix products over blocks of terms."""
+    n, base = len(features), label.mean()
+    term, text = np.concatenate(features), np.repeat(np.arange(n), [len(x) for x in features])
+    held, held1 = np.bincount(term, minlength=BUCKETS), np.bincount(term, label[text], BUCKETS)
+    least = 2 * np.log(max(2, (held >= LEAST_TEXTS).sum())) + MARGIN
+    used = np.flatnonzero((held >= LEAST_TEXTS) & (-held * np.log(EXPECTED[0]) >= least))  # fewer texts cannot gain as much
+    odds = _log_odds((held1[used] + base) / (held[used] + 1)) - _log_odds(base)
+    index = np.full(BUCKETS, -1)
+    index[used] = np.arange(len(used))
+    number = index[term]
+    text, number = text[number >= 0], number[number >= 0]
+    by = np.argsort(number, kind="stable")
+    text, number = text[by], number[by]
+    one = label == 1
+
+    def block(lo: int) -> np.ndarray:
+        s, e = np.searchsorted(number, [lo, lo + PAIR_BLOCK])
+        out = np.zeros((n, min(PAIR_BLOCK, len(used) - lo)), np.float32)
+        out[text[s:e], number[s:e] - lo] = 1
+        return out
+
+    found = np.zeros(len(used), bool)
+    for lo in range(0, len(used), PAIR_BLOCK):
+        left = block(lo)
+        for other in range(lo, len(used), PAIR_BLOCK):
+            right = left if other == lo else block(other)
+            k, k1 = left.T @ right, left[one].T @ right[one]
+            with np.errstate(over="ignore"):
+                e = np.clip(1 / (1 + np.outer(np.exp(-odds[lo:lo + len(k)] - _log_odds(base)), np.exp(-odds[other:other + k.shape[1]])).astype(np.float32)), *EXPECTED)
+            i, j = np.nonzero((k1 - k * e) ** 2 > 0.99 * least * k * e * (1 - e))  # chi squared is never below the gain
+            i, j = (x[lo + i != other + j] for x in (i, j))
+            k, k1, e = (x[i, j].astype(float) for x in (k, k1, e))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.nan_to_num(k1 * np.log(k1 / k / e)) + np.nan_to_num((k - k1) * np.log((1 - k1 / k) / (1 - e)))
+            far = gain >= least
+            found[lo + i[far]] = found[other + j[far]] = True
+    return used[found]
+
+
 def train(features: list[np.ndarray], label: np.ndarray) -> FactorizationMachine:
     """Mini-batches with per-weight adaptive steps (sum of squared gradients), in a seeded order."""
     rng = np.random.default_rng(SEED)
-    used = telling(features, label)
+    used = np.union1d(telling(features, label), interacting(features, label))
     index = np.full(BUCKETS, -1)
     index[used] = np.arange(len(used))
     rows = [x[x >= 0] for x in (index[f] for f in features)]

@@ -174,6 +174,22 @@ def test_toxicity_learns_terms_and_a_pair(spark, odd):
     assert p[2] > 0.5 > max(p[0], p[1])
 
 
+def test_toxicity_learns_a_pair_of_terms_with_equal_shares():
+    """Both terms are in half of the texts of either label; only their joint share differs."""
+    def make(n, seed):
+        rng, features, label = np.random.default_rng(seed), [], []
+        for i in range(n):
+            first = rng.random() < 0.5
+            features.append(np.unique(np.concatenate((rng.choice(np.arange(10, 300), 30), [1] * first, [2] * (first == bool(i % 2))))).astype(np.int64))
+            label.append(float(i % 2))
+        return features, np.array(label)
+
+    model = toxicity.train(*make(1200, 1))
+    features, label = make(400, 2)
+    p = toxicity.sigmoid(model.logits(np.concatenate(features), np.repeat(np.arange(400), [len(x) for x in features]), 400))
+    assert not set(toxicity.telling(*make(1200, 1))) & {1, 2} and ((p >= 0.5) == label).mean() >= 0.98
+
+
 def test_language_model_scores(spark, odd):
     rng = np.random.default_rng(6)
     vocabulary = ["the", "of", "Cat", "dog", "sat", "ON", "mat", "é"]
