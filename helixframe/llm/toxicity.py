@@ -175,7 +175,7 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Factorizatio
     """Learn from whole texts of ``docs`` (doc_id, text) as ``marks`` (doc_id, label 0/1) says.
 
     Of each label at most ``sample`` marks are taken, by a hash of the id, before any text is read; this bounds what
-    is broadcast and what reaches the driver. Rows with a NULL id or label teach nothing. Without both labels the
+    is broadcast and what reaches the driver. The bias is set back to the share of the labels among all marks. Rows with a NULL id or label teach nothing. Without both labels the
     model is the plain share of label 1."""
     marks = marks.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("doc_id"))
     have = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -190,7 +190,10 @@ def fit(docs: DataFrame, marks: DataFrame, sample: int = SAMPLE) -> Factorizatio
         return FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     features = [np.asarray(x, np.int64) for x in got.column("terms").to_numpy()]
     order = np.lexsort(([int(x.sum()) for x in features], [len(x) for x in features], label))  # whatever order the rows came in
-    return train([features[i] for i in order], label[order])
+    model = train([features[i] for i in order], label[order])
+    rate = {k: min(1.0, sample / have[k]) for k in (0, 1)}
+    model.bias -= float(np.log(rate[1] / rate[0]))
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -190,6 +190,13 @@ def test_toxicity_learns_a_pair_of_terms_with_equal_shares():
     assert not set(toxicity.telling(*make(1200, 1))) & {1, 2} and ((p >= 0.5) == label).mean() >= 0.98
 
 
+def test_toxicity_prior_does_not_shift_with_the_sample(spark):
+    """A quarter of the texts is toxic whatever they say; the sample takes as many of either label."""
+    docs = spark.createDataFrame([(i, f"same words {i % 7}", int(i // 7 % 4 == 0)) for i in range(1400)], "doc_id bigint, text string, label int")
+    model = toxicity.fit(docs, docs.select("doc_id", "label"), sample=150)
+    assert all(0.15 < r.score < 0.35 for r in toxicity.score(docs, model).collect())
+
+
 def test_language_model_scores(spark, odd):
     rng = np.random.default_rng(6)
     vocabulary = ["the", "of", "Cat", "dog", "sat", "ON", "mat", "é"]
