@@ -182,7 +182,8 @@ def _links(group: pa.Table, percent: int) -> pa.Table:
 
 
 def near_classes(docs: DataFrame, size: int, percent: int, trees: int = TREES, depth: int = 4) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) for each input row: the least id reachable over links.
+    """(doc_id, key, n_shingles, component_id, class) for each input row: the least id reachable over links, and a number
+    of its class (NULL without shingles).
 
     Documents are linked if 100 * shingles in common >= percent * shingles in either. NULL and empty texts have no
     shingles and no links: their component is their own id. A NULL id is the least only if its class has no other.
@@ -210,16 +211,21 @@ def near_classes(docs: DataFrame, size: int, percent: int, trees: int = TREES, d
     roots = stored(components(links))
     named = roots.join(nodes.select("node", "first_id"), "node")
     best = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = named.join(best, "root").select("node", "component_id")
-    classes = nodes.join(moved, "node", "left").select("fa", "fb", "n", F.coalesce("component_id", "first_id").alias("component_id"))
-    return signed.join(classes, ["fa", "fb", "n"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    moved = named.join(best, "root").select("node", "component_id", "root")
+    classes = nodes.join(moved, "node", "left").select("fa", "fb", "n", F.coalesce("root", "node").alias("class"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return signed.join(classes, ["fa", "fb", "n"], "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class (five words, 0.8) stays, that of the least id; repeated rows of it too become one."""
-    lost = near_classes(docs, 5, 80, depth=3).where("doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("key").distinct()
-    rows = docs.select(F.struct("*").alias("row"), text_key(F.col("doc_id"), F.col("text")).alias("key"))
-    return rows.join(small_enough(stored(lost)), "key", "left_anti").select("row.*")
+    """Pipeline stage: one row of each class (five words, 0.8) stays: of the least id (none last), then the least key, then
+    one of equal rows. Of texts without words only repeated rows (same id and text) become one."""
+    rows = stored(docs.select(F.struct("*").alias("row"), text_key(F.col("doc_id"), F.col("text")).alias("key"), F.monotonically_increasing_id().alias("number")))
+    classes = near_classes(rows.select("row.doc_id", "row.text"), 5, 80, depth=3).groupBy("key").agg(F.min("class").alias("class"))
+    each = rows.select("key", "number", "row.doc_id").join(classes, "key")
+    each = stored(each.select(F.coalesce(F.col("class").cast("string"), "key").alias("class"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "number").alias("place")))
+    best = each.groupBy("class").agg(F.min("place").alias("best"))
+    lost = each.join(best, "class").where("place.number <> best.number").select("place.number")
+    return rows.join(small_enough(stored(lost)), "number", "left_anti").select("row.*")
 
 
 def is_kept() -> Column:

@@ -150,6 +150,16 @@ def test_near_classes_equal_brute_force(spark, monkeypatch, size, percent, depth
     assert neardup.near_classes(d.limit(0), size, percent).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(60))
+    a, b, c, d = (text(w) for w in "abcd")
+    docs = [(1, a), (1, a), (1, a + " end"), (2, a), (None, a), (None, b), (None, b), (None, b + " end"), (3, c), (3, d), (None, None), (None, None), (4, None), (4, ""), (5, "")]
+    kept = neardup.keep_first(spark, spark.createDataFrame([(*x, 7) for x in docs], "doc_id bigint, text string, key int"), "")
+    assert kept.columns == ["doc_id", "text", "key"]
+    got = Counter((x.doc_id, x.text and x.text[0]) for x in kept.collect())
+    assert got == Counter([(1, "a"), (None, "b"), (3, "c"), (3, "d"), (None, None), (4, None), (4, ""), (5, "")])
+
+
 def test_mixing_fills_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("other", "en", "d", 100)], "domain string, language string, origin string, tokens bigint")
     get = lambda total: {r.origin: r.goal for r in mixing.budgets(leaves, F.lit(float(total)), {"web": 0.5, "other": 0.5}, {"en": 0.5, "de": 0.5}, 0.1, 1).collect()}
