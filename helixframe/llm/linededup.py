@@ -147,21 +147,22 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
-#: Equal and near lines by brute force over lines of nearly equal length that share a half.
-OP4_SQL = """
+#: Equal lines of every length but short blank ones, and near lines by brute force over lines of nearly equal length
+#: that share a half.
+OP4_SQL = r"""
 WITH l AS (
-  SELECT doc_id, pos - 1 AS pos, line, length(line) AS n
+  SELECT doc_id, pos - 1 AS pos, line, length(line) AS n, length(line) >= 40 AS long, length(line) >= 40 OR regexp_matches(line, '[^\x20\x09-\x0D]') AS counts
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
-u AS (SELECT line, n, min((doc_id, pos)) AS place FROM l WHERE n >= 40 GROUP BY ALL),
+u AS (SELECT line, n, long, min((doc_id, pos)) AS place FROM l WHERE counts GROUP BY ALL),
 h AS (
   SELECT DISTINCT line, n, place, half FROM (
-    SELECT *, 'f' || line[1:(n // 2)] AS half FROM u UNION ALL SELECT *, 'f' || line[1:((n - 1) // 2)] FROM u
-    UNION ALL SELECT *, 'l' || right(line, n // 2) FROM u UNION ALL SELECT *, 'l' || right(line, (n - 1) // 2) FROM u)),
+    SELECT *, 'f' || line[1:(n // 2)] AS half FROM u WHERE long UNION ALL SELECT *, 'f' || line[1:((n - 1) // 2)] FROM u WHERE long
+    UNION ALL SELECT *, 'l' || right(line, n // 2) FROM u WHERE long UNION ALL SELECT *, 'l' || right(line, (n - 1) // 2) FROM u WHERE long)),
 p AS (SELECT DISTINCT x.line, y.line AS other, y.place FROM h x JOIN h y ON x.half = y.half AND y.place < x.place AND abs(x.n - y.n) <= 1),
 f AS (
   SELECT line, min(place) AS place FROM (
     SELECT line, place FROM u UNION ALL SELECT line, place FROM p WHERE levenshtein(line, other) <= 1) GROUP BY 1),
-d AS (SELECT l.doc_id, l.pos, l.line, f.place IS NOT NULL AND (l.doc_id, l.pos) > f.place AS gone FROM l LEFT JOIN f ON l.line = f.line AND l.n >= 40)
+d AS (SELECT l.doc_id, l.pos, l.line, f.place IS NOT NULL AND (l.doc_id, l.pos) > f.place AS gone FROM l LEFT JOIN f ON l.line = f.line AND l.counts)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM d GROUP BY 1
 """
