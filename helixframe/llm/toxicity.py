@@ -24,12 +24,12 @@ BUCKETS, FACTORS = 1 << 18, 4
 PREFIXES = (4, 6)
 #: Labelled texts learnt from, at most, of each label.
 SAMPLE = 3000
-#: A term gets weights if the labels differ in it: squared z-score of its two shares, and texts that hold it.
-LEAST_Z2, LEAST_TEXTS = 15.0, 3
-#: So do two terms if texts with both differ from what each term alone lets expect (a share of label 1 inside these
-#: bounds): log likelihood gain above that of the best of as many chance pairs. Terms of a block of the pair counts.
-EXPECTED, MARGIN, PAIR_BLOCK = (0.05, 0.95), 3.0, 1024
-EPOCHS, BATCH, RATE, SHRINK, SEED = 30, 64, 0.2, 1e-5, 7
+#: Texts that hold a term with weights, at least.
+LEAST_TEXTS = 3
+#: Penalties, as shares of what chance alone would reach: the largest of as many linear gradients, the spectral size of
+#: the sum of pair gradients. Then steps with them, steps without the linear one, step size, ridge, size of first factors.
+LINEAR, PAIRS = 0.5, 0.2
+STEPS, REFIT, RATE, RIDGE, START, SEED = 80, 50, 0.1, 0.1, 0.02, 7
 
 _letter = np.zeros(256, bool)
 _letter[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") + list(range(128, 256))] = True
@@ -70,96 +70,95 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(features: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Buckets whose shares among texts of label 1 and 0 differ beyond chance."""
-    n1, n0 = label.sum(), (1 - label).sum()
-    all_terms = np.concatenate(features) if features else np.zeros(0, np.int64)
-    of = np.repeat(label, [len(x) for x in features])
-    held, held1 = np.bincount(all_terms, minlength=BUCKETS), np.bincount(all_terms, of, BUCKETS)
-    p = held / (n1 + n0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z2 = (held1 / n1 - (held - held1) / n0) ** 2 / (p * (1 - p) * (1 / n1 + 1 / n0))
-    return np.flatnonzero((held >= LEAST_TEXTS) & (z2 >= LEAST_Z2))
-
-
 def _log_odds(p: np.ndarray | float) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
-def interacting(features: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Buckets of pairs that tell together: texts with both have another share of label 1 than the terms' own shares,
-    added as log odds, let expect. All pairs are counted, by matrix products over blocks of terms."""
-    n, base = len(features), label.mean()
-    term, text = np.concatenate(features), np.repeat(np.arange(n), [len(x) for x in features])
-    held, held1 = np.bincount(term, minlength=BUCKETS), np.bincount(term, label[text], BUCKETS)
-    least = 2 * np.log(max(2, (held >= LEAST_TEXTS).sum())) + MARGIN
-    used = np.flatnonzero((held >= LEAST_TEXTS) & (-held * np.log(EXPECTED[0]) >= least))  # fewer texts cannot gain as much
-    odds = _log_odds((held1[used] + base) / (held[used] + 1)) - _log_odds(base)
-    index = np.full(BUCKETS, -1)
-    index[used] = np.arange(len(used))
-    number = index[term]
-    text, number = text[number >= 0], number[number >= 0]
-    by = np.argsort(number, kind="stable")
-    text, number = text[by], number[by]
-    one = label == 1
-
-    def block(lo: int) -> np.ndarray:
-        s, e = np.searchsorted(number, [lo, lo + PAIR_BLOCK])
-        out = np.zeros((n, min(PAIR_BLOCK, len(used) - lo)), np.float32)
-        out[text[s:e], number[s:e] - lo] = 1
+class Terms:
+    """Texts by terms of weight, in both orders; sums of values of entries by text and by term."""
+
+    def __init__(self, features: list[np.ndarray], used: np.ndarray):
+        index = np.full(BUCKETS, -1)
+        index[used] = np.arange(len(used))
+        rows = [x[x >= 0] for x in (index[f] for f in features)]
+        self.n, self.used = len(rows), used
+        self.size = np.array([len(x) for x in rows])
+        self.term = np.concatenate(rows)
+        self.text = np.repeat(np.arange(self.n), self.size)
+        self.held = np.bincount(self.term, minlength=len(used))
+        self.by_term = self.text[np.argsort(self.term, kind="stable")]
+
+    def of_texts(self, value: np.ndarray) -> np.ndarray:
+        """Sum over the terms of each text of a value of the term."""
+        out = np.zeros((self.n, *value.shape[1:]), value.dtype)
+        full = self.size > 0
+        out[full] = np.add.reduceat(value[self.term], (np.cumsum(self.size) - self.size)[full], axis=0)
         return out
 
-    found = np.zeros(len(used), bool)
-    for lo in range(0, len(used), PAIR_BLOCK):
-        left = block(lo)
-        for other in range(lo, len(used), PAIR_BLOCK):
-            right = left if other == lo else block(other)
-            k, k1 = left.T @ right, left[one].T @ right[one]
-            with np.errstate(over="ignore"):
-                e = np.clip(1 / (1 + np.outer(np.exp(-odds[lo:lo + len(k)] - _log_odds(base)), np.exp(-odds[other:other + k.shape[1]])).astype(np.float32)), *EXPECTED)
-            i, j = np.nonzero((k1 - k * e) ** 2 > 0.99 * least * k * e * (1 - e))  # chi squared is never below the gain
-            i, j = (x[lo + i != other + j] for x in (i, j))
-            k, k1, e = (x[i, j].astype(float) for x in (k, k1, e))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.nan_to_num(k1 * np.log(k1 / k / e)) + np.nan_to_num((k - k1) * np.log((1 - k1 / k) / (1 - e)))
-            far = gain >= least
-            found[lo + i[far]] = found[other + j[far]] = True
-    return used[found]
+    def of_terms(self, value: np.ndarray) -> np.ndarray:
+        """Sum over the texts of each term of a value of the text."""
+        return np.add.reduceat(value[self.by_term], np.cumsum(self.held) - self.held, axis=0)
+
+
+class Adam:
+    """Steps along the mean gradient, over the root of the mean square."""
+
+    def __init__(self):
+        self.mean, self.square, self.t = 0.0, 0.0, 0
+
+    def step(self, grad):
+        """(step to subtract, step size of each weight)."""
+        self.t += 1
+        self.mean, self.square = 0.9 * self.mean + 0.1 * grad, 0.99 * self.square + 0.01 * grad ** 2
+        rate = RATE / (np.sqrt(self.square / (1 - 0.99 ** self.t)) + 1e-8)
+        return rate * self.mean / (1 - 0.9 ** self.t), rate
 
 
 def train(features: list[np.ndarray], label: np.ndarray) -> FactorizationMachine:
-    """Mini-batches with per-weight adaptive steps (sum of squared gradients), in a seeded order."""
-    rng = np.random.default_rng(SEED)
-    used = np.union1d(telling(features, label), interacting(features, label))
-    index = np.full(BUCKETS, -1)
-    index[used] = np.arange(len(used))
-    rows = [x[x >= 0] for x in (index[f] for f in features)]
-    w, v = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
-    gw, gv, bias, gb = np.full(len(used), 1e-2), np.full(v.shape, 1e-2), 0.0, 1e-2
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), BATCH):
-            pick = order[lo:lo + BATCH]
-            x = np.concatenate([rows[i] for i in pick])
-            r = np.repeat(np.arange(len(pick)), [len(rows[i]) for i in pick])
-            n = len(pick)
-            sums = np.stack([np.bincount(r, v[x, f], n) for f in range(FACTORS)], axis=1)
-            squares = np.bincount(r, (v[x] ** 2).sum(axis=1), n)
-            p = sigmoid(bias + np.bincount(r, w[x], n) + 0.5 * ((sums ** 2).sum(axis=1) - squares))
-            d = p - label[pick]
-            gb += d.sum() ** 2
-            bias -= RATE * d.sum() / np.sqrt(gb)
-            touched, at = np.unique(x, return_inverse=True)
-            grad = np.bincount(at, d[r], len(touched)) + SHRINK * w[touched]
-            gw[touched] += grad ** 2
-            w[touched] -= RATE * grad / np.sqrt(gw[touched])
-            for f in range(FACTORS):
-                grad = np.bincount(at, d[r] * (sums[r, f] - v[x, f]), len(touched)) + SHRINK * v[touched, f]
-                gv[touched, f] += grad ** 2
-                v[touched, f] -= 0.2 * RATE * grad / np.sqrt(gv[touched, f])
+    """Weights of all terms of ``LEAST_TEXTS`` texts, by steps over all texts at once.
+
+    Linear weights have an absolute penalty in the scale of each term, so that a term that follows the labels no better
+    than the best of as many chance terms comes to 0. The factors' ridge is a penalty on the singular values of the
+    matrix of pairs: pairs stay that matter together beyond what all chance pairs make. Then the terms that are left are
+    fitted once more without the linear penalty."""
+    share = label.mean()
+    spread = share * (1 - share)
+    held = np.bincount(np.concatenate(features), minlength=BUCKETS)
+    data = Terms(features, np.flatnonzero(held >= LEAST_TEXTS))
     linear, factors = np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32)
-    linear[used], factors[used] = w, v
-    return FactorizationMachine(float(bias), linear, factors)
+    b = float(_log_odds(share))
+    if not len(data.used):
+        return FactorizationMachine(b, linear, factors)
+    chance = LINEAR * np.sqrt(2 * np.log(max(2, len(data.used))) * spread * data.held * (1 - data.held / data.n))
+    pairs = PAIRS * np.sqrt(spread * (data.size.astype(float) ** 2).sum())
+    w = np.zeros(len(data.used), np.float32)
+    v = np.random.default_rng(SEED).normal(0, START, (len(w), FACTORS)).astype(np.float32)
+    by_bias, by_linear, by_factors = Adam(), Adam(), Adam()
+    for step in range(STEPS + REFIT):
+        if step == STEPS:
+            # What came to nothing goes: linear weights of 0 stay so, factors below their first size are 0.
+            v[np.sqrt((v ** 2).sum(axis=1)) < START] = 0
+            left = (w != 0) | (v != 0).any(axis=1)
+            if not left.any():
+                break
+            data, w, v, open_ = Terms(features, data.used[left]), w[left], v[left], w[left] != 0
+            by_factors.mean, by_factors.square = by_factors.mean[left], by_factors.square[left]
+            by_linear.mean, by_linear.square = by_linear.mean[left] * open_, by_linear.square[left]
+        sums = data.of_texts(v)
+        logit = b + data.of_texts(w) + 0.5 * ((sums ** 2).sum(axis=1) - data.of_texts((v ** 2).sum(axis=1)))
+        d = (sigmoid(logit) - label).astype(np.float32)
+        both = data.of_terms(np.column_stack((d[:, None] * sums, d)))
+        grad = both[:, -1]
+        if step < STEPS:
+            move, rate = by_linear.step(grad)
+            w = w - move
+            w = np.sign(w) * np.maximum(np.abs(w) - rate * chance, 0).astype(np.float32)
+        else:
+            w = w - by_linear.step((grad + RIDGE * w) * open_)[0]
+        v = v - by_factors.step(both[:, :-1] - v * grad[:, None] + pairs * v)[0] * (v != 0).any(axis=1)[:, None]
+        b -= float(by_bias.step(d.sum())[0])
+    linear[data.used], factors[data.used] = w, v
+    return FactorizationMachine(b, linear, factors)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

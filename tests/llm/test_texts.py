@@ -1,6 +1,7 @@
 """Operators that read each text alone, against plain Python."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 from zlib import crc32
@@ -187,7 +188,34 @@ def test_toxicity_learns_a_pair_of_terms_with_equal_shares():
     model = toxicity.train(*make(1200, 1))
     features, label = make(400, 2)
     p = toxicity.sigmoid(model.logits(np.concatenate(features), np.repeat(np.arange(400), [len(x) for x in features]), 400))
-    assert not set(toxicity.telling(*make(1200, 1))) & {1, 2} and ((p >= 0.5) == label).mean() >= 0.98
+    assert np.abs(model.linear[[1, 2]]).max() < 0.1 and ((p >= 0.5) == label).mean() >= 0.98
+
+
+def test_toxicity_logit_is_the_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(0.3, rng.normal(size=toxicity.BUCKETS), rng.normal(size=(toxicity.BUCKETS, toxicity.FACTORS)))
+    texts = [np.unique(rng.integers(0, toxicity.BUCKETS, n)) for n in (0, 1, 2, 7, 40)]
+    got = model.logits(np.concatenate(texts), np.repeat(np.arange(5), [len(x) for x in texts]), 5)
+    want = [0.3 + sum(model.linear[i] for i in x) + sum(model.factors[i] @ model.factors[j] for k, i in enumerate(x) for j in x[:k]) for x in texts]
+    np.testing.assert_allclose(got, want)
+
+
+def test_toxicity_without_labels_or_texts(spark, odd):
+    marks = spark.createDataFrame([(0, 1), (2, 1), (4, None), (None, 0)], "doc_id bigint, label int")
+    none = toxicity.fit(odd, marks.limit(0))
+    assert all(r.score == 0.5 for r in toxicity.score(odd, none).collect())  # no label at all: neither is likelier
+    one = toxicity.score(odd, toxicity.fit(odd, marks)).collect()
+    assert len(one) == odd.count() and len({r.score for r in one}) == 1 and one[0].score > 0.5
+    assert toxicity.score(odd.limit(0), none).count() == 0
+    bare = toxicity.train([np.zeros(0, np.int64)] * 4, np.array([0, 1, 1, 1.0]))  # texts without terms: the share of the labels
+    np.testing.assert_allclose(toxicity.sigmoid(bare.logits(np.zeros(0, np.int64), np.zeros(0, np.int64), 1)), 0.75)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="driver tables not present")
+def test_toxicity_of_held_out_texts(spark):
+    got = toxicity.op9_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    right, clean, n = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.avg(F.when(F.col("toxic") == 0, 1 - F.col("predicted"))), F.count("*")).first()
+    assert n > 500 and right >= 0.98 and clean >= 0.99
 
 
 def test_toxicity_prior_does_not_shift_with_the_sample(spark):
