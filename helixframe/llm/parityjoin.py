@@ -10,7 +10,8 @@ shingles, then number) is among the d + 1 heaviest of either set. Blocks of fewe
 and are left out: if that leaves a set with d keys or fewer, it also takes the keys of the next seed. Two linked sets
 without a common key of one seed both are such sets, so they meet at a later one; at the last seed nothing is left out.
 
-Sets with a common key become one candidate cluster by a chain, so a block that many share costs one edge a set.
+Sets with a common key become one candidate cluster by an edge to the least of them, so a block that many share costs one
+edge a set.
 Inside a cluster sets are cut by size into groups, compared with the groups of near sizes: first the Hamming distance
 of sketches folded to few words, then the shingles themselves.
 """
@@ -130,10 +131,10 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
         key, node = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
-        same = key[1:] == key[:-1]
-        first = np.concatenate(([True], ~same))
-        met = np.flatnonzero(same & (node[1:] != node[:-1]))
-        pair = np.unique(np.stack((node[met], node[met + 1])), axis=1)
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        least = node[first][np.cumsum(first) - 1]
+        met = np.flatnonzero(node != least)
+        pair = np.unique(np.stack((node[met], least[met])), axis=1)
         none = pa.nulls(int(first.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((key[first], mix64(pair[0]))).view(np.int64)), pa.array(np.concatenate((node[first], pair[0])).view(np.int64)),
@@ -151,21 +152,23 @@ def _keys(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of one key in rows sorted by key, and the pairs that came along."""
+    """Each set of a key with the least one, from rows sorted by key and set, and the pairs that came along."""
     last: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for batch in batches:
         one = batch.column(2).is_null().to_numpy(zero_copy_only=False)
         v, a = (np.concatenate((x, batch.column(i).to_numpy()[one])) for i, x in enumerate(last))
-        met = np.flatnonzero((v[1:] == v[:-1]) & (a[1:] != a[:-1]))
+        first = np.concatenate(([True] * min(1, len(v)), v[1:] != v[:-1]))
+        least = a[first][np.cumsum(first) - 1]
+        met = np.flatnonzero(a != least)
         pair = batch.filter(pa.array(~one))
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a[met]), pair.column(1)]), pa.concat_arrays([pa.array(a[met + 1]), pair.column(2)])], ["u", "v"])
-        last = v[-1:], a[-1:]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a[met]), pair.column(1)]), pa.concat_arrays([pa.array(least[met]), pair.column(2)])], ["u", "v"])
+        last = v[-1:], least[-1:]
 
 
 def candidates(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): sets (by their first mark) that share a key; all sets of one key are connected."""
     keys = texts.mapInArrow(partial(_keys, size=size, percent=percent), "v bigint, a bigint, b bigint")
-    return keys.repartition("v").sortWithinPartitions("v").mapInArrow(_chains, "u bigint, v bigint").where("u <> v").distinct()
+    return keys.repartition("v").sortWithinPartitions("v", "a").mapInArrow(_chains, "u bigint, v bigint").where("u <> v").distinct()
 
 
 def folded(sets: list[np.ndarray], most: int) -> np.ndarray:
