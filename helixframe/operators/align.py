@@ -229,11 +229,15 @@ def contact_candidates(
 
 
 def align_contact_constrained(
-    candidates: DataFrame, chains: DataFrame, min_base: int = 0, min_contact: int = 1, min_site: int = 1
+    candidates: DataFrame, chains: DataFrame, min_base: int = 0, min_contact: int = 1, min_site: int = 1,
+    free: Column | None = None,
 ) -> DataFrame:
-    """Best candidate that passes the contact minimums, or the failure text."""
+    """Best candidate that passes the contact minimums, or the failure text.
+
+    ``free``: on candidates of samples that need no contacts; their best candidate is taken as it is."""
     passes = ((F.col("contact_pos") >= min_contact) & (F.col("site_pos") >= min_site)
               & (F.col("base_pos") >= min_base))
+    passes = passes if free is None else passes | free
     detail = F.struct("chain", "seg_start", "i", "start", "reverse_complement", "raw", "is_full", "m", "vis",
                       "base_pos", "backbone_pos", "contact_pos", "site_pos")
     order = F.expr(_ORDER)
@@ -276,6 +280,15 @@ def bad_residue_error(samples: DataFrame, chains: DataFrame, scoring: DataFrame,
         F.lit("DNA residue "), F.col("rid"), F.lit(" has no backbone heavy atoms.")).alias("error"))
 
 
+def bad_slot_error(placements: DataFrame, bad_backbone: DataFrame) -> DataFrame:
+    """Samples with a slot on a residue without backbone atoms: sample_id, error naming the first one.
+
+    ``placements``: sample_id, structure_id, slot_to_dna_index; ``bad_backbone``: structure_id, dna_idx, residue_id."""
+    slots = placements.select("sample_id", "structure_id", F.posexplode("slot_to_dna_index").alias("slot", "dna_idx"))
+    first = slots.join(bad_backbone, ["structure_id", "dna_idx"]).groupBy("sample_id").agg(F.min_by("residue_id", "slot").alias("rid"))
+    return first.select("sample_id", F.concat(F.lit("DNA residue "), F.col("rid"), F.lit(" has no backbone heavy atoms.")).alias("error"))
+
+
 # ------------------------------------------------------------- other policies
 def manual_slots(samples: DataFrame) -> DataFrame:
     """Explicit placements.  ``samples``: sample_id, m, manual_index (text),

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.checkpoints import cut_lineage
 from helixframe.functions.constants import FAILURE_RULES, MANIFEST_COLUMNS
+from helixframe.functions.pwm import ACGT
 from helixframe.operators import align as A
 from helixframe.operators import contacts as C
 from helixframe.operators import geometry as G
+from helixframe.operators import manifest as N
 from helixframe.operators import structure as S
+from helixframe.operators.motif import normalize_pwm
 from helixframe.operators.ordering import first_per_key
+from helixframe.sources import store
 
 COUNTS = ["A_base_pos", "A_backbone_pos", "A_contact_pos", "site_pos"]
 
@@ -97,22 +101,52 @@ def failure_pivot(outcomes: DataFrame, labels: list[str] | None = None) -> DataF
 
 @dataclass
 class Prepared:
-    """Status rows, and what their labels are made of (keyed by selection)."""
+    """Status rows, and what labels and arrays are made of (keyed by selection)."""
 
     status: DataFrame
     contacts: DataFrame
     missing: DataFrame
+    protein: DataFrame
+    edges: DataFrame
+    motifs: DataFrame
 
     def labels(self, status: DataFrame | None = None) -> DataFrame:
         """One row for each sample that passed: its slots in order, each with its nucleotide,
         masks and the residues in base and backbone contact.  ``status``: the rows as
         stored, so that the preparation does not run again."""
         ok = (self.status if status is None else status).where("status = 'ok'")
-        slots = C.slot_rows(ok.select("sample_id", F.col("selection").alias("structure_id"), "slot_to_dna_index"))
+        return self._slots(ok).join(ok.select("sample_id", *[c for c in ("split",) if c in ok.columns]), "sample_id")
+
+    def _slots(self, placed: DataFrame) -> DataFrame:
+        slots = C.slot_rows(placed.select("sample_id", F.col("selection").alias("structure_id"), "slot_to_dna_index"))
         rows = C.slot_labels(slots, self.contacts, self.missing)
         slot = F.struct("slot", "dna_idx", "pwm_mask", "base_mask", "base_res", "backbone_res")
-        packed = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
-        return packed.join(ok.select("sample_id", *[c for c in ("split",) if c in ok.columns]), "sample_id")
+        return rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(slot)).alias("slots"))
+
+    def packed(self, status: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+        """A row with all arrays for each sample without error, whatever its counts: ``residues`` (number, id, letter,
+        point and, with ``vectors``, vector), ``edges`` (ends, distance, features), ``pwm``, ``slots`` and ``site_res``.
+
+        What samples with the same selection share is gathered once: residues and edges are rows of one table, in
+        which each kind has a column of its own, so one shuffle packs both; a join by selection brings them to the
+        samples.  ``vectors``: structure_id (the selection), sel_idx, vector; a residue without one has NULL."""
+        placed = (self.status if status is None else status).where("error IS NULL").drop("status", "reason", "error")
+        wanted = placed.select(F.col("selection").alias("structure_id")).distinct()
+        protein = self.protein.join(wanted, "structure_id", "left_semi")
+        if vectors is not None:
+            protein = protein.join(vectors.select("structure_id", "sel_idx", "vector"), ["structure_id", "sel_idx"], "left")
+        fields = [F.col("sel_idx").alias("res_idx"), S.residue_id().alias("residue_id"), S.one_letter().alias("aa"), "x", "y", "z"]
+        residues = protein.select("structure_id", F.struct(*fields, *(["vector"] if vectors is not None else [])).alias("residue"))
+        edges = G.edge_features(self.edges.join(wanted, "structure_id", "left_semi"), G.graph_sizes(protein))
+        edges = edges.select("structure_id", F.struct("src", "dst", "dist", "edge_attr").alias("edge"))
+        both = residues.unionByName(edges, allowMissingColumns=True)
+        shared = both.groupBy(F.col("structure_id").alias("selection")).agg(
+            F.array_sort(F.collect_list("residue")).alias("residues"), F.array_sort(F.collect_list("edge")).alias("edges"))
+        used = self.motifs.join(placed.select("motif_id").distinct(), "motif_id", "left_semi")
+        pwm = normalize_pwm(used).groupBy("motif_id").agg(F.array_sort(F.collect_list(F.struct("pos", *ACGT))).alias("pwm"))
+        out = placed.join(self._slots(placed), "sample_id").join(shared, "selection").join(pwm, "motif_id")
+        site = F.flatten(F.transform("slots", lambda x: F.concat(x.base_res, x.backbone_res)))
+        return out.withColumn("site_res", F.array_sort(F.array_distinct(site)))
 
 
 def prepare_samples(samples: DataFrame, atoms: DataFrame, motifs: DataFrame, *args, **kwargs) -> DataFrame:
@@ -120,24 +154,59 @@ def prepare_samples(samples: DataFrame, atoms: DataFrame, motifs: DataFrame, *ar
     return prepare_batch(samples, atoms, motifs, *args, **kwargs).status
 
 
+#: Optional columns of samples that choose how a sample is placed.
+POLICY = {"policy": "string", "manual_index": "string", "manual_start": "int"}
+
+
+def _manual(samples: DataFrame, scoring: DataFrame, sizes: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Explicit placements as ``align_contact_constrained`` has its own, with the counts of their slots."""
+    named = samples.select("sample_id", F.col("selection").alias("structure_id"), "motif_id", "manual_index", "manual_start")
+    given = A.manual_slots(named.join(scoring.select("motif_id", "m"), "motif_id"))
+    n_dna = sizes.select(F.col("selection").alias("structure_id"), "n_dna")
+    checked = given.join(n_dna, "structure_id").withColumn("error", F.coalesce("error", A.slot_error(F.col("slot_to_dna_index"), F.col("n_dna"))))
+    good = checked.where("error IS NULL").select("sample_id", "structure_id", "slot_to_dna_index")
+    counts = C.contact_counts(C.sparse_labels(C.slot_rows(good), contacts))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return checked.join(counts, "sample_id", "left").select(
+        "sample_id", F.lit("").alias("chain"), "start", F.lit(False).alias("reverse_complement"), F.lit(None).cast("double").alias("score"),
+        F.lit("").alias("aligned_sequence"), F.when(F.col("error").isNull(), F.col("slot_to_dna_index")).alias("slot_to_dna_index"),
+        F.lit(None).cast("boolean").alias("is_full"), "m", F.lit(0).cast("bigint").alias("candidate_count"),
+        F.lit(0).cast("bigint").alias("contact_candidate_count"),
+        *[zero(c).alias(f"{x}_pos") for x, c in zip(("base", "backbone", "contact", "site"), COUNTS, strict=True)],
+        "error", F.col("alignment_mode").alias("manual_mode"))
+
+
 def prepare_batch(
     samples: DataFrame, atoms: DataFrame, motifs: DataFrame, mode: str = "ic_log_likelihood",
-    min_base: int = 0, min_contact: int = 1, min_site: int = 1,
+    min_base: int = 0, min_contact: int = 1, min_site: int = 1, placed: tuple[int, int, int] | None = None,
 ) -> Prepared:
     """Status of every sample with its placement, sizes and label counts.
 
+    ``min_*``: what a sample must have not to be skipped; ``placed``: base, contact and site minimums of a window
+    chosen by its contacts (the same unless given).
+
     ``samples``: sample_id, structure_id, motif_id, protein_chains, dna_chains
     (texts; blank = all); other manifest columns are carried through.  Samples with the same structure and chain lists share one
     *selection* of residue indices.
+
+    How a sample is placed is its own: an index list (``manual_index``) or first nucleotide (``manual_start``) if it
+    has one, else the best window that passes the contact minimums, or the best of all if ``policy`` is
+    ``sequence_only``.  All three columns may be absent.  The automatic policies share windows, scores and counts.
     """
     s = samples.withColumn("selection", F.concat_ws("|", "structure_id", "protein_chains", "dna_chains"))
+    has_manual = bool({"manual_index", "manual_start"} & set(s.columns))
+    for c, kind in POLICY.items():
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(None).cast(kind))
+    by_hand = (F.trim(F.coalesce("manual_index", F.lit(""))) != "") | F.col("manual_start").isNotNull()
     # Geometry once per structure; chain lists only choose from its residues.
-    profile = cut_lineage(S.residue_profile(atoms).where("kind <> 'other'"))
-    close = cut_lineage(C.structure_distances(S.tag_atoms(atoms)))
+    every = cut_lineage(S.residue_profile(atoms))
+    profile = every.where("kind <> 'other'")
+    close = cut_lineage(C.structure_distances(S.keyed_atoms(atoms)))
     picks = s.select("selection", "structure_id", S.parse_chain_list("protein_chains").alias("p"),
                      S.parse_chain_list("dna_chains").alias("d")).distinct()
     allowed = F.when(F.col("kind") == "protein", F.col("p")).otherwise(F.col("d"))
-    listed = profile.select(*S.RESIDUE_KEY, "res_ord", "kind", "n_heavy", "n_base", "n_backbone").join(picks, "structure_id").where(
+    listed = profile.select(*S.RESIDUE_KEY, "res_ord", "kind", "n_heavy", "n_base", "n_backbone", "x", "y", "z").join(picks, "structure_id").where(
         allowed.isNull() | F.array_contains(allowed, F.col("chain"))).drop("p", "d")
     chosen = listed.withColumnRenamed("structure_id", "source").withColumnRenamed("selection", "structure_id")
     residues = cut_lineage(S.index_kinds(chosen))
@@ -145,8 +214,9 @@ def prepare_batch(
     positions = cut_lineage(C.chain_positions(dna))
     scoring = A.scoring_table(motifs, mode)
     chains = A.structure_chains(positions, A.needed_halo(scoring))
-    p = protein.select("structure_id", F.col("source"), F.col("res_ord").alias("p_ord"), F.col("sel_idx").alias("res_idx"))
-    d = dna.select("structure_id", F.col("res_ord").alias("d_ord"), F.col("sel_idx").alias("dna_idx"))
+    key = F.struct(*S.RESIDUE_KEY[1:])
+    p = protein.select("structure_id", "source", key.alias("p_ord"), F.col("sel_idx").alias("res_idx"))
+    d = dna.select("structure_id", key.alias("d_ord"), F.col("sel_idx").alias("dna_idx"))
     distances = (
         close.withColumnRenamed("structure_id", "source").join(p, ["source", "p_ord"])
         .join(d, ["structure_id", "d_ord"]).drop("source", "p_ord", "d_ord"))
@@ -162,20 +232,33 @@ def prepare_batch(
     edges = by_chain.join(picks.drop("d"), "structure_id").where(inside("src_chain") & inside("dst_chain")).groupBy(
         "selection").agg(F.sum("n").alias("n_edges"))
 
-    keyed = s.select("sample_id", F.col("selection").alias("structure_id"), "motif_id")
     contacts = C.contact_labels(distances)
-    cands = A.contact_candidates(keyed, chains, scoring, positions, contacts)
-    aligned = A.align_contact_constrained(cands, chains, min_base, min_contact, min_site).drop("structure_id")
-    broken = A.bad_residue_error(keyed, chains, scoring, bare).withColumnRenamed("error", "atom_error")
     sizes = residues.groupBy(F.col("structure_id").alias("selection")).agg(
         F.count_if(F.col("kind") == "protein").alias("n_res"), F.count_if(F.col("kind") == "dna").alias("n_dna"))
+    policy = F.coalesce("policy", F.lit("require_contact"))
+    keyed = s.where(~by_hand).select("sample_id", F.col("selection").alias("structure_id"), "motif_id", policy.alias("policy"))
+    free = F.col("policy") == "sequence_only"
+    cands = A.contact_candidates(keyed, chains, scoring, positions, contacts)
+    aligned = A.align_contact_constrained(cands, chains, *(placed or (min_base, min_contact, min_site)), free)
+    broken = A.bad_residue_error(keyed.where(~free), chains, scoring, bare)
+    if set(POLICY) & set(samples.columns):
+        # Only the residues in the slots matter where a placement is not chosen by its contacts.
+        own = aligned.join(keyed.where(free).select("sample_id"), "sample_id", "left_semi").select("sample_id", "structure_id", "slot_to_dna_index")
+        aligned = aligned.withColumn("manual_mode", F.lit(None).cast("string"))
+        if has_manual:
+            manual = _manual(s.where(by_hand), scoring, sizes, contacts)
+            own = own.unionByName(manual.where("error IS NULL").join(s.select("sample_id", F.col("selection").alias("structure_id")), "sample_id").select(*own.columns))
+            aligned = aligned.select(*manual.columns).unionByName(manual)
+        broken = broken.unionByName(A.bad_slot_error(own, bare.select("structure_id", "dna_idx", "residue_id")))
+    else:
+        aligned = aligned.withColumn("manual_mode", F.lit(None).cast("string"))
+    broken = broken.withColumnRenamed("error", "atom_error")
     # A protein residue of hydrogens only has no distances to anything.
     empty = protein.where("n_heavy = 0").groupBy(F.col("structure_id").alias("selection")).agg(
         F.min_by(S.residue_id(), F.col("sel_idx")).alias("_rid")).select("selection", F.concat(
             F.lit("Residue "), "_rid", F.lit(" has no heavy atoms.")).alias("heavy_error"))
     # An atom line that cannot be read fails every sample on its structure.
-    unread = F.col("parse_error") if "parse_error" in atoms.columns else F.lit(None).cast("string")
-    known = atoms.groupBy("structure_id").agg(F.min(unread).alias("parse_error")).withColumn("_has", F.lit(True))
+    known = every.groupBy("structure_id").agg(F.min("parse_error").alias("parse_error")).withColumn("_has", F.lit(True))
     known_motif = motifs.select("motif_id").distinct().withColumn("_motif", F.lit(True))
 
     j = (
@@ -183,7 +266,7 @@ def prepare_batch(
         .join(sizes, "selection", "left")
         .join(edges, "selection", "left")
         .join(empty, "selection", "left")
-        .join(aligned.withColumnRenamed("error", "align_error"), "sample_id", "left")
+        .join(aligned.drop("structure_id").withColumnRenamed("error", "align_error"), "sample_id", "left")
         .join(broken, "sample_id", "left")
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
@@ -193,22 +276,69 @@ def prepare_batch(
         .when(F.col("_motif").isNull(), F.concat(F.lit("motif file not found: "), F.col("motif_id").cast("string")))
         .when(none("n_res"), "No protein residues found. Check --protein-chains.")
         .when(none("n_dna"), "No DNA residues found. Check --dna-chains.")
-        .otherwise(F.coalesce("heavy_error", "atom_error", "align_error"))
+        .otherwise(F.coalesce(F.when(by_hand, F.col("align_error")), "heavy_error", "atom_error", "align_error"))
     )
     prefix = F.when(F.col("is_full"), "").otherwise("partial_")
+    automatic = F.concat(prefix, F.when(policy == "sequence_only", "auto_pwm_dna").otherwise("contact_constrained_pwm_dna"))
+    tried = lambda c: F.when(policy == "sequence_only", F.lit(0).cast("bigint")).otherwise(F.col(c))
     done = j.select(
         "sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains",
         *[c for c in MANIFEST_COLUMNS if c in s.columns and c not in ("sample_id", "structure_id", "motif_id", "protein_chains", "dna_chains")],
         "selection", error.alias("error"),
         "n_res", "m", F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
         *[F.col(f"{c}_pos").alias(out) for c, out in zip(("base", "backbone", "contact", "site"), COUNTS)],
-        "slot_to_dna_index", F.concat(prefix, F.lit("contact_constrained_pwm_dna")).alias("alignment_mode"),
-        F.lit(mode).alias("alignment_score_mode"), F.col("chain").alias("alignment_chain"),
+        "slot_to_dna_index", F.coalesce("manual_mode", automatic).alias("alignment_mode"),
+        F.when(F.col("manual_mode").isNotNull(), "manual").otherwise(mode).alias("alignment_score_mode"), F.col("chain").alias("alignment_chain"),
         F.col("start").alias("alignment_start"), F.col("reverse_complement").alias("alignment_reverse_complement"),
         F.col("score").alias("alignment_score"), F.col("aligned_sequence").alias("alignment_sequence"),
-        F.col("candidate_count").alias("alignment_candidate_count"),
-        F.col("contact_candidate_count").alias("alignment_contact_candidate_count"))
+        tried("candidate_count").alias("alignment_candidate_count"),
+        tried("contact_candidate_count").alias("alignment_contact_candidate_count"))
     no_base = dna.where("n_base = 0").select("structure_id", F.col("sel_idx").alias("dna_idx"), F.lit("base").alias("part"))
-    return Prepared(route_status(done, min_base, min_contact, min_site), contacts, no_base)
-
-
+    # The graph of a selection is that of its structure between the chosen residues.
+    end = lambda name: protein.select("structure_id", "source", F.col("res_ord").alias(f"{name}_ord"), F.col("sel_idx").alias(name))
+    ends = graph.select(F.col("structure_id").alias("source"), F.col("src").alias("src_ord"), F.col("dst").alias("dst_ord"), "dist")
+    own_edges = ends.join(end("src"), ["source", "src_ord"]).join(end("dst"), ["source", "structure_id", "dst_ord"]).select("structure_id", "src", "dst", "dist")
+    return Prepared(route_status(done, min_base, min_contact, min_site), contacts, no_base, protein, own_edges, motifs)
+
+
+def prepare_manifest(
+    manifest: DataFrame, atoms: DataFrame, motifs: DataFrame, root: str, overwrite: bool = False, drop_filtered: bool = False,
+    vectors: DataFrame | None = None, mode: str = "ic_log_likelihood", min_base: int = 0, min_contact: int = 1, min_site: int = 1,
+    placed: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """Prepare what is not stored below ``root`` yet, and the status of every row of the manifest.
+
+    ``manifest``: the samples of ``prepare_batch``; a row with an ``input_error`` (``require_inputs``) fails without
+    being prepared, stored or not.  Stored samples are not computed again (unless ``overwrite``): their counts come
+    from the store and are held against the minimums anew, so that a second run with others moves samples between
+    success and failure.  Samples with an error are not stored and are tried again by the next run.  What is computed
+    is stored whatever its counts, as one run that counts only once it is complete; with ``drop_filtered`` those below
+    the minimums are removed after.  Repeated sample ids are one sample; the first in ``ord`` order is meant."""
+    spark = manifest.sparkSession
+    root = root.rstrip("/")
+    order = "ord" if "ord" in manifest.columns else "structure_id"
+    rows = first_per_key(manifest, ["sample_id"], [F.col(order)], 1)
+    fault = F.col("input_error") if "input_error" in rows.columns else F.lit(None).cast("string")
+    rows = cut_lineage(rows.withColumn("_fault", fault))
+    light = [*COUNTS, "n_res", "m", "n_edges", *A.META]
+    have = store.read_samples(spark, root, light)
+    todo = rows.where("_fault IS NULL").drop("_fault", "input_error")
+    todo = cut_lineage(todo if have is None else N.pending_samples(todo, have, overwrite))
+    failed = None
+    if not todo.isEmpty():
+        own = atoms.join(todo.select("structure_id").distinct(), "structure_id", "left_semi")
+        batch = prepare_batch(todo, own, motifs, mode, min_base, min_contact, min_site, placed)
+        status = cut_lineage(batch.status)
+        failed = status.where("error IS NOT NULL").select("sample_id", "error")
+        store.write_run(batch.packed(status, vectors), root)
+        have = store.read_samples(spark, root, light)
+    known = have.select("sample_id", "run", "processed_path", *light) if have is not None else todo.select("sample_id", *[
+        F.lit(None).cast(t).alias(c) for c, t in [("run", "string"), ("processed_path", "string"), *[(c, "bigint") for c in light]]])
+    out = rows.drop("input_error").join(known, "sample_id", "left")
+    out = out.join(failed, "sample_id", "left") if failed is not None else out.withColumn("error", F.lit(None).cast("string"))
+    out = out.withColumn("error", F.coalesce("_fault", "error")).drop("_fault")
+    final = cut_lineage(route_status(out, min_base, min_contact, min_site))
+    if drop_filtered:
+        store.drop_samples(final.where("status = 'skip'"), root)
+        final = final.withColumn("processed_path", F.when(F.col("status") != "skip", F.col("processed_path")))
+    return final

@@ -146,8 +146,10 @@ def ca_or_centroid(atoms: DataFrame) -> DataFrame:
 
 def residue_profile(atoms: DataFrame) -> DataFrame:
     """Everything the batch needs about residues from one pass over the atoms: the
-    key, ``res_ord``, ``kind``, heavy atom counts and the representative point."""
+    key, ``res_ord``, ``kind``, heavy atom counts, the representative point and the first ``parse_error``."""
+    unread = F.col("parse_error") if "parse_error" in atoms.columns else F.lit(None).cast("string")
     agg = [
+        F.min(unread).alias("parse_error"),
         F.min("atom_ord").alias("res_ord"),
         F.count_if(is_heavy()).alias("n_heavy"),
         F.count_if(is_heavy() & ~is_backbone()).alias("n_base"),
@@ -157,7 +159,7 @@ def residue_profile(atoms: DataFrame) -> DataFrame:
         agg.append(F.expr(f"min_by({a}, atom_ord) FILTER (WHERE name = 'CA')").alias(f"ca_{a}"))
         agg.append(F.avg(F.when(is_heavy(), F.col(a))).alias(f"mean_{a}"))
     return atoms.groupBy(*RESIDUE_KEY).agg(*agg).select(
-        *RESIDUE_KEY, "res_ord", residue_kind().alias("kind"), "n_heavy", "n_base", "n_backbone",
+        *RESIDUE_KEY, "res_ord", residue_kind().alias("kind"), "n_heavy", "n_base", "n_backbone", "parse_error",
         *[F.coalesce(f"ca_{a}", f"mean_{a}").alias(a) for a in ("x", "y", "z")])
 
 
@@ -211,6 +213,14 @@ def join_embeddings(
     ).drop("_n")
 
 
+def keyed_atoms(atoms: DataFrame) -> DataFrame:
+    """Heavy atoms of protein and DNA with ``kind``, ``part`` and, as ``res_ord``, their residue's key, which needs no shuffle."""
+    kind = residue_kind()
+    return atoms.where(is_heavy() & (kind != "other")).select(
+        "structure_id", F.struct(*RESIDUE_KEY[1:]).alias("res_ord"), "x", "y", "z", kind.alias("kind"),
+        F.when(kind == "dna", F.when(is_backbone(), "backbone").otherwise("base")).alias("part"))
+
+
 def tag_atoms(atoms: DataFrame) -> DataFrame:
     """Every atom with ``res_ord``, ``kind`` and ``part`` (heavy atoms only)."""
     w = Window.partitionBy(*RESIDUE_KEY)

@@ -200,15 +200,7 @@ def sink_motif_index(spark, sf):
 
 
 def _status(spark, sf):
-    k = F.col("sample_id").cast("string")
-    named = QP.status_rows(spark, sf)
-    for c in ("split", "structure_id", "structure_path", "motif_id", "motif_source", "motif_version", "motif_path", "protein_chains", "dna_chains"):
-        named = named.withColumn(c, F.concat(F.lit(c[:3]), k))
-    return named
-
-
-def sink_sample_table(spark, sf):
-    return K.sample_table(_status(spark, sf), "/out").select("sample_id", K.tsv_line(K.SAMPLE_TABLE).alias("line"))
+    return QP.status_rows(spark, sf)
 
 
 def sink_failed_table(spark, sf):
@@ -230,7 +222,7 @@ QUERIES = {
     "scan_hocomoco_collection": scan_hocomoco_collection, "scan_source_manifest": scan_source_manifest,
     "scan_path_manifest": scan_path_manifest, "scan_fold_entries": scan_fold_entries, "scan_motif_index": scan_motif_index,
     "sink_pwm_text": sink_pwm_text, "sink_source_manifest": sink_source_manifest, "sink_motif_index": sink_motif_index,
-    "sink_sample_table": sink_sample_table, "sink_failed_table": sink_failed_table, "sink_eval_report": sink_eval_report,
+    "sink_failed_table": sink_failed_table, "sink_eval_report": sink_eval_report,
 }
 
 _XYZ = "round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(z, 6) + 0.0::DOUBLE AS z"
@@ -240,7 +232,6 @@ _N4 = ", ".join(f"round({b}, 8) AS {b}" for b in "acgt")
 _CNT = ", ".join(f"round({b} * 1000, 0) AS {b}" for b in "acgt")
 MOTIF = [V.SQL_PWM, V.SQL_MOTIF]
 _STAT = [V.SQL_CONTACT, QP._STATUS]
-_NAMED = " || chr(9) || ".join(f"'{c[:3]}' || sample_id" for c in ("split", "structure_id", "structure_path", "motif_id", "motif_source", "motif_version", "motif_path", "protein_chains", "dna_chains"))
 _T = " || chr(9) || "
 
 
@@ -274,7 +265,6 @@ ORACLES = {
         WHERE trim(sample_id) <> '' AND structure_id <> '' AND motif_id <> '' AND motif_path <> '' AND structure_format <> 'xyz'"""),
     "sink_motif_index": with_ctes([V.SQL_INDEX], f"""SELECT motif_id, motif_id{_T}motif_source{_T}motif_version{_T}'idx/' || motif_path AS line FROM v_index WHERE motif_id <> ''
         QUALIFY row_number() OVER (PARTITION BY motif_id ORDER BY ord DESC) = 1"""),
-    "sink_sample_table": with_ctes(_STAT, f"SELECT sample_id, sample_id{_T}{_NAMED}{_T}'/out/processed/' || sample_id || '.parquet'{_T}A_base_pos{_T}A_backbone_pos{_T}A_contact_pos{_T}site_pos AS line FROM st WHERE status = 'ok'"),
     "sink_failed_table": with_ctes(_STAT, f"SELECT sample_id, sample_id{_T}CASE WHEN status = 'fail' THEN 'structure file not found: ' || sample_id ELSE 'filtered_low_contact ' || {QP.COUNTS_SQL} END AS line FROM st WHERE status <> 'ok'"),
     "sink_eval_report": with_ctes([V.SQL_EVAL], f"""SELECT sample_id::VARCHAR AS key, sample_id{_T}{_f6('pwm_mae * 0.123456789123::DOUBLE')}{_T}coalesce({_f6('pwm_kl * 0.123456789123::DOUBLE')}, ''){_T}{_f6('A_contact_pos::DOUBLE')}{_T}{_f6('pwm_mae * 0.3214567891::DOUBLE')} AS line FROM v_eval
         UNION ALL {_sum_line('pwm_mae', 'pwm_mae * 0.123456789123::DOUBLE')} UNION ALL {_sum_line('pwm_kl', 'pwm_kl * 0.123456789123::DOUBLE')} UNION ALL {_sum_line('A_contact_pos', 'A_contact_pos')} UNION ALL {_sum_line('extra', 'pwm_mae * 0.3214567891::DOUBLE')}"""),

@@ -6,7 +6,7 @@ import importlib
 
 MODULES = [
     "q_structure", "q_motif", "q_align", "q_contacts", "q_prepare", "q_metrics",
-    "q_predictions", "q_manifest", "q_audit", "q_sources",
+    "q_predictions", "q_manifest", "q_audit", "q_sources", "q_store",
 ]
 
 
