@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.checkpoints import cut_lineage
 from helixframe.functions.constants import GLOBAL_NAMES, METRIC_ORDER
 from helixframe.functions.pwm import ACGT, normalized, row_ic, row_kl, row_l1, total
 from helixframe.operators.ordering import running_totals
@@ -108,10 +109,10 @@ def compare_methods(target: DataFrame, named: dict[str, DataFrame]) -> DataFrame
 
 
 # ------------------------------------------------------------ ranking metrics
-def ranked(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with their ``rank`` and ``tp`` (positives up to and including them)."""
-    df = rows.select(*keys, "row_id", "y_true", "score")
-    return running_totals(df, keys, [F.col("score").desc(), F.col("row_id").asc()], {"tp": "y_true"})
+def ranked(rows: DataFrame, keys: Sequence[str], with_total: bool = False) -> DataFrame:
+    """Rows with their ``rank`` and ``tp`` (positives up to and including them), and with ``total`` (all of the group's)."""
+    df = rows.select(*keys, "row_id", F.col("y_true").cast("bigint").alias("y_true"), "score")
+    return running_totals(df, keys, [F.col("score").desc(), F.col("row_id").asc()], {"tp": "y_true"}, totals={"total": "y_true"} if with_total else None)
 
 
 def _ap() -> Column:
@@ -125,23 +126,17 @@ def average_precision(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def map_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """ap, top_l_precision and top_l (= positives) per group; zeros without positives."""
-    r = ranked(rows, keys)
-    positives = r.groupBy(*keys).agg(F.sum("y_true").alias("top_l"))
-    return r.join(positives, list(keys)).groupBy(*keys).agg(
-        _ap().alias("ap"),
-        F.coalesce(F.try_divide(
-            F.sum(F.when(F.col("rank") <= F.col("top_l"), F.col("y_true"))), F.max("top_l")), F.lit(0.0)).alias("top_l_precision"),
-        F.max("top_l").cast("double").alias("top_l"))
+    first = F.sum(F.when(F.col("rank") <= F.col("total"), F.col("y_true")))
+    return ranked(rows, keys, True).groupBy(*keys).agg(
+        _ap().alias("ap"), F.coalesce(F.try_divide(first, F.max("total")), F.lit(0.0)).alias("top_l_precision"),
+        F.max("total").cast("double").alias("top_l"))
 
 
 def top_l_precision(rows: DataFrame, keys: Sequence[str], top_l: int | None = None) -> DataFrame:
     """Precision among the first L rows of each group, 1 <= L <= group size; L is
     the number of positives unless given."""
-    r = ranked(rows, keys)
-    size = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("y_true").alias("_pos"))
-    want = F.col("_pos") if top_l is None else F.lit(top_l)
-    lim = F.greatest(F.lit(1), F.least(want, F.col("_n")))
-    return r.join(size, list(keys)).where(F.col("rank") <= lim).groupBy(*keys).agg(
+    want = F.col("total") if top_l is None else F.lit(top_l)
+    return ranked(rows, keys, True).where(F.col("rank") <= F.greatest(F.lit(1), want)).groupBy(*keys).agg(
         F.avg("y_true").alias("top_l_precision"))
 
 
@@ -181,13 +176,16 @@ def best_threshold(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     groups = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).select()
     half = groups.select(*keys, F.lit(0.5).alias("score"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"))
     points = hist.unionByName(half).groupBy(*keys, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    cum = running_totals(points, keys, [F.col("score").desc()], {"n": "n", "pos": "pos"})
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("y_true").alias("_pos"))
-    j = _with_group(cum, sums, keys)
+    cum = running_totals(points, keys, [F.col("score").desc()], {"n": "n", "pos": "pos"}, totals={"_n": "n", "_pos": "pos"})
+    return _sweep(cum, keys)
+
+
+def _sweep(cum: DataFrame, keys: list[str]) -> DataFrame:
+    """``cum``: score, rows ``n`` and positives ``pos`` at or above it, and of the whole group (``_n``, ``_pos``)."""
     tp, fp = F.col("pos"), F.col("n") - F.col("pos")
     fn, neg = F.col("_pos") - F.col("pos"), F.col("_n") - F.col("_pos")
     f1, mcc = _f1_mcc(tp, fp, fn, neg - fp)
-    swept = j.select(*keys, "score", f1.alias("f1"), mcc.alias("mcc"))
+    swept = cum.select(*keys, "score", f1.alias("f1"), mcc.alias("mcc"))
     top = swept.groupBy(*keys).agg(F.max("f1").alias("best_f1"), F.max("mcc").alias("best_mcc"))
     close = lambda v, m: F.col(v) >= F.col(m) - (F.lit(1e-8) + F.lit(1e-5) * F.abs(F.col(m)))
     near = F.struct(F.abs(F.col("score") - 0.5), F.col("score"))
@@ -210,11 +208,17 @@ def _with_group(rows: DataFrame, per_group: DataFrame, keys: list[str]) -> DataF
 
 
 def global_site_summary(rows: DataFrame) -> DataFrame:
-    """Pooled metrics over all rows as (metric, mean, std, n)."""
-    sweep = best_threshold(rows, [])
-    ap = average_precision(rows, [])
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    wide = _with_group(_with_group(sweep, ap, []), n, [])
+    """Pooled metrics over all rows as (metric, mean, std, n); average precision and sweep come from one scan."""
+    r = ranked(rows, [])
+    sums = r.agg(_ap().alias("ap"), F.count(F.lit(1)).alias("_n"), F.sum("y_true").alias("_pos"), *[
+        F.coalesce(F.max(F.when(F.col("score") >= 0.5, F.col(c))), F.lit(0)).alias(f"_{c}") for c in ("rank", "tp")])
+    sums = cut_lineage(sums)
+    # The last row of a score has what lies at or above it; 0.5 is a threshold too.
+    points = r.groupBy("score").agg(F.max("rank").alias("n"), F.max("tp").alias("pos"))
+    half = sums.select(F.lit(0.5).alias("score"), F.col("_rank").alias("n"), F.col("_tp").alias("pos"))
+    points = points.where("score <> 0.5").unionByName(half)
+    sweep = _sweep(_with_group(points, sums.select("_n", "_pos"), []), [])
+    wide = _with_group(sweep, sums.select("ap", F.col("_n").alias("n")), [])
     pairs = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"`{c}`").alias("mean")) for c, name in GLOBAL_NAMES.items()])
     return wide.where("n > 0").select("n", F.explode(pairs).alias("m")).select("m.metric", "m.mean", F.lit(0.0).alias("std"), "n")
 

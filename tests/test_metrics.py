@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,34 @@ def test_absent_parts_give_absent_metrics(spark):
     assert got[2].site_ap is None and got[2].n_residue is None and got[2].A_base_ap > 0
     assert got[3].A_base_ap is None and got[3].A_base_pos is None and got[3].pwm_mae > 0
     assert got[4].A_base_ap == 0.0 and got[4].pwm_mae is None and got[4].site_ap == 1.0
+
+
+def test_running_totals_of_straddling_groups(spark):
+    """Groups of one row up to half of the table, over more partitions than groups; ties, NULL sums, totals."""
+    rng = np.random.default_rng(3)
+    rows = [(str(g), int(i), None if rng.random() < 0.1 else int(rng.integers(0, 5)), float(rng.integers(0, 4))) for g, n in enumerate((4000, 1, 2, 900, 3000, 1)) for i in range(n)]
+    rows += [(None, i, 1, 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, row_id long, v int, score double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    try:
+        out = running_totals(df, ["k"], [F.col("score").desc(), F.col("row_id")], {"s": "v", "x": "score"}, totals={"t": "v"})
+        got = {(r.k, r.row_id): (r["rank"], r.s, r.x, r.t) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {}
+    for k in {r[0] for r in rows}:
+        rank = s = x = 0
+        total = sum(r[2] or 0 for r in rows if r[0] == k)
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (-r[3], r[1])):
+            rank, s, x = rank + 1, s + (r[2] or 0), x + r[3]
+            want[k, r[1]] = (rank, s, x, total)
+    assert got == want
+    assert running_totals(df.limit(0), ["k"], [F.col("row_id")], {"s": "v"}, totals={"t": "v"}).count() == 0
+
+
+def test_rows_are_shuffled_once_for_ranks(spark):
+    rows = binary(spark, [0, 1] * 50, np.linspace(0, 1, 100))
+    plan = M.ranked(rows, ["grp"], True)._jdf.queryExecution().executedPlan().toString()
+    rest = [line for line in plan.split("BroadcastExchange")[0].splitlines() if "Exchange" in line]
+    assert "SortMergeJoin" not in plan and not rest and "MapInArrow" in plan
