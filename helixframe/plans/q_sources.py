@@ -152,7 +152,7 @@ def scan_jaspar_collection(spark, sf):
 def scan_hocomoco_collection(spark, sf):
     texts = _collections(spark, sf, False)
     rows = _motif_out(SMo.scan_hocomoco_collection(texts)).withColumn("error", F.lit(None).cast("string"))
-    return rows.unionByName(SMo.hocomoco_errors(texts), allowMissingColumns=True)
+    return rows.unionByName(SMo.hocomoco_errors(texts).drop("path"), allowMissingColumns=True)
 
 
 def scan_source_manifest(spark, sf):

@@ -84,10 +84,11 @@ def scan_hocomoco_collection(texts: DataFrame) -> DataFrame:
 
 
 def hocomoco_errors(texts: DataFrame) -> DataFrame:
+    """path, motif_id, error: a motif id that is faulty in two files has an error in each."""
     rows = hocomoco_base_rows(texts)
-    count = rows.where("n_rows <> 4").select("motif_id", F.concat(
+    count = rows.where("n_rows <> 4").select("path", "motif_id", F.concat(
         "motif_id", F.lit(": expected 4 base rows, got "), F.col("n_rows").cast("string")).alias("error")).distinct()
-    return count.unionByName(base_row_checks(rows.where("n_rows = 4")).where("error IS NOT NULL").select("motif_id", "error"))
+    return count.unionByName(base_row_checks(rows.where("n_rows = 4")).where("error IS NOT NULL").select("path", "motif_id", "error"))
 
 
 def read_pwm_files(spark: SparkSession, *paths: str) -> DataFrame:

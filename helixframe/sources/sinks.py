@@ -68,11 +68,13 @@ def write_motif_index(index: DataFrame, path: str) -> None:
 
 
 def sample_table(status: DataFrame, out_root: str) -> DataFrame:
-    """Rows of the success table. ``processed_path``: the file that holds the sample's arrays, as the store has it; blank
-    if the status is not that of stored samples. Below ``out_root`` it is shown from there."""
-    path = F.col("processed_path") if "processed_path" in status.columns else F.lit("")
-    path = F.regexp_replace(path, "^file:/+", "/")
-    return status.where("status = 'ok'").withColumn("processed_path", display_path(path, out_root)).select(*SAMPLE_TABLE)
+    """Rows of the success table. ``processed_path``: the file that holds the sample's arrays as the store names it, shown
+    from ``out_root`` on if it lies there; for a status that no store made, the place of a file of the sample's own."""
+    if "processed_path" in status.columns:
+        path = display_path(F.regexp_replace("processed_path", "^file:/+", "/"), out_root)
+    else:
+        path = F.concat(F.lit(out_root.rstrip("/") + "/processed/"), F.col("sample_id").cast("string"), F.lit(".parquet"))
+    return status.where("status = 'ok'").withColumn("processed_path", path).select(*SAMPLE_TABLE)
 
 
 def failed_table(status: DataFrame) -> DataFrame:
@@ -88,7 +90,7 @@ def write_status(status: DataFrame, out_root: str) -> None:
     ok = sample_table(stored, root)
     write_tsv(ok, f"{root}/sample_table")
     write_tsv(failed_table(stored), f"{root}/failed")
-    ok.where("processed_path <> ''").select("processed_path").distinct().write.mode("overwrite").text(f"{root}/processed_manifest")
+    ok.select("processed_path").distinct().write.mode("overwrite").text(f"{root}/processed_manifest")
 
 
 def write_prepared(prepared: Prepared, out_root: str) -> None:

@@ -41,11 +41,12 @@ def scan_pdb_atoms(lines: DataFrame) -> DataFrame:
 
 
 # A token, with quoted parts that may hold blanks; outside quotes, # starts a comment.
-_TOKEN = r"""((?:"[^"\n]*"|'[^'\n]*'|[^\s"'#])+)|#[^\n]*"""
+# Possessive repeats throughout: others take a stack frame for each round, and a long token would end the JVM.
+_TOKEN = r"""((?:"[^"\n]*+"|'[^'\n]*+'|[^\s"'#]++)++)|#[^\n]*+"""
 _QUOTED = r""""([^"]*)"|'([^']*)'"""
 _TEXT_BLOCK = r"(?ms)^;.*?(?:\n;[^\n]*|\z)"
 # What ends the rows of a loop: a tag or a data block at the start of a line.
-_LOOP_END = r"(?m)^[ \t]*(?:_|data_)"
+_LOOP_END = r"(?m)^[ \t]*+(?:_|data_)"
 
 SITE_TAGS = [
     "group_PDB", "label_alt_id", "auth_atom_id", "label_atom_id", "auth_comp_id", "label_comp_id", "auth_asym_id",
@@ -69,10 +70,10 @@ def scan_mmcif_atoms(texts: DataFrame) -> DataFrame:
     the upper bits and the row number in the lower 32.
     """
     text = F.regexp_replace("text", _TEXT_BLOCK, '"text block"')
-    loops = texts.select("structure_id", F.posexplode(F.split(text, r"(?m)^[ \t]*loop_(?=\s)")).alias("section", "loop")).where(
-        (F.col("section") > 0) & F.col("loop").rlike(r"^(?:\s|#[^\n]*\n)*_atom_site\."))
+    loops = texts.select("structure_id", F.posexplode(F.split(text, r"(?m)^[ \t]*+loop_(?=\s)")).alias("section", "loop")).where(
+        (F.col("section") > 0) & F.col("loop").rlike(r"^(?:\s++|#[^\n]*+\n)*+_atom_site\."))
     # The header is all that comes before the first line that begins otherwise.
-    body_at = F.regexp_instr("loop", F.lit(r"(?m)^[ \t]*[^_\s#]"))
+    body_at = F.regexp_instr("loop", F.lit(r"(?m)^[ \t]*+[^_\s#]"))
     cut = loops.select("structure_id", "section", *[
         F.when(body_at > 0, part).otherwise(rest).alias(name) for name, part, rest in (
             ("head", F.substring("loop", F.lit(1), body_at - 1), F.col("loop")),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.checkpoints import cut_lineage
+
 
 def read_whole(spark: SparkSession, *paths: str) -> DataFrame:
     """path, text: one row per file.  For formats whose records span lines; such
@@ -21,12 +23,16 @@ def number_lines(texts: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """path, ord, value for line lists of any size: Spark splits the file, and
-    (block start, row number inside the task) keeps the order of the lines."""
-    return spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("ord"),
-        "value")
+    """path, ord, value for line lists of any size. ``ord``: 0, 1, 2 ... through all lines, file by file in path order.
+
+    Spark splits the files. The lines are written once with their split and row, so that the splits cannot change;
+    lines are then counted by split - a row for each split - and the counts before a split are added to its rows."""
+    split = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    lines = cut_lineage(spark.read.text(list(paths)).select(*split, F.monotonically_increasing_id().alias("row"), "value"))
+    splits = lines.groupBy("path", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(splits, ["path", "block"]).select("path", (F.col("row") + F.col("_shift")).alias("ord"), "value")
 
 
 def list_items(lines: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import os
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +11,7 @@ from helixframe.sources import manifests as SM
 from helixframe.sources import motifs as SMo
 from helixframe.sources import sinks as K
 from helixframe.sources import structures as SS
-from helixframe.sources.text import number_lines, read_whole
+from helixframe.sources.text import number_lines, read_lines, read_whole
 
 CIF = """data_small
 _cell.length_a 10.0
@@ -78,7 +82,9 @@ def test_collections(spark):
     t = spark.createDataFrame([("p", hoco)], "path string, text string")
     got = {(r.motif_id, r.pos): (r.a, r.c, r.g, r.t) for r in SMo.scan_hocomoco_collection(t).collect()}
     assert got[("AHR_HUMAN.H11MO.0.B", 1)] == (2, 4, 6, 8) and got[("FOO_HUMAN.H11MO.0.A", 0)] == (10, 20, 30, 40)
-    assert [tuple(r) for r in SMo.hocomoco_errors(t).collect()] == [("BAD", "BAD: expected 4 base rows, got 2")]
+    assert [(r.motif_id, r.error) for r in SMo.hocomoco_errors(t).collect()] == [("BAD", "BAD: expected 4 base rows, got 2")]
+    twice = SMo.hocomoco_errors(t.unionByName(t.withColumn("path", F.lit("other"))))
+    assert sorted((r.path == "other", r.motif_id) for r in twice.collect()) == [(False, "BAD"), (True, "BAD")]
 
 
 def test_manifest_round_trip(spark, tmp_path):
@@ -175,3 +181,44 @@ def test_status_tables_on_disk(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/processed_manifest").collect()[0][0] == f"{tmp_path}/processed/1.parquet"
     failed = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/failed").collect()
     assert [(r.sample_id, r.reason) for r in failed] == [("2", "filtered_low_contact")]
+
+
+def test_line_numbers_go_through_all_splits(spark, tmp_path):
+    """Files of many splits, a short one and an empty one: numbers are dense, in file order, over all files."""
+    os.makedirs(tmp_path / "in")
+    want = []
+    for name, n in (("a.txt", 4000), ("b.txt", 1), ("c.txt", 0), ("d.txt", 2500)):
+        lines = [f"{name} line {i} {'x' * (i % 50)}" for i in range(n)]
+        (tmp_path / "in" / name).write_text("".join(x + "\n" for x in lines))
+        want += lines
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        got = read_lines(spark, f"{tmp_path}/in/*.txt")
+        assert got.rdd.getNumPartitions() > 1
+        rows = sorted((r.ord, r.value) for r in got.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert [r[0] for r in rows] == list(range(len(want))) and [r[1] for r in rows] == want
+    entries = SM.scan_fold_entries(got).collect()
+    assert len(entries) == len(want) and all(isinstance(e.ord, int) for e in entries)
+
+
+LOOP = "data_x\nloop_\n_atom_site.group_PDB\n_atom_site.auth_atom_id\n_atom_site.auth_comp_id\n_atom_site.auth_asym_id\n_atom_site.auth_seq_id\n_atom_site.Cartn_x\n_atom_site.Cartn_y\n_atom_site.Cartn_z\n"
+
+
+@pytest.mark.parametrize("token", ["C" * 1_000_000, "'" + "a b" * 300_000 + "'", 'a"b c"' * 200_000, "''" * 500_000 + "z", "' " * 500_000])
+def test_a_token_of_any_length_is_read(spark, token):
+    """Tokens of a megabyte, quoted, bare and mixed; the rows beside them stay."""
+    text = LOOP + "ATOM CA GLY A 1 1 2 3\nATOM CB GLY A 2 4 5 6\n#\n" + "loop_\n_other.value\n" + token + "\n"
+    blank = "data_x\nloop_" + " \n" * 400_000 + LOOP[len("data_x\nloop_"):] + "ATOM CA GLY A 1 1 2 3\n"
+    long = LOOP + f"ATOM {token} GLY A 1 1 2 3\nATOM CB GLY A 2 4 5 6\n"
+    start = time.monotonic()
+    got = SS.scan_mmcif_atoms(spark.createDataFrame([("s", text), ("b", blank), ("l", long)], "structure_id string, text string")).collect()
+    assert time.monotonic() - start < 60
+    assert sorted((r.name, r.resseq) for r in got if r.structure_id == "s") == [("CA", 1), ("CB", 2)]
+    assert [(r.name, r.resseq) for r in got if r.structure_id == "b"] == [("CA", 1)]
+    if token != "' " * 500_000:  # many blank tokens make rows of their own
+        assert sorted(r.resseq for r in got if r.structure_id == "l") == [1, 2] and max(len(r.name) for r in got) == max(2, len(re.sub("[\"']", "", token)))
