@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -24,7 +25,7 @@ from helixframe.llm.common import table
 
 FEATURES = 1 << 12
 #: Labelled pages learnt from, at most; passes over them; step; pull of weights to zero.
-SAMPLE, STEPS, RATE, SHRINK = 1000, 80, 0.5, 1e-3
+SAMPLE, STEPS, RATE, SHRINK = 1000, 120, 0.5, 1e-4
 #: Pages whose elements are worked on together.
 PAGES = 400
 
@@ -38,14 +39,75 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 AGAINST = re.compile(r"^(?:ad|ads|advert\w*|promo\w*|sponsor\w*|banner\w*|nav\w*|menu\w*|header|masthead|footer|foot|side\w*|aside|cookie\w*|notice\w*|alert\w*|consent|gdpr|popup|modal|comment\w*|repl(?:y|ies)|form|login|signup|subscri\w*|newsletter|search\w*|share\w*|social\w*|related|recommend\w*|breadcrumb\w*|pagination|pager|widget\w*|toolbar|complementary|contentinfo)$")
 FOR = re.compile(r"^(?:article\w*|main|content|post|entry|story|body\w*|text)$")
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-z][^>]*>", re.I | re.S)
+#: Elements nested deeper hang side by side at this depth, as in browsers.
+DEEPEST = 512
+#: Against-blocks grafted into each training page's article, at most, and names they may get.
+GRAFTS, GRAFT_TAGS, BAD_TAGS = 6, ("div", "section", "ul", "table"), ("aside", "form", "nav", "footer", "header")
+GRAFT_NAMES = ("ad", "ads", "advert", "promo", "sponsor", "banner", "nav", "menu", "sidebar", "notice", "cookie", "comments", "comment", "reply", "replies",
+               "form", "login", "newsletter", "search", "share", "social", "related", "widget")
+
+NAME = re.compile(r"<(/?)([a-z][^\s/>]*)", re.I)
+RAW_NAME = re.compile(rf"<({RAW})\b", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW.split("|")}
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+|\d+")
 BLANK = re.compile(r"[\x20\t\n\r\f\v ]+")
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, tag, attributes) of the markup of a page; kind is open, close, raw (with its content) or skip.
+
+    One pass whatever the page holds: what no ``>`` follows is text, and a place between attributes from which no tag
+    can end is met only once."""
+    at, size = 0, len(page)
+    dead: set[int] = set()  # places outside quotes from which the page ends before the tag does
+    unclosed = {'"': size, "'": size}  # from there on no such quote follows
+
+    def tag_end(place: int) -> int:
+        """Behind the ``>`` that ends the attributes from ``place`` on, quotes aside; -1 if none does."""
+        seen = []
+        while place not in dead:
+            seen.append(place)
+            m = STOP.search(page, place)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.end()
+            end = page.find(m[0], m.end()) if m.end() < unclosed[m[0]] else -1
+            if end < 0:
+                unclosed[m[0]] = min(unclosed[m[0]], m.end())
+                break
+            place = end + 1
+        dead.update(seen)
+        return -1
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            yield start, at, "skip", "", ""
+            continue
+        close = page.find(">", start)
+        if close < 0:
+            return
+        if raw := RAW_NAME.match(page, start):
+            tag = raw[1].lower()
+            end = RAW_END[tag].search(page, close + 1)
+            at = end.end() if end else size
+            yield start, at, "raw", tag, page[raw.end():close]
+        elif name := NAME.match(page, start):
+            end = tag_end(name.end())
+            at = end if end >= 0 else close + 1  # a quote that never ends: the tag is passed over
+            yield start, at, "skip" if end < 0 else "close" if name[1] else "open", name[2].lower() if end >= 0 else "", page[name.end():at - 1]
+        elif page[start + 1:start + 2] in ("!", "?", "/"):
+            at = close + 1
+            yield start, at, "skip", "", ""
+        else:
+            at = start + 1
+            yield start, start, "skip", "", ""  # a sign in the text
+
+
 @dataclass
 class Tree:
     """Elements of pages in page order: parent (-1 for roots), depth, inline or block, features; pieces of text."""
@@ -74,6 +136,8 @@ class Tree:
     def parse(self, page: str) -> None:
         """Append a page; elements that are not closed end with their parent."""
         stack, at = [self.add(-1, "#page", "")], 0
+        block = [0]  # of each open element, the place in the stack of the innermost that is not inline
+        open_ = Counter()
 
         def text(piece: str) -> None:
             if piece:
@@ -81,33 +145,97 @@ class Tree:
                 self.pieces.append((stack[-1], piece))
                 self.own[stack[-1]] += len(piece.strip())
 
-        for m in TOKEN.finditer(page):
-            text(page[at:m.start()])
-            at = m.end()
-            tag = (m["tag"] or m["raw"] or "").lower()
+        def cut(k: int) -> None:
+            open_.subtract(self.tags[i] for i in stack[k:])
+            del stack[k:], block[k:]
+
+        def add(tag: str, attrs: str) -> int:
+            return self.add(stack[min(len(stack), DEEPEST) - 1], tag, attrs)
+
+        for start, end, kind, tag, attrs in tokens(page):
+            if start == end:
+                continue
+            text(page[at:start])
+            at = end
             if not tag:
                 continue
             if tag not in INLINE:
                 self.pieces.append((stack[-1], None))
-            if m["raw"]:
-                self.add(stack[-1], tag, m["rawattrs"])
-            elif m["close"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        del stack[k:]
-                        break
-            elif tag in VOID:
-                self.add(stack[-1], tag, m["attrs"])
-            else:
-                if tag not in INLINE:
-                    k = len(stack) - 1  # a block ends an open paragraph, with the inline elements in it
-                    while k > 0 and self.tags[stack[k]] in INLINE:
+            if kind == "raw" or kind == "open" and tag in VOID:
+                add(tag, attrs)
+            elif kind == "close":
+                if open_[tag] > 0:
+                    k = len(stack) - 1
+                    while self.tags[stack[k]] != tag:
                         k -= 1
+                    cut(k)
+            else:
+                if tag not in INLINE:  # a block ends an open paragraph, with the inline elements in it
+                    k = block[-1]
                     if k > 0 and (self.tags[stack[k]] == "p" or self.tags[stack[k]] in ENDS.get(tag, ())):
-                        del stack[k:]
-                stack.append(self.add(stack[-1], tag, m["attrs"]))
+                        cut(k)
+                stack.append(add(tag, attrs))
+                block.append(block[-1] if tag in INLINE else len(stack) - 1)
+                open_[tag] += 1
         text(page[at:])
 
+    def graft(self, rng: np.random.Generator) -> None:
+        """Put blocks that speak against content into the article of the one page held: copies of such blocks of the page,
+        some under other such names, and new ones with copies of the article's own paragraphs or a text of their own.
+        Blocks without such a name are put there too; they are content."""
+        label, _ = self.marked()
+        bad = np.array([t not in HIDDEN and any(AGAINST.match(x) for x in names) for t, names in zip(self.tags, self.names, strict=True)])
+        inside = np.flatnonzero(label & ~np.array(self.inline))
+        below: dict[int, list[int]] = {}
+        for i, p in enumerate(self.parent):
+            below.setdefault(p, []).append(i)
+        tops = np.array([i for i in np.flatnonzero(bad) if not bad[self.parent[i]]], int)
+        leaves = np.array([i for i in inside if not any(not self.inline[k] for k in below.get(i, []))], int)
+
+        def put(parent: int, names: list[str], inline: bool, own: int) -> int:
+            self.parent.append(parent)
+            self.depth.append(self.depth[parent] + 1)
+            self.inline.append(inline)
+            self.names.append(names)
+            self.tags.append(names[0])
+            self.own.append(own)
+            return len(self.parent) - 1
+
+        def copy(top: int, parent: int, names: list[str] | None) -> None:
+            to = {top: put(parent, names or self.names[top], self.inline[top], self.own[top])}
+            todo = list(below.get(top, []))
+            while todo:
+                i = todo.pop()
+                to[i] = put(to[self.parent[i]], self.names[i], self.inline[i], self.own[i])
+                todo += below.get(i, [])
+
+        def against() -> list[str]:
+            if rng.random() < 0.4:
+                return [str(rng.choice(BAD_TAGS))]
+            return [str(rng.choice(GRAFT_TAGS)), str(rng.choice(GRAFT_NAMES))]
+
+        for _ in range(rng.integers(1, GRAFTS + 1) if len(inside) else 0):
+            parent = int(rng.choice(inside))
+            if len(leaves) and rng.random() < 0.15:  # a block like the others, but for its name
+                block = put(parent, [str(rng.choice(GRAFT_TAGS)), f"part{rng.integers(1000)}"], False, 0)
+                for leaf in rng.choice(leaves, rng.integers(1, 4)):
+                    copy(int(leaf), block, None)
+            elif len(tops) and rng.random() < 0.5:
+                copy(int(rng.choice(tops)), parent, against() if rng.random() < 0.7 else None)
+            elif len(leaves) and rng.random() < 0.4:  # text of the block's own
+                put(parent, against(), False, int(rng.integers(10, 300)))
+            elif len(leaves):
+                block = put(parent, against(), False, 0)
+                for leaf in rng.choice(leaves, rng.integers(1, 4)):
+                    copy(int(leaf), block, None)
+
+    def extend(self, other: Tree) -> None:
+        """Append the elements of another forest (for training; without its text)."""
+        n = len(self.parent)
+        self.parent += [p + n if p >= 0 else p for p in other.parent]
+        for name in ("depth", "inline", "names", "tags", "own"):
+            getattr(self, name).extend(getattr(other, name))
+
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.array(self.parent), np.array(self.depth), np.array(self.inline)
 
@@ -144,7 +272,8 @@ class Tree:
         for i in range(n):
             p = self.parent[i]
             root[i] = i if p < 0 else root[p]
-            bad = self.tags[i] in HIDDEN or any(AGAINST.match(x) for x in self.names[i])
+            # What a whole page is called says what it has, not what it is.
+            bad = self.tags[i] in HIDDEN or self.tags[i] not in ("html", "body") and any(AGAINST.match(x) for x in self.names[i])
             inside[i] = (p >= 0 and inside[p]) or self.tags[i] == "article"
             against[i] = bad or (p >= 0 and against[p])
             has[root[i]] |= self.tags[i] == "article"
@@ -211,9 +340,12 @@ def train(tree: Tree) -> TreeModel:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> TreeModel:
-    """Learn from at most ``sample`` pages with a marked article, chosen by a hash of the address, whole.
+    """Learn from at most ``sample`` pages with a marked article, chosen by a hash of the address, whole; they are taken
+    to the driver, so the bound is one of pages, not of bytes.
 
-    Without such a page all weights are zero and every marginal is one half."""
+    Each page teaches twice: as it is, and with blocks that speak against content grafted into its article. What speaks
+    against content is a list of words (``AGAINST``) in the labels as in the features; names beside the list, links,
+    sizes and places are learnt. Without a page to learn from all weights are zero and every marginal is one half."""
     marked = pages.select(F.xxhash64("url", "html").alias("h"), "html").where(F.lower("html").contains("<article"))
     share = 1.5 * sample / max(1, marked.count())
     rows = marked.where(F.pmod("h", F.lit(1 << 20)) / (1 << 20) < share).orderBy("h", "html").limit(sample).collect()
@@ -222,7 +354,9 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> TreeModel:
         one = Tree()
         one.parse(row["html"])
         if one.marked()[1].all():
-            tree.parse(row["html"])
+            tree.extend(one)
+            one.graft(np.random.default_rng(crc32(row["html"].encode())))
+            tree.extend(one)
     return train(tree)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 from collections import Counter
 from zlib import crc32
 
@@ -264,3 +265,54 @@ def test_digest(spark, tmp_path):
     spark.createDataFrame([(7, "token=abcdefgh1")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = secrets.op1_secret_scan(spark, str(tmp_path)).first()
     assert row.base_sha256 == hashlib.sha256(b"assign:0:15").hexdigest() and row.spans == "assign:0:15" and row.n_assign == 1
+
+
+PAGE = "<html><head><title>T {i}</title></head><body class='with-sidebar'><nav><a href='/'>Home</a> <a href='/b'>News</a></nav><article><h1>Head {i}</h1><p>{a}</p><p>{b}</p></article><aside><p>{c}</p></aside><div class='comments'><p>{c}</p></div><footer>Imprint {i}</footer></body></html>"
+INSIDE = ['<div class="ad">Buy cheap shoes at once</div>', '<div id="comments"><p>I liked this very much</p><p>me too</p></div>', "<aside>See also other things</aside>",
+          "<form><label>Mail</label><p>Sign up for our letter</p></form>", '<ul class="replies"><li class="reply">I do not think so</li></ul>']
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    rng = np.random.default_rng(9)
+    prose = lambda: " ".join(rng.choice(["stone", "river", "house", "green", "walks", "the", "over"], 30))
+    rows = [(i, f"u{i}", PAGE.format(i=i, a=prose(), b=prose(), c=prose()[:80])) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return rows, html.fit(pages)
+
+
+def test_blocks_inside_the_article_that_are_no_content_go(spark, page_model):
+    rows, model = page_model
+    extra = [(1000 + 10 * i + k, "u", rows[i][2].replace("</p><p>", f"</p>{block}<p>", 1)) for i in range(40) for k, block in enumerate([*INSIDE, "<div class='box'><p>This one belongs there</p></div>"])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows + extra, "page_id bigint, url string, html string"), model).collect()}
+    for i in range(40):
+        assert got[i].startswith(f"Head {i} ") and "Imprint" not in got[i] and "Home" not in got[i]
+        assert all(got[1000 + 10 * i + k] == got[i] for k in range(len(INSIDE)))
+        assert "This one belongs there" in got[1000 + 10 * i + len(INSIDE)]
+    assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string"), model).count() == 0
+
+
+def test_without_a_marked_article_every_text_is_empty(spark, odd):
+    pages = spark.createDataFrame([(1, "u", "<p>a b c</p>"), (2, None, None), (2, None, None), (None, "v", "")], "page_id bigint, url string, html string")
+    assert [r.text for r in html.extract(pages, html.fit(pages)).collect()] == [""] * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<script " * 130_000, "<a " * 350_000, "<div>" * 100 + "</b>" * 250_000, "<div>" * 100_000 + "</p>" * 120_000, "<b>" * 200_000, '<a "' * 250_000, "<a '\">" * 170_000 + '"',
+    "<b>" * 50_000 + "<p></p>" * 80_000, "<!--" * 250_000, "<style>" * 140_000, "<" * 1_000_000, "<a" * 500_000 + ">", '<p class="' + "a " * 400_000 + '">x</p>'])
+def test_pages_of_a_megabyte_take_seconds(page):
+    start = time.monotonic()
+    tree = html.Tree()
+    tree.parse(page + "<p>end</p>")
+    model = html.TreeModel(np.zeros(html.FEATURES), np.zeros((2, 2, 2)))
+    assert (model.marginals(tree, *tree.features())[0] == 0.5).all() and max(tree.depth) <= html.DEEPEST
+    assert time.monotonic() - start < 30
+
+
+def test_markup_is_cut_as_before():
+    """Tokens of usual and broken markup: names, quotes with signs in them, raw elements, comments, stray signs."""
+    page = "a <b class=\"x>y\">c</b> <!-- <p> --> 1 < 2 <br/><p title='a\"b'>d<script type=x>if (a<b) </p></script >e</P ><!doctype z><a href=\"u>f <i>g"
+    got = [(kind, tag, page[s:e]) for s, e, kind, tag, _ in html.tokens(page) if e > s]
+    assert got == [
+        ("open", "b", '<b class="x>y">'), ("close", "b", "</b>"), ("skip", "", "<!-- <p> -->"), ("open", "br", "<br/>"), ("open", "p", "<p title='a\"b'>"),
+        ("raw", "script", "<script type=x>if (a<b) </p></script >"), ("close", "p", "</P >"), ("skip", "", "<!doctype z>"), ("skip", "", '<a href="u>'), ("open", "i", "<i>")]
