@@ -29,38 +29,71 @@ def needed_halo(scoring: DataFrame) -> int:
     return max(0, (scoring.agg(F.max("m")).first()[0] or 1) - 1)
 
 
-def segment_text_chains(chains: DataFrame, halo: int, segment: int = SEGMENT) -> DataFrame:
+def length_class(m: Column) -> Column:
+    """Power of two that a motif's length does not exceed (its exponent)."""
+    return F.ceil(F.log2(F.greatest(m, F.lit(1)))).cast("int")
+
+
+def segment_text_chains(chains: DataFrame, halo: int | DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Cut ``sequence`` of (sample_id, chain_ord, chain, sequence, offset, motif_id)
-    rows into segments with a halo."""
+    rows into segments with a halo.
+
+    ``halo``: letters for all rows, or the scoring table: then each row gets what its own
+    motif needs, and segments as long as its length class, so that a long motif makes
+    only its own rows longer."""
     length = F.length("sequence")
-    starts = F.sequence(F.lit(0), length - 1, F.lit(segment))
+    if isinstance(halo, DataFrame):
+        own = halo.select("motif_id", (F.col("m") - 1).alias("_halo"), F.greatest(F.lit(segment), F.call_function("shiftleft", F.lit(1), length_class(F.col("m")))).alias("_seg"))
+        rows = chains.join(own, "motif_id")
+    else:
+        rows = chains.withColumn("_halo", F.lit(halo)).withColumn("_seg", F.lit(segment))
     return (
-        chains.withColumn("chain_len", length).where(length > 0)
-        .withColumn("seg_start", F.explode(starts))
-        .withColumn("core_len", F.least(F.lit(segment), F.col("chain_len") - F.col("seg_start")))
-        .withColumn("sequence", F.expr(f"substring(sequence, seg_start + 1, {segment + halo})"))
+        rows.withColumn("chain_len", length).where(length > 0)
+        .withColumn("seg_start", F.explode(F.sequence(F.lit(0), F.col("chain_len") - 1, F.col("_seg"))))
+        .withColumn("core_len", F.least(F.col("_seg"), F.col("chain_len") - F.col("seg_start")))
+        .withColumn("sequence", F.expr("substring(sequence, seg_start + 1, _seg + _halo)")).drop("_seg", "_halo")
     )
 
 
-def structure_chains(positions: DataFrame, halo: int, segment: int = SEGMENT) -> DataFrame:
-    """Chain rows (without sample and motif) from ``contacts.chain_positions``."""
+def wanted_classes(samples: DataFrame, scoring: DataFrame) -> DataFrame:
+    """structure_id, cls: length classes of the motifs that are placed on each structure."""
+    return samples.select("structure_id", "motif_id").join(scoring.select("motif_id", "cls"), "motif_id").select("structure_id", "cls").distinct()
+
+
+def structure_chains(positions: DataFrame, halo: int | DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Chain rows (without sample and motif) from ``contacts.chain_positions``.
+
+    ``halo``: letters for all, or ``wanted_classes``: then a chain is cut once for each class
+    that is asked for on its structure (``cls``), into segments and halos of that length, so
+    that a letter is in two rows of a class at most."""
     keys = ["structure_id", "chain"]
     chains = positions.groupBy(*keys).agg(
         F.min("dna_idx").alias("chain_ord"), F.count(F.lit(1)).cast("int").alias("chain_len"))
-    block = F.floor(F.col("pos") / segment).cast("int")
+    if isinstance(halo, DataFrame):
+        size = F.call_function("shiftleft", F.lit(1), F.col("cls"))
+        cut, by = positions.join(halo.withColumns({"_halo": size - 1, "_seg": F.greatest(F.lit(segment), size)}), "structure_id"), [*keys, "cls"]
+    else:
+        cut, by = positions.withColumns({"_halo": F.lit(halo), "_seg": F.lit(segment)}), keys
+    block = F.floor(F.col("pos") / F.col("_seg")).cast("int")
     # A letter lies in its own segment and in the halo of earlier ones.
-    earliest = F.greatest(F.lit(0), F.ceil((F.col("pos") + 1 - segment - halo) / segment).cast("int"))
-    blocks = F.sequence(earliest, block)
-    rows = positions.withColumn("own", block).withColumn("seg", F.explode(blocks)).groupBy(*keys, "seg").agg(
+    earliest = F.greatest(F.lit(0), F.ceil((F.col("pos") + 1 - F.col("_seg") - F.col("_halo")) / F.col("_seg")).cast("int"))
+    rows = cut.withColumn("own", block).withColumn("seg", F.explode(F.sequence(earliest, block))).groupBy(*by, "_seg", "seg").agg(
         F.array_sort(F.collect_list(F.struct("pos", "letter", "dna_idx"))).alias("_l"),
         F.count_if(F.col("own") == F.col("seg")).cast("int").alias("core_len"))
     return rows.where(F.col("core_len") > 0).join(chains, keys).select(
-        *keys, "chain_ord", "chain_len", (F.col("seg") * segment).alias("seg_start"), "core_len",
+        *by, "chain_ord", "chain_len", (F.col("seg") * F.col("_seg")).alias("seg_start"), "core_len",
         F.array_join(F.col("_l.letter"), "").alias("sequence"), F.col("_l.dna_idx").alias("indices"))
 
 
+def sample_chains(samples: DataFrame, chains: DataFrame, scoring: DataFrame) -> DataFrame:
+    """Samples beside the chain rows of their structure, in the class of their motif."""
+    if "cls" not in chains.columns:
+        return samples.join(chains, "structure_id")
+    return samples.join(scoring.select("motif_id", "cls"), "motif_id").join(chains, ["structure_id", "cls"])
+
+
 def scoring_table(motifs: DataFrame, mode: str = "ic_log_likelihood", key: str = "motif_id") -> DataFrame:
-    """Per motif: ``num`` (4M values, row-major), ``den`` (M), ``lp`` (4M), ``m``."""
+    """Per motif: ``num`` (4M values, row-major), ``den`` (M), ``lp`` (4M), ``m`` and its class ``cls``."""
     if mode not in SCORE_MODES:
         raise ValueError(f"score mode must be one of {', '.join(SCORE_MODES)}")
     p = normalized([F.col(b) for b in ACGT])
@@ -78,7 +111,7 @@ def scoring_table(motifs: DataFrame, mode: str = "ic_log_likelihood", key: str =
     packed = motifs.select(key, "pos", F.array(*num).alias("n"), den.alias("d"), F.array(*lp).alias("l")) \
         .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "n", "d", "l"))).alias("_r"))
     return packed.select(
-        key, F.size("_r").alias("m"), F.flatten(F.col("_r.n")).alias("num"),
+        key, F.size("_r").alias("m"), length_class(F.size("_r")).alias("cls"), F.flatten(F.col("_r.n")).alias("num"),
         F.col("_r.d").alias("den"),
         # The plain log terms are needed only where a window may hold no information.
         F.when(F.exists(F.col("_r.d"), lambda d: d <= EPS), F.flatten(F.col("_r.l")))
@@ -98,7 +131,7 @@ def place(chain_rows: DataFrame, scoring: DataFrame) -> DataFrame:
     ``needed_halo`` its first segment holds all of it.
     """
     return (
-        chain_rows.join(scoring, "motif_id")
+        chain_rows.join(scoring.drop("cls"), "motif_id")
         .withColumn("is_full", F.col("chain_len") >= F.col("m"))
         .withColumn("vis", F.least("chain_len", "m").cast("int"))
         .withColumn("n_place", F.expr(
@@ -207,7 +240,7 @@ def contact_candidates(
     pos of residues with missing atoms.  With ``skip_bad`` the candidates that
     touch one are dropped.
     """
-    rows = _eligible(samples, chains).join(chains, "structure_id")
+    rows = sample_chains(_eligible(samples, chains), chains, scoring)
     cands = score_candidates(place(rows, scoring).where(_GATE)).drop("sequence", "indices").withColumn(
         "fstart", F.expr("if(is_full, seg_start + i, 0)"))
     # Samples with the same structure and motif length share their windows.
@@ -238,7 +271,8 @@ def align_contact_constrained(
     passes = ((F.col("contact_pos") >= min_contact) & (F.col("site_pos") >= min_site)
               & (F.col("base_pos") >= min_base))
     passes = passes if free is None else passes | free
-    detail = F.struct("chain", "seg_start", "i", "start", "reverse_complement", "raw", "is_full", "m", "vis",
+    cut = [c for c in ("cls",) if c in chains.columns]
+    detail = F.struct("chain", *cut, "seg_start", "i", "start", "reverse_complement", "raw", "is_full", "m", "vis",
                       "base_pos", "backbone_pos", "contact_pos", "site_pos")
     order = F.expr(_ORDER)
     top = candidates.withColumn("_ok", passes).groupBy("sample_id", "structure_id").agg(
@@ -255,9 +289,9 @@ def align_contact_constrained(
         "sample_id", "structure_id", "candidate_count", "contact_candidate_count", "r.*",
         F.when(F.col("contact_candidate_count") == 0, text).alias("error"))
     # Only the winners go back to their chain rows for the letters and indices.
-    letters = chains.select("structure_id", "chain", "seg_start", "sequence", "indices")
-    return describe(picked.join(letters, ["structure_id", "chain", "seg_start"], "left")).drop(
-        "sequence", "indices").withColumnRenamed("raw", "score")
+    row = ["structure_id", "chain", *cut, "seg_start"]
+    letters = chains.select(*row, "sequence", "indices")
+    return describe(picked.join(letters, row, "left")).drop("sequence", "indices", *cut).withColumnRenamed("raw", "score")
 
 
 def bad_residue_error(samples: DataFrame, chains: DataFrame, scoring: DataFrame, bad_backbone: DataFrame) -> DataFrame:

@@ -213,7 +213,8 @@ def prepare_batch(
     protein, dna = residues.where("kind = 'protein'"), residues.where("kind = 'dna'")
     positions = cut_lineage(C.chain_positions(dna))
     scoring = A.scoring_table(motifs, mode)
-    chains = A.structure_chains(positions, A.needed_halo(scoring))
+    keyed = s.select("sample_id", F.col("selection").alias("structure_id"), "motif_id")
+    chains = A.structure_chains(positions, A.wanted_classes(keyed, scoring))
     key = F.struct(*S.RESIDUE_KEY[1:])
     p = protein.select("structure_id", "source", key.alias("p_ord"), F.col("sel_idx").alias("res_idx"))
     d = dna.select("structure_id", key.alias("d_ord"), F.col("sel_idx").alias("dna_idx"))

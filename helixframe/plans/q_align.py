@@ -17,7 +17,7 @@ from helixframe.plans.common import big, joined, r6, table, with_ctes
 # ----------------------------------------------------------------- text samples
 def _text(spark, sf, mode="ic_log_likelihood"):
     scoring = A.scoring_table(V.motifs(spark, sf), mode)
-    return A.segment_text_chains(V.text_chains(spark, sf), A.needed_halo(scoring)), scoring
+    return A.segment_text_chains(V.text_chains(spark, sf), scoring), scoring
 
 
 def _cand(df):
@@ -92,7 +92,7 @@ class Complexes:
 
     @cached_property
     def chains(self):
-        return A.structure_chains(self.positions, A.needed_halo(self.scoring))
+        return A.structure_chains(self.positions, A.wanted_classes(self.samples, self.scoring))
 
     @cached_property
     def atoms(self):
@@ -123,7 +123,7 @@ class Complexes:
         return out.withColumn("error", F.coalesce("atom_error", "error")).drop("atom_error")
 
     def sequence_rows(self):
-        return self.samples.join(self.chains, "structure_id")
+        return A.sample_chains(self.samples, self.chains, self.scoring)
 
 
 def _contact_out(df):

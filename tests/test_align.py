@@ -232,3 +232,43 @@ def test_faulty_manual_placement_is_not_replaced(spark):
     out = {r.sample_id: r for r in A.alignment_policy(samples, A.metadata_manual(manual), auto, auto).collect()}
     assert len(out) == 2 and out[1].slot_to_dna_index is None and out[2].slot_to_dna_index == [0, 1, 2]
     assert [r.sample_id for r in A.manual_errors(manual).collect()] == [1]
+
+
+def test_a_long_motif_leaves_the_segments_of_others_alone(spark):
+    """One motif of 50,000 rows beside short ones: only the rows of its own class grow, letters are copied once at most."""
+    short = motif_rows(spark, 1, consensus_matrix("ACGTAC")).unionByName(motif_rows(spark, 2, consensus_matrix("ACGTACGTACG")))
+    long = spark.range(50_000).select(F.lit(9).cast("long").alias("motif_id"), F.col("id").cast("int").alias("pos"), *[F.lit(0.25).alias(b) for b in "acgt"])
+    chain = "ACGTTGCATC" * 3000
+    letters = spark.range(len(chain)).select(F.lit("s").alias("structure_id"), F.lit("B").alias("chain"), F.col("id").cast("int").alias("pos"),
+                                             F.expr(f"substring('{chain[:10]}', cast(id % 10 as int) + 1, 1)").alias("letter"), F.col("id").cast("int").alias("dna_idx"))
+    samples = spark.createDataFrame([(1, "s", 1), (2, "s", 2), (3, "s", 9)], "sample_id long, structure_id string, motif_id long")
+    sizes = {}
+    for name, motifs in (("short", short), ("both", short.unionByName(long))):
+        scoring = A.scoring_table(motifs)
+        rows = A.structure_chains(letters, A.wanted_classes(samples, scoring)).select("cls", "seg_start", F.length("sequence").alias("n")).collect()
+        sizes[name] = {c: sorted((r.seg_start, r.n) for r in rows if r.cls == c) for c in {r.cls for r in rows}}
+    assert set(sizes["short"]) == {3, 4} and set(sizes["both"]) == {3, 4, 16} and all(sizes["both"][c] == sizes["short"][c] for c in (3, 4))
+    assert max(n for _, n in sizes["both"][4]) == A.SEGMENT + 15 and all(sum(n for _, n in x) <= 2 * len(chain) for x in sizes["both"].values())
+    text = text_chain(spark, [chain], 1).unionByName(text_chain(spark, [chain], 9, 2))
+    cut = A.segment_text_chains(text, A.scoring_table(short.unionByName(long))).select("motif_id", F.length("sequence").alias("n")).collect()
+    assert max(r.n for r in cut if r.motif_id == 1) == A.SEGMENT + 5 and sum(r.n for r in cut) < 3 * len(chain)
+
+
+def test_classes_place_as_one_halo_does(spark):
+    """Placements of motifs of several classes on structures are those of chains cut with one halo for all."""
+    rng = random.Random(5)
+    motifs = None
+    for i, n in enumerate((1, 2, 3, 8, 9, 30)):
+        one = motif_rows(spark, i, [[rng.random() + 0.05 for _ in range(4)] for _ in range(n)])
+        motifs = one if motifs is None else motifs.unionByName(one)
+    scoring = A.scoring_table(motifs)
+    letters = [("s", c, p, rng.choice("ACGT"), i) for i, (c, p) in enumerate([("B", p) for p in range(70)] + [("C", p) for p in range(20)])]
+    pos = spark.createDataFrame(letters, "structure_id string, chain string, pos int, letter string, dna_idx int")
+    samples = spark.createDataFrame([(i, "s", i) for i in range(6)], "sample_id long, structure_id string, motif_id long")
+    contacts = spark.createDataFrame([("s", 0, 33, 1, 0), ("s", 1, 75, 1, 1)], "structure_id string, res_idx int, dna_idx int, base_label int, backbone_label int")
+    got = []
+    for chains in (A.structure_chains(pos, A.wanted_classes(samples, scoring), 16), A.structure_chains(pos, A.needed_halo(scoring), 16)):
+        found = A.align_contact_constrained(A.contact_candidates(samples, chains, scoring, pos, contacts), chains)
+        best = A.align_sequence_only(A.sample_chains(samples, chains, scoring), scoring)
+        got.append([sorted((r.sample_id, list(r.slot_to_dna_index), r.chain, r.start) for r in df.collect()) for df in (found, best)])
+    assert got[0] == got[1] and len(got[0][0]) == len(got[0][1]) == 6
