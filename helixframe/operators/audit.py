@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.graph import connected
 from helixframe.operators.metrics import long_metrics, summarize_metrics
 from helixframe.operators.ordering import running_totals
 
@@ -149,3 +150,23 @@ def leave_group_split(entries: DataFrame, level: str, k: int) -> DataFrame:
     key = F.concat_ws("|", *LEVELS[level])
     number = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
     return entries.withColumn("bucket", F.pmod(number, F.lit(k)))
+
+
+def leave_component_split(entries: DataFrame, k: int, levels: Sequence[str] = ("structure_id", "motif_id")) -> DataFrame:
+    """``bucket`` in 0..k-1 such that no value of any level is in two buckets, beside ``component`` and its ``n`` entries.
+
+    Entries that share a structure or a motif, directly or over others, form a component of the graph of their values;
+    components are whole in a bucket.  They fill the buckets by size, the largest first: a bucket holds a k-th of the
+    entries and one component more at most.  One component alone cannot be cut: then its bucket is larger."""
+    name = lambda c: F.concat(F.lit(f"{c}:"), F.coalesce(c, F.lit("")))
+    pairs = None
+    for other in levels[1:] or levels[:1]:
+        one = entries.select(name(levels[0]).alias("a"), name(other).alias("b"))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    labels = connected(pairs.distinct())
+    named = entries.withColumn("node", name(levels[0])).join(labels, "node").drop("node")
+    sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    filled = running_totals(sizes, [], [F.col("n").desc(), F.col("component")], {"upto": "n"}, totals={"all": "n"})
+    # Where a component's middle comes to lie in the row of all entries.
+    place = F.floor((F.col("upto") * 2 - F.col("n")) * k / (F.col("all") * 2))
+    return named.join(filled.select("component", "n", F.least(place, F.lit(k - 1)).cast("int").alias("bucket")), "component")

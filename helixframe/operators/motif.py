@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.pwm import ACGT, argmax_base, normalized, row_ic
+from helixframe.functions.strict import refuse
 
 
 def _cols(prefix: str = ""):
@@ -16,7 +17,17 @@ def motif_lengths(rows: DataFrame, key: str = "motif_id") -> DataFrame:
     return rows.groupBy(key).agg((F.max("pos") + 1).alias("m"))
 
 
-def normalize_pwm(rows: DataFrame) -> DataFrame:
+def normalize_pwm(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of shares: cells clipped from below, over their sum.  ``strict``: a missing cell, one that is no number, is
+    infinite or below zero, or a gap in the positions of a motif fails the call, with the number of such rows."""
+    if strict:
+        cells = [F.when(F.col(b).isNull() | F.isnan(b) | (F.abs(b) == float("inf")) | (F.col(b) < 0), F.lit(b.upper())) for b in ACGT]
+        wrong = F.array_compact(F.array(*cells))
+        where = F.concat(*([F.col("motif_id").cast("string"), F.lit(" ")] if "motif_id" in rows.columns else []), F.lit("row "), F.col("pos").cast("string"))
+        refuse(rows, F.when(F.size(wrong) > 0, F.concat(where, F.lit(": no shares in "), F.array_join(wrong, ","))), "unusable matrix rows")
+        if "motif_id" in rows.columns:
+            whole = rows.groupBy("motif_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("k"), (F.max("pos") + 1).alias("m"), F.min("pos").alias("lo"))
+            refuse(whole, F.when((F.col("n") != F.col("m")) | (F.col("k") != F.col("m")) | (F.col("lo") != 0), F.concat(F.col("motif_id").cast("string"), F.lit(": positions are not 0 to M-1"))), "matrices with missing rows")
     keep = [c for c in rows.columns if c not in ACGT]
     return rows.select(*keep, *[c.alias(b) for b, c in zip(ACGT, normalized(_cols()))])
 

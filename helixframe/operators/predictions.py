@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.pwm import ACGT, bce_with_logits, log_softmax, normalized, sigmoid, softmax, total
+from helixframe.functions.strict import refuse
+from helixframe.operators import structure as S
 from helixframe.operators.ordering import first_per_key
 
 ENERGY = tuple(f"e_{b}" for b in ACGT)
@@ -160,8 +162,8 @@ def align_by_window(preds: DataFrame) -> DataFrame:
     return preds.withColumn("by_window", best)
 
 
-def align_predictions(preds: DataFrame) -> DataFrame:
-    """Index mode, else window mode, else an error.
+def align_predictions(preds: DataFrame, strict: bool = False) -> DataFrame:
+    """Index mode, else window mode, else an error.  ``strict``: any error fails the call, with their number.
 
     ``preds``: sample_id, sequence, target, slots, m -> mode, error; with ``rows`` (a
     foreign matrix, ARRAY<STRUCT<a,c,g,t>>, one row per letter of the sequence) also
@@ -179,6 +181,8 @@ def align_predictions(preds: DataFrame) -> DataFrame:
         F.lit("could not align predicted sequence: target="), "target", F.lit(" sequence="), "sequence",
         F.lit(" M="), F.col("m").cast("string"), F.lit(" idx="), idx))
     out = d.withColumn("mode", F.when(fits, mode)).withColumn("error", error)
+    if strict:
+        out = refuse(out, F.col("error"), "predictions that cannot be aligned")
     if "rows" not in preds.columns:
         return out
     first = F.col("by_window.start").cast("bigint")
@@ -203,6 +207,29 @@ def top_contact_pairs(cells: DataFrame, score: str, k: int = 5) -> DataFrame:
     return first_per_key(cells, ["sample_id"], [F.col(score).desc(), F.col("res_idx"), F.col("slot")], k)
 
 
+def pair_distances(pairs: DataFrame, slots: DataFrame, protein: DataFrame, dna: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Chosen residue-slot pairs with ``base_dist`` and ``backbone_dist``: the least distance of the residue's heavy atoms
+    to those of the slot's base and of its backbone, however far.  NULL for a slot without a nucleotide or without such atoms.
+
+    ``pairs``: sample_id, res_idx, slot; ``slots``: sample_id, structure_id, slot, dna_idx; ``protein``, ``dna``: indexed
+    residues.  Only the atoms of the residues named are joined, each once for all samples on its structure."""
+    at = pairs.join(slots.select("sample_id", "structure_id", "slot", "dna_idx"), ["sample_id", "slot"], "left")
+    wanted = at.where("dna_idx >= 0").select("structure_id", F.col("res_idx").cast("bigint").alias("res_idx"), F.col("dna_idx").cast("bigint").alias("dna_idx")).distinct()
+    heavy = S.keyed_atoms(atoms)
+    key = F.struct(*S.RESIDUE_KEY[1:]).alias("res_ord")
+
+    def of(side: DataFrame, name: str, prefix: str, *more: str) -> DataFrame:
+        named = side.select("structure_id", key, F.col("sel_idx").cast("bigint").alias(name))
+        used = named.join(wanted.select("structure_id", name).distinct(), ["structure_id", name], "left_semi")
+        return heavy.join(used, ["structure_id", "res_ord"]).select("structure_id", name, *more, *[F.col(a).alias(f"{prefix}_{a}") for a in "xyz"])
+
+    near = wanted.join(of(protein, "res_idx", "p"), ["structure_id", "res_idx"]).join(of(dna, "dna_idx", "q", "part"), ["structure_id", "dna_idx"])
+    d2 = sum((F.col(f"p_{a}") - F.col(f"q_{a}")) * (F.col(f"p_{a}") - F.col(f"q_{a}")) for a in "xyz")
+    least = near.groupBy("structure_id", "res_idx", "dna_idx").agg(*[
+        F.sqrt(F.min(F.when(F.col("part") == part, d2))).alias(f"{part}_dist") for part in ("base", "backbone")])
+    return at.join(least, ["structure_id", "res_idx", "dna_idx"], "left")
+
+
 def column_contribution(cells: DataFrame) -> DataFrame:
     """Share of each residue in the absolute gated energy of its slot."""
     mass = F.col("a_base") * total([F.abs(F.col(e)) for e in ENERGY])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions.checkpoints import cut_lineage
 from helixframe.operators import align as A
 from helixframe.operators import contacts as C
+from helixframe.operators import predictions as P
 from helixframe.operators import structure as S
 from helixframe.plans import views as V
 from helixframe.plans.common import big, joined, r6, table, with_ctes
@@ -215,8 +216,20 @@ def policy_compare(spark, sf):
     return wide.withColumn("same", F.col("sequence_only").eqNullSafe(F.col("require_contact")))
 
 
+def top_pair_distances(spark, sf):
+    """The best pairs by a score made of their numbers, with their true distances."""
+    c = Complexes(spark, sf)
+    placed = c.aligned().where("error IS NULL").select("sample_id", "structure_id", "slot_to_dna_index")
+    slots = cut_lineage(C.slot_rows(placed))
+    cells = slots.join(c.protein.select("structure_id", F.col("sel_idx").alias("res_idx")), "structure_id")
+    score = (F.col("res_idx") * 37 + F.col("slot") * 11 + F.col("sample_id") * 7) % 101
+    top = P.top_contact_pairs(cells.select("sample_id", "res_idx", "slot", score.alias("score")), "score")
+    out = P.pair_distances(top, slots, c.protein, c.dna, V.atoms(spark, sf))
+    return out.select("sample_id", *[big(x).alias(x) for x in ("res_idx", "slot", "score")], *[r6(x).alias(x) for x in ("base_dist", "backbone_dist")])
+
+
 QUERIES = {
-    "enumerate_full_windows": enumerate_full_windows, "enumerate_partial_windows": enumerate_partial_windows,
+    "top_pair_distances": top_pair_distances, "enumerate_full_windows": enumerate_full_windows, "enumerate_partial_windows": enumerate_partial_windows,
     "score_log_likelihood": _scores("log_likelihood"), "score_ic_log_likelihood": _scores("ic_log_likelihood"),
     "score_ic_pcc": _scores("ic_pcc"), "align_sequence_only": align_sequence_only,
     "align_contact_constrained": align_contact_constrained, "skip_bad_candidates": skip_bad_candidates,
@@ -332,6 +345,10 @@ _POL = [*GEOM, contact_tail(0, 1, 1, False), _SEQBEST, MANUAL, f"mm AS ({_METAMA
         f"mc AS ({_METACON.replace('@MODE@', 'ic_log_likelihood')})"]
 
 ORACLES = {
+    "top_pair_distances": with_ctes([*GEOM, contact_tail(0, 1, 1, False), f"""ts AS (SELECT sample_id, structure_id, unnest(list_transform(range(m), lambda k: {_IDX})) AS dna_idx, unnest(range(m)) AS slot FROM al WHERE error IS NULL),
+tp AS (SELECT sample_id, structure_id, kind_idx AS res_idx, slot, dna_idx, (kind_idx * 37 + slot * 11 + sample_id * 7) % 101 AS score FROM ts JOIN v_prot USING (structure_id)
+    QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY (kind_idx * 37 + slot * 11 + sample_id * 7) % 101 DESC, kind_idx, slot) <= 5)"""],
+        "SELECT sample_id, res_idx::BIGINT AS res_idx, slot::BIGINT AS slot, score::BIGINT AS score, round(base_dist, 6) AS base_dist, round(backbone_dist, 6) AS backbone_dist FROM tp LEFT JOIN v_mind USING (structure_id, res_idx, dna_idx)"),
     "enumerate_full_windows": with_ctes([*TEXT, cand_ctes(False)], f"SELECT sample_id, chain, rev AS reverse_complement, start, aligned AS aligned_sequence, {_SLOTS} AS slots FROM cs WHERE is_full"),
     "enumerate_partial_windows": with_ctes([*TEXT, cand_ctes(False)], f"SELECT sample_id, chain, rev AS reverse_complement, start, aligned AS aligned_sequence, {_SLOTS} AS slots FROM cs WHERE NOT is_full"),
     **{f"score_{m}": with_ctes([*TEXT, cand_ctes(False), score_ctes(m)], _SCSQL) for m in _SCORES},

@@ -88,8 +88,14 @@ def leave_group_split(spark, sf):
     return out
 
 
+def leave_component_split(spark, sf):
+    """Buckets that share neither a structure nor a motif."""
+    out = U.leave_component_split(_entries(spark, sf), 5)
+    return out.select("ord", "component", big("n").alias("n"), big("bucket").alias("bucket"))
+
+
 QUERIES = {
-    "duplicate_weight_audit": duplicate_weight_audit, "duplicate_details": duplicate_details, "leakage_audit": leakage_audit,
+    "leave_component_split": leave_component_split, "duplicate_weight_audit": duplicate_weight_audit, "duplicate_details": duplicate_details, "leakage_audit": leakage_audit,
     "dedup_coverage": dedup_coverage, "group_mean_metric": group_mean_metric, "best_contact_pick": best_contact_pick,
     "group_weights": group_weights, "same_subset_compare": same_subset_compare, "better_count": better_count,
     "median_metric": median_metric, "fold_metric_variance": fold_metric_variance, "leave_group_split": leave_group_split,
@@ -131,6 +137,12 @@ ORACLES = {
     "median_metric": with_ctes(EVAL, "SELECT method, round(median(pwm_kl), 8) AS median, count(pwm_kl) AS n FROM v_eval WHERE pwm_kl IS NOT NULL GROUP BY method"),
     "fold_metric_variance": with_ctes(EVAL, "SELECT metric, fold, n, round(fm, 6) AS fold_mean, round(var_pop(fm) OVER (PARTITION BY metric), 6) AS variance, round(em, 6) AS ensemble_mean FROM ("
         + _each("SELECT '{m}' AS metric, sample_id % 5 AS fold, count(*) AS n, avg({m}) AS fm, (SELECT avg({m}) FROM v_eval WHERE isfinite({m})) AS em FROM v_eval WHERE isfinite({m}) GROUP BY ALL") + ")"),
+    "leave_component_split": "WITH RECURSIVE " + with_ctes([*FOLD, """e AS (SELECT DISTINCT structure_id AS s, motif_id AS m FROM v_folds),
+r AS (SELECT DISTINCT m AS root, m FROM e UNION SELECT r.root, y.m FROM r JOIN e x ON r.m = x.m JOIN e y ON y.s = x.s),
+c AS (SELECT m, 'motif_id:' || min(root) AS component FROM r GROUP BY m),
+z AS (SELECT component, count(*) AS n FROM v_folds JOIN c ON m = motif_id GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (ORDER BY n DESC, component) AS upto, sum(n) OVER () AS total FROM z)"""],
+        "SELECT ord, component, n, least(floor((upto * 2 - n)::DOUBLE * 5 / (total * 2)), 4)::BIGINT AS bucket FROM v_folds JOIN c ON m = motif_id JOIN u USING (component)").removeprefix("WITH "),
     "leave_group_split": with_ctes(FOLD, """SELECT ord, level, ('0x' || substr(md5(key), 1, 8))::BIGINT % 5 AS bucket FROM (SELECT ord, unnest(['id', 'id_motif', 'motif']) AS level,
         unnest([structure_id, structure_id || '|' || motif_id, motif_id]) AS key FROM v_folds)"""),
 }

@@ -169,7 +169,9 @@ fw0 AS (SELECT sample_id, unnest([{{'st': strpos(sequence, target) - 1, 'i': 1,
     FROM fp WHERE length(target) > 0),
 fw AS (SELECT sample_id, min(h.st)::BIGINT AS start, arg_min(h.o, h.st * 10 + h.i) AS ow FROM fw0 WHERE h.st >= 0 GROUP BY sample_id),
 fa AS (SELECT fo.*, fw.start, fw.ow FROM fo LEFT JOIN fw USING (sample_id))"""
-FOREIGN = [*TEXT, cand_ctes(), score_ctes("ic_log_likelihood"), _SEQBEST, _FOREIGN]
+# The best placement is found once, and only what the alignment needs of it is kept.
+_BEST = _SEQBEST.replace("sb AS (SELECT *", "sb AS MATERIALIZED (SELECT sample_id, sequence, aligned, is_full, rev, l, start, m, idxs, off")
+FOREIGN = [*TEXT, cand_ctes(), score_ctes("ic_log_likelihood"), _BEST, _FOREIGN]
 _MASS = "a_base * (abs(e_a) + abs(e_c) + abs(e_g) + abs(e_t))"
 _P4 = ("e_a", "e_c", "e_g", "e_t")
 _FULL = ", ".join(f"sum(a_base*{e}) AS f{e[-1]}, coalesce(sum(a_base*{e}) FILTER (WHERE res_idx <> mr), 0) AS k{e[-1]}" for e in _P4)
