@@ -2,9 +2,10 @@
 
 A text is read once, inside the task that holds it. Base spans (keyword assignments, access keys, long
 hexadecimal runs) are always reported. Weak candidates - short access keys, named identifiers, short or
-bare secrets, service addresses - become intervals that are joined inside their scope (a block of lines
-without an empty line between): a weak secret needs an identifier or an address within ``GAP`` code points,
-an identifier or an address needs a secret.
+bare secrets, service addresses and what they hold - become intervals that are joined inside their scope (a
+block of lines without an empty line between): a weak secret needs an identifier or an address within ``GAP``
+code points, an identifier or an address needs a secret. All parts take part in the join; overlaps are resolved
+among those that it leaves.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import bisect
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 NAMED = re.compile(r"""(?ai)\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""")
 ADDRESS = re.compile(r"""(?ai)\b(?:https?|ftp|s3|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s"'<>]+""")
+USERINFO = re.compile(r"""://([^\s:/@"'<>]+):([^\s/@"'<>]+)@""")
 BARE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 SCOPE_END = re.compile(r"\n[\x20\t]*\n")
 
@@ -80,13 +83,47 @@ def _parts(text: str, has_hex: bool, has_bare: bool) -> tuple[list, list]:
             (base if strong else weak).append(("access" if strong else "identifier", m.start(), m.end()))
     if has_hex:
         base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    addresses = []
     if "://" in text:
-        weak += [("endpoint", m.start(), m.end()) for m in ADDRESS.finditer(text)]
+        addresses = [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
+        weak += [("endpoint", s, e) for s, e in addresses]
+        for s, e in addresses:
+            if m := USERINFO.search(text, s, e):
+                weak += [("identifier", *m.span(1)), ("secret", *m.span(2))]
     if has_bare:
-        weak += [("secret", m.start(), m.end()) for m in BARE.finditer(text) if _random_looking(m.group())]
+        for m in BARE.finditer(text):
+            if _random_looking(m.group()):
+                k = bisect.bisect_right(addresses, (m.start(), len(text))) - 1
+                # A random piece of a path is no secret of the address around it; an identifier may make it one.
+                weak.append(("piece" if k >= 0 and m.end() <= addresses[k][1] else "secret", m.start(), m.end()))
     return base, weak
 
 
+def _uncovered(base: list, weak: list) -> list:
+    """Weak parts that no base span overlaps; an address may hold base spans."""
+    spans = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
+    out = []
+    for kind, s, e in weak:
+        k = bisect.bisect_left(starts, s if kind == "endpoint" else e) - 1
+        if k < 0 or reach[k] <= s:
+            out.append((kind, s, e))
+    return out
+
+
+def _resolved(parts: list) -> list:
+    """Linked parts (start, end, kind) without overlaps: the earlier one stays, of two with one start the longer; parts
+    inside an address stay beside it."""
+    out, reach = [], -1
+    for s, e, kind in sorted(set(parts), key=lambda p: (p[0], -p[1], p[2])):
+        if kind == "endpoint":
+            out.append((s, e, kind))
+        elif s >= reach:
+            out.append((s, e, kind))
+            reach = e
+    return out
+
+
 def _near(query: np.ndarray, other: np.ndarray, gap: int) -> np.ndarray:
     """For each (scope, start, end): whether an interval of ``other`` of the same scope lies within the gap.
 
@@ -104,11 +141,13 @@ def _near(query: np.ndarray, other: np.ndarray, gap: int) -> np.ndarray:
 def _link(base: list, weak: list, gap: int) -> list:
     """Interval join of all parts of a batch, each (scope, start, end, kind, ...); the weak parts that stay."""
     array = lambda parts: np.array([p[:3] for p in parts], np.int64).reshape(-1, 3)
-    secret = array([p for p in base if p[3] in ("assign", "hex")] + [p for p in weak if p[3] == "secret"])
-    holder = array([p for p in base if p[3] == "access"] + [p for p in weak if p[3] != "secret"])
+    of = lambda *kinds: [p for p in weak if p[3] in kinds]
+    secret = [p for p in base if p[3] in ("assign", "hex")] + of("secret")
+    identifier = [p for p in base if p[3] == "access"] + of("identifier")
     out = []
-    for parts, other in (([p for p in weak if p[3] == "secret"], holder), ([p for p in weak if p[3] != "secret"], secret)):
-        out += [p for p, yes in zip(parts, _near(array(parts), other, gap), strict=True) if yes]
+    for kind, other in (("secret", identifier + of("endpoint")), ("piece", identifier), ("endpoint", secret), ("identifier", secret + of("piece"))):
+        parts = of(kind)
+        out += [p for p, yes in zip(parts, _near(array(parts), array(other), gap), strict=True) if yes]
     return out
 
 
@@ -125,20 +164,17 @@ def _scan(batches: Iterator[pa.RecordBatch], gap: int) -> Iterator[pa.RecordBatc
             if not base and not weak:
                 continue
             ends = [m.start() for m in SCOPE_END.finditer(text)]
-            taken = sorted((s, e) for _, s, e in base)
-            free, reach = [], -1
-            for kind, s, e in sorted(weak, key=lambda p: (p[1], -p[2])):
-                k = bisect.bisect_left(taken, (e,)) - 1
-                if s >= reach and not (k >= 0 and taken[k][1] > s):  # neither inside a base span nor another part
-                    free.append((kind, s, e))
-                    reach = e
             place = lambda kind, s, e: (scope + bisect.bisect_left(ends, s), s, e, kind, r)  # noqa: E731, B023
             base_parts += [place(*p) for p in base]
-            weak_parts += [place(*p) for p in free]
+            weak_parts += [place(*p) for p in _uncovered(base, weak)]
             scope += len(ends) + 1
-        for known, parts in ((True, base_parts), (False, _link(base_parts, weak_parts, gap))):
-            for _, s, e, kind, r in parts:
-                spans[r].append((s, KINDS.index(kind), e, known))
+        linked: dict[int, list] = {}
+        for _, s, e, kind, r in _link(base_parts, weak_parts, gap):
+            linked.setdefault(r, []).append((s, e, "secret" if kind == "piece" else kind))
+        for _, s, e, kind, r in base_parts:
+            spans[r].append((s, KINDS.index(kind), e, True))
+        for r, parts in linked.items():
+            spans[r] += [(s, KINDS.index(kind), e, False) for s, e, kind in _resolved(parts)]
         full = [[{"kind": KINDS[k], "start": s, "end": e, "base": b, "text": column[r].as_py()[s:e]} for s, k, e, b in sorted(x)] for r, x in enumerate(spans)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, SPANS)], ["doc_id", "spans"])
 
