@@ -78,10 +78,11 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int =
     """(row, domain, epoch, n_tokens): each chosen document, once for each epoch it is chosen in.
 
     A missing language or source is a leaf of its own ('(none)'); documents without tokens (NULL or empty text) are
-    never chosen; documents of one id (repeated rows among them) follow each other in the order, by text. An empty
+    never chosen; documents of one id (repeated rows among them) follow each other in the order, by text. Documents
+    without an id are ordered by a hash of their text, so that a leaf of them alone is cut into buckets too. An empty
     table gives none. Columns of any name pass inside ``row``."""
     domains, languages = domains or DOMAIN_WEIGHTS, languages or LANGUAGE_WEIGHTS
-    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), F.xxhash64("text").alias("t"), F.col("source").alias("src"), F.coalesce("lang", F.lit("(none)")).alias("language"), "text")
+    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.hex(F.xxhash64("text")))).alias("id"), F.xxhash64("text").alias("t"), F.col("source").alias("src"), F.coalesce("lang", F.lit("(none)")).alias("language"), "text")
     rows = named.select("row", "id", "t", domain_of(F.col("src")).alias("domain"), "language", F.coalesce("src", F.lit("(none)")).alias("origin"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_tokens"))
     slim = stored(rows.select("id", *LEAF, "n_tokens").where("n_tokens > 0"))
     leaves = stored(slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))

@@ -187,6 +187,30 @@ def test_mixing_takes_prefixes_of_epochs(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.mix_sources(spark, d, "").columns == ["doc_id", "text", "lang", "source", "n_chars", "epoch"]
 
 
+def test_mixing_spreads_documents_without_ids(spark):
+    """A leaf of documents without ids is cut into buckets like any other; the choice does not depend on their size."""
+    rows = [(None, f"text number {i} " + "w " * (i % 5), "en", "src1", 0) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    chosen = [Counter((x.row.text, x.epoch) for x in mixing.mix(d, share=0.5, bucket=b).collect()) for b in (10, 10_000)]
+    assert chosen[0] == chosen[1] and 1000 < sum(chosen[0].values()) < 2000
+
+
+def test_line_dedup_of_an_empty_table(spark):
+    d = spark.createDataFrame([], "doc_id bigint, text string, n_chars bigint")
+    assert linededup.dedup_lines(d).count() == 0 and linededup.drop_lines(spark, d, "").columns == d.columns
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["river", "stone", "house", "green"]) + str(r.randrange(50)) for _ in range(40)), "en", f"src{i % 3}", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/some/benchmark.parquet")
+    assert 0 < corpus_pipeline.run(spark, f"{tmp_path}/some").count() <= 120
+
+
 def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     r = random.Random(5)
     voc = {"en": "the house stands near a green river and many small boats pass".split(), "de": "das kleine haus steht nahe einem fluss und viele boote ziehen".split()}

@@ -362,3 +362,21 @@ def test_markup_is_cut_as_before():
     assert got == [
         ("open", "b", '<b class="x>y">'), ("close", "b", "</b>"), ("skip", "", "<!-- <p> -->"), ("open", "br", "<br/>"), ("open", "p", "<p title='a\"b'>"),
         ("raw", "script", "<script type=x>if (a<b) </p></script >"), ("close", "p", "</P >"), ("skip", "", "<!doctype z>"), ("skip", "", '<a href="u>'), ("open", "i", "<i>")]
+
+
+def test_language_of_ties_and_empty_tables(spark, odd):
+    rows = [(i, text, lang) for i, (text, lang) in enumerate([("abab abab abab", "x"), ("abab abab abab", "y")] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    got = langid.predict(docs, model).collect()
+    assert len({r.lang_pred for r in got}) == 1 and langid.predict(odd.limit(0), model).count() == 0
+
+
+def test_language_model_scores_a_very_long_text(spark):
+    """A megabyte of words beside short texts: as many tokens as words and one end, the same score whatever else is in the batch."""
+    long = "the cat sat on the mat " * 50_000
+    docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(1, 30)] + [(40, long), (41, "")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lmscore.score_texts(docs, F.lit(False), docs.select("text")).collect()}
+    assert got[40].n_tokens == 300_001 and got[41].n_tokens == 1 and np.isfinite(got[40].score)
+    alone = lmscore.score_texts(docs.where("doc_id = 40"), F.lit(False), docs.select("text")).collect()[0]
+    assert alone.score == pytest.approx(got[40].score) and alone.base_score == pytest.approx(got[40].base_score)
