@@ -156,3 +156,19 @@ def test_packing_shuffles_residues_and_edges_once(spark):
     packed = batch.packed()
     assert {r.sample_id: (len(r.residues), len(r.slots)) for r in packed.collect()} == {"x": (1, 4), "y": (1, 4)}
     assert store.read_samples(spark, "/no/such/folder") is None
+
+
+def test_other_writers_are_read_back(spark, tmp_path):
+    from helixframe.operators import samples as P
+    from helixframe.sources.manifests import read_motif_index
+
+    index = spark.createDataFrame([(f"M{i}", "J", str(i), f"{tmp_path}/idx/m/{i}.txt") for i in range(30)], "motif_id string, motif_source string, motif_version string, motif_path string")
+    sinks.write_motif_index(index, f"{tmp_path}/idx")
+    back = read_motif_index(spark, f"{tmp_path}/idx").collect()
+    assert sorted((r.motif_id, r.motif_version, r.motif_path) for r in back) == sorted((f"M{i}", str(i), f"m/{i}.txt") for i in range(30))
+    cells = spark.createDataFrame([(k, "train" if k else "valid", r, s, r + 0.5 * s) for k in range(2) for r in range(3) for s in range(2)], "sample_id long, split string, res_idx int, slot int, v double")
+    sinks.write_samples(P.pack_samples(cells, ["v"], ["sample_id", "split"]), f"{tmp_path}/samples")
+    only = spark.read.parquet(f"{tmp_path}/samples").where("split = 'train'")
+    got = P.unpack_samples(only, ["v"], ["sample_id"])
+    assert sorted(map(tuple, got.collect())) == sorted((1, r, s, r + 0.5 * s) for r in range(3) for s in range(2))
+    assert "PartitionFilters: [isnotnull(split" in only._jdf.queryExecution().executedPlan().toString()
