@@ -307,6 +307,64 @@ def test_language_model_scores(spark, odd):
     assert lmscore.score_texts(odd, F.lit(False), odd.limit(0).select("text")).count() == odd.count()
 
 
+def plain_scores(texts, train, least):
+    """log10 probabilities by looking every n-gram up in tables of counts; words below ``least`` are states with arcs of their own."""
+    token = lambda t: WORD.findall((t or "").translate(FOLD)) + [None]
+    count, two, three = Counter(), Counter(), Counter()
+    for t in train:
+        ws = token(t)
+        count.update(ws)
+        two.update(zip(ws, ws[1:]))
+        three.update(zip(ws, ws[1:], ws[2:]))
+    z = sum(count.values()) + 0.1 * (len(count) + 1)
+    p1 = lambda w: (count[w] + 0.1) / z
+    often = {w for w, c in count.items() if c >= max(2, least)}
+    pair = {k: c for k, c in two.items() if c >= 2 and set(k) <= often}
+    triple = {k: c for k, c in three.items() if c >= 2 and k[:2] in pair and k[1:] in pair}
+    p2 = {k: (c - 0.75) / count[k[0]] for k, c in pair.items()}
+    p3 = {k: (c - 0.75) / pair[k[:2]] for k, c in triple.items()}
+    left1 = {a: (1 - sum(p for k, p in p2.items() if k[0] == a)) / (1 - sum(p1(k[1]) for k in p2 if k[0] == a)) for a in often}
+    left2 = {ab: (1 - sum(p for k, p in p3.items() if k[:2] == ab)) / (1 - sum(p2[k[1:]] for k in p3 if k[:2] == ab)) for ab in pair}
+    kinds = Counter(a for a, _ in two)
+
+    def after(x, a, b):
+        if a is None:
+            return p1(b)
+        if count[a] and a not in often:
+            return (two[a, b] - 1) / count[a] * (two[a, b] > 1) + kinds[a] / count[a] * p1(b)
+        if not count[a]:
+            return p1(b)
+        low = p2.get((a, b), left1[a] * p1(b))
+        return p3.get((x, a, b), left2[x, a] * low) if (x, a) in pair else low
+
+    out = []
+    for t in texts:
+        ws = token(t)
+        out.append(sum(np.log10(after(ws[i - 2] if i > 1 else None, ws[i - 1] if i else None, w)) for i, w in enumerate(ws)))
+    return out
+
+
+def test_language_model_equals_plain_backoff(spark):
+    """Frequent words with automaton states, rarer ones that are joined, unseen ones; a text that occurs twice stands out."""
+    rng = np.random.default_rng(8)
+    common, rare = ["the", "of", "Cat", "dog", "sat", "ON", "mat"], [f"r{i}" for i in range(60)]
+    make = lambda n: " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(n))
+    train = [make(rng.integers(1, 40)) for _ in range(120)]
+    twin, alone = "quite singular words stand here and nowhere else at all", "other peculiar terms appear once below without any second copy"
+    train += [twin, twin, alone, "", None]
+    texts = [*train, make(30), "never seen words", "the r1 unseen r2 r3", twin, alone, None, "r5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    count = Counter(w for t in train for w in WORD.findall((t or "").translate(FOLD)) + [None])
+    old, lmscore.WORD_SHARE = lmscore.WORD_SHARE, 40 / sum(count.values())
+    try:
+        got = {r.doc_id: r for r in lmscore.score_texts(docs, F.lit(False), docs.where(f"doc_id < {len(train)}").select("text")).collect()}
+    finally:
+        lmscore.WORD_SHARE = old
+    np.testing.assert_allclose([got[i].score for i in range(len(texts))], plain_scores(texts, train, 40), rtol=1e-9)
+    gain = lambda i: got[i].score - got[i].base_score
+    assert gain(120) > 10 and abs(gain(122)) < 1e-6  # each word of the twin is followed by the same one twice
+
+
 def test_digest(spark, tmp_path):
     spark.createDataFrame([(7, "token=abcdefgh1")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = secrets.op1_secret_scan(spark, str(tmp_path)).first()
