@@ -14,7 +14,6 @@ No pair of groups is formed for a term before its square is at hand, and no squa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
