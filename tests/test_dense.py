@@ -10,6 +10,7 @@ from helixframe.operators import geometry as G
 from helixframe.operators import prepare
 from helixframe.operators import structure as S
 from helixframe.plans import q_align
+from helixframe.sources import store
 from tests.builders import consensus_matrix, motif_rows, toy_complex
 
 
@@ -71,6 +72,22 @@ def test_batch_makes_no_row_for_a_candidate(spark, monkeypatch):
     assert len(got) == 300 and {(r.error, r.alignment_start, r.alignment_candidate_count) for r in got} == {(None, 2, 10)}
 
 
+def test_samples_of_a_selection_store_its_arrays_once(spark, tmp_path):
+    samples, atoms, motifs = _batch(spark, 40)
+    root = str(tmp_path / "out")
+    prepare.prepare_manifest(samples, atoms, motifs, root, min_contact=0, min_site=0)
+    assert "edges" not in spark.read.parquet(f"{root}/processed").columns
+    assert spark.read.parquet(f"{root}/shared").count() == 1
+    back = store.read_samples(spark, root)
+    assert {(len(r.residues), len(r.edges), len(r.slots)) for r in back.collect()} == {(1, 0, 4)}
+    assert store.read_samples(spark, root, ["edges"]).columns == ["sample_id", "run", "processed_path", "edges"]
+    # A run whose rows have arrays of their own lies beside the others.
+    whole = back.where("sample_id < 2").withColumn("sample_id", F.col("sample_id") + 100).drop("run", "processed_path")
+    store.write_run(whole, root=root)
+    both = store.read_samples(spark, root).collect()
+    assert len(both) == 42 and {(len(r.residues), len(r.slots)) for r in both} == {(1, 4)}
+
+
 def test_contacts_of_a_batch_are_those_of_its_nucleotides(spark):
     samples, atoms, motifs = _batch(spark, 1)
     batch = prepare.prepare_batch(samples, atoms, motifs, min_contact=0, min_site=0)
