@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.pwm import ACGT
+from helixframe.functions.pwm import ACGT, settled
 from helixframe.operators.motif import base_row_checks, base_rows_to_pwm, normalize_pwm
 from helixframe.sources.text import number_lines, read_whole
 
@@ -28,10 +28,12 @@ def scan_pwm_text(lines: DataFrame) -> DataFrame:
     A line with at least four numbers gives its last four; headers and comments are
     skipped; in a MEME matrix the first shorter line after its rows ends the motif.
     """
-    line = F.trim("value")
+    given = lines.select("motif_id", "line_no", F.explode(F.array(F.trim("value"))).alias("_line"))  # a value may cost more than its scan
+    line = F.col("_line")
     skip = (line == "") | line.startswith("#") | line.startswith(">") | line.rlike(r"^[acgtACGT\s]+$")
     head = F.lower(line).startswith("letter-probability matrix")
-    d = lines.where(~skip | head).withColumn("meme", head).withColumn("nums", F.when(head, F.array().cast("array<double>")).otherwise(_floats(line)))
+    nums = F.when(head, F.array().cast("array<double>")).otherwise(_floats(line))
+    d = settled(given.where(~skip | head), ["motif_id", "line_no"], {"meme": head, "nums": nums})
     d = d.withColumn("is_row", F.size("nums") >= 4)
     upto = Window.partitionBy("motif_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_meme", F.max("meme").over(upto)).withColumn("_rows", F.sum(F.col("is_row").cast("int")).over(upto))
