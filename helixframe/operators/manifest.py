@@ -208,7 +208,10 @@ def ordered_attempt_limit(rows: DataFrame, limit: int = 0, max_attempts: int = 0
 def split_rebuild(parsed: DataFrame, prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split manifests from one prepared pool, and the entries it lacks.
 
-    ``prepared``: sample_id."""
+    ``prepared``: sample_id.  Unless they are few, they are dealt to all shuffle partitions by sample, and so are the entries that
+    meet them: rows that compress well would else be put together by their compressed size, and a task that joins them
+    sorts them unpacked."""
     named = parsed.withColumn("sample_id", F.concat_ws("_", "structure_id", "chain", "motif_id"))
-    pool = prepared.select("sample_id").distinct()
+    n = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pool = prepared.select("sample_id").repartition(n, "sample_id")
     return named.join(pool, "sample_id", "left_semi"), named.join(pool, "sample_id", "left_anti")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import manifest as N
 from helixframe.sources import motifs as SMo
 
 
@@ -10,3 +11,16 @@ def test_lines_of_a_motif_are_made_once(spark):
     rows = SMo.scan_pwm_text(lines)
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("format_string(") == 1
     assert [(r.pos, round(r.c, 6)) for r in rows.orderBy("pos").collect()] == [(0, 0.333333), (1, 0.2), (2, 0.142857), (3, 0.111111)]
+
+
+def test_entries_meet_the_pool_in_all_partitions(spark):
+    parsed = spark.createDataFrame([(f"s{k % 5}", "A", f"m{k % 3}", k) for k in range(20)], "structure_id string, chain string, motif_id string, ord long")
+    pool = spark.createDataFrame([("s0_A_m0",), ("s1_A_m1",), ("s1_A_m1",), (None,)], "sample_id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        have, lack = N.split_rebuild(parsed, pool)
+        assert have.rdd.getNumPartitions() == lack.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted(r.ord for r in have.collect()) == [0, 1, 15, 16] and sorted(r.ord for r in lack.collect()) == sorted({*range(20)} - {0, 1, 15, 16})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
