@@ -136,6 +136,8 @@ class Prepared:
 
         What samples with the same selection share is gathered once, and a copy for each of them would grow with samples times
         edges: residues and edges are rows of one table, in which each kind has a column of its own, so one shuffle packs both.
+        It deals the selections to all shuffle partitions: a task holds the lists of its own only, and a file, of which a reader
+        takes many rows at a time, has few.
         ``vectors``: structure_id (the selection), sel_idx, vector; a residue without one has NULL."""
         placed = (self.status if status is None else status).where("error IS NULL").drop("status", "reason", "error")
         wanted = placed.select(F.col("selection").alias("structure_id")).distinct()
@@ -147,7 +149,9 @@ class Prepared:
         edges = G.edge_features(self.edges.join(wanted, "structure_id", "left_semi"), G.graph_sizes(protein))
         edges = edges.select("structure_id", F.struct("src", "dst", "dist", "edge_attr").alias("edge"))
         both = residues.unionByName(edges, allowMissingColumns=True)
-        shared = both.groupBy(F.col("structure_id").alias("selection")).agg(
+        # One more than the joins above: an equal number would be taken for theirs, which are put together by size.
+        n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+        shared = both.repartition(n, "structure_id").groupBy(F.col("structure_id").alias("selection")).agg(
             F.array_sort(F.collect_list("residue")).alias("residues"), F.array_sort(F.collect_list("edge")).alias("edges"))
         used = self.motifs.join(placed.select("motif_id").distinct(), "motif_id", "left_semi")
         pwm = normalize_pwm(used).groupBy("motif_id").agg(F.array_sort(F.collect_list(F.struct("pos", *ACGT))).alias("pwm"))

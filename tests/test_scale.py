@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixframe.operators import manifest as N
+from helixframe.operators.prepare import Prepared
 from helixframe.sources import motifs as SMo
 
 
@@ -24,3 +25,18 @@ def test_entries_meet_the_pool_in_all_partitions(spark):
         assert sorted(r.ord for r in have.collect()) == [0, 1, 15, 16] and sorted(r.ord for r in lack.collect()) == sorted({*range(20)} - {0, 1, 15, 16})
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_selections_are_packed_in_all_partitions(spark):
+    status = spark.createDataFrame([(k, f"x|{k}|", 1, [0], "ok", None, None) for k in range(3)], "sample_id long, selection string, motif_id long, slot_to_dna_index array<int>, status string, reason string, error string")
+    protein = spark.createDataFrame([(f"x|{k}|", i, "A", i, "", "ARG", float(i), 0.0, 0.0) for k in range(3) for i in (2, 0, 1)],
+                                    "structure_id string, sel_idx int, chain string, resseq int, icode string, resname string, x double, y double, z double")
+    edges = spark.createDataFrame([(f"x|{k}|", i, j, float(abs(i - j))) for k in range(3) for i in range(3) for j in range(3) if i != j], "structure_id string, src int, dst int, dist double")
+    contacts = spark.createDataFrame([], "structure_id string, res_idx int, dna_idx int, base_label int, backbone_label int")
+    missing = spark.createDataFrame([], "structure_id string, dna_idx int, part string")
+    motifs = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0)], "motif_id long, pos int, a double, c double, g double, t double")
+    shared = Prepared(status, lambda used: contacts, missing, protein, edges, motifs).parts()[1]
+    assert shared.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = shared.collect()
+    assert sorted(r.selection for r in rows) == ["x|0|", "x|1|", "x|2|"]
+    assert all([x.res_idx for x in r.residues] == [0, 1, 2] and [(e.src, e.dst) for e in r.edges] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)] for r in rows)
