@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from helixframe.operators import contacts as C
 from helixframe.operators import manifest as N
 from helixframe.operators.prepare import Prepared
 from helixframe.sources import motifs as SMo
@@ -40,3 +41,16 @@ def test_selections_are_packed_in_all_partitions(spark):
     rows = shared.collect()
     assert sorted(r.selection for r in rows) == ["x|0|", "x|1|", "x|2|"]
     assert all([x.res_idx for x in r.residues] == [0, 1, 2] and [(e.src, e.dst) for e in r.edges] == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1)] for r in rows)
+
+
+def test_slots_and_residues_meet_in_all_partitions(spark):
+    """Whatever the size of either side: they are small, what they make is not. Slots fill several blocks."""
+    n = 1300
+    centers = spark.createDataFrame([(k, "s", 0, k % 2, *((3.0, 0.0, 0.0) if k % 2 == 0 else (None,) * 3)) for k in range(n)],
+                                    "sample_id long, structure_id string, slot int, dna_idx int, base_x double, base_y double, base_z double")
+    points = spark.createDataFrame([("s", i, float(i), 0.0, 0.0) for i in range(12)], "structure_id string, res_idx int, x double, y double, z double")
+    got = C.residue_slot_geometry(centers, points, 5.0, lambda c: F.round(c, 1))
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted((r.sample_id, r.res_idx, r.slot, r.dist, r.dir_x) for r in got.collect())
+    near = [(i, float(abs(3 - i)), None if i == 3 else (1.0 if i < 3 else -1.0)) for i in range(9)]
+    assert rows == [(k, i, 0, dist, way) for k in range(0, n, 2) for i, dist, way in near]
