@@ -1,7 +1,12 @@
 """Work and memory of a task stay in proportion to its rows."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from helixframe.functions import window_scores
 from helixframe.operators import contacts as C
 from helixframe.operators import manifest as N
 from helixframe.operators.prepare import Prepared
@@ -54,3 +59,18 @@ def test_slots_and_residues_meet_in_all_partitions(spark):
     rows = sorted((r.sample_id, r.res_idx, r.slot, r.dist, r.dir_x) for r in got.collect())
     near = [(i, float(abs(3 - i)), None if i == 3 else (1.0 if i < 3 else -1.0)) for i in range(9)]
     assert rows == [(k, i, 0, dist, way) for k in range(0, n, 2) for i, dist, way in near]
+
+
+def test_a_batch_of_windows_makes_no_object_a_row():
+    n, m = 4000, 8
+    lists = lambda k: pa.ListArray.from_arrays(pa.array(range(0, n * k + 1, k), pa.int32()), pa.array(np.ones(n * k)))
+    none = pa.array([[]] * n, pa.list_(pa.float64()))
+    columns = (pa.array(["ACGTACGT"] * n), lists(4 * m), lists(m), none, pa.array([True] * n), pa.array([m] * n), pa.array([1] * n))
+    tracemalloc.start()
+    try:
+        best = window_scores._best_candidate(*columns)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(best) == n and best.field("raw").to_pylist() == [1.0] * n
+    assert peak < 1_200_000, peak
