@@ -422,6 +422,22 @@ def test_markup_is_cut_as_before():
         ("raw", "script", "<script type=x>if (a<b) </p></script >"), ("close", "p", "</P >"), ("skip", "", "<!doctype z>"), ("skip", "", '<a href="u>'), ("open", "i", "<i>")]
 
 
+def test_language_model_is_whole_whatever_travels(spark, monkeypatch):
+    """Pairs and triples too rare to travel with the automaton are joined: scores are those of all that recur."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(25)]
+    make = lambda n: " ".join(rng.choice(vocabulary, n, p=np.arange(25, 0, -1) / 325))
+    train = [make(rng.integers(1, 30)) for _ in range(100)] + ["a twin of few words", "a twin of few words", None, ""]
+    texts = [*train, make(40), "w1 unseen w2 w1 w2", "a twin of few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for travel, context, state in ((0.05, 0.06, 0.005), (0.5, 0.5, 0.5)):  # some travel, none
+        for name, share in (("TRAVEL_SHARE", travel), ("CONTEXT_SHARE", context), ("STATE_SHARE", state), ("WORD_SHARE", 0.0)):
+            monkeypatch.setattr(lmscore, name, share)
+        got = lmscore.score_texts(docs, F.lit(False), docs.where(f"doc_id < {len(train)}").select("text")).orderBy("doc_id").collect()
+        np.testing.assert_allclose([r.score for r in got], plain_scores(texts, train, 2), rtol=1e-9)
+    assert [r.n_known for r in got[-2:]] == [5, 6]
+
+
 def test_language_of_ties_and_empty_tables(spark, odd):
     rows = [(i, text, lang) for i, (text, lang) in enumerate([("abab abab abab", "x"), ("abab abab abab", "y")] * 40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
